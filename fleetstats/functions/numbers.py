@@ -15,30 +15,39 @@ def _column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def to_fixed(x: str | Column, digits: int) -> Column:
-    """Fixed decimals of the exact binary value, ties away from zero.
+def _unsigned_fixed(size: Column, digits: int) -> Column:
+    """Fixed decimals of a value not below zero.
 
-    ``format_number`` already rounds the exact value, but sends ties to the even neighbour.  A tie
+    ``format_number`` rounds the exact binary value, but sends ties to the even neighbour.  A tie
     exists only where ``x * 2**(digits + 1)`` is an odd integer; those values are moved off the tie.
     """
-    value = _column(x).cast("double")
-    size = F.abs(value)
     tie = F.pmod(size * float(2 ** (digits + 1)), F.lit(2.0)) == 1.0
-    off_tie = F.when(tie, size + F.lit(0.1 * 10.0**-digits)).otherwise(size)
+    off_tie = size + F.when(tie, F.lit(0.1 * 10.0**-digits)).otherwise(F.lit(0.0))
     pattern = "0." + "0" * digits if digits else "0"
-    text = F.call_function("format_number", off_tie, F.lit(pattern))
-    return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    return F.call_function("format_number", off_tie, F.lit(pattern))
+
+
+def to_fixed(x: str | Column, digits: int) -> Column:
+    """Fixed decimals of the exact binary value, ties away from zero."""
+    value = _column(x).cast("double")
+    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, _unsigned_fixed(F.abs(value), digits))
 
 
 def _with_unit(value: Column, units: tuple[str, ...]) -> Column:
-    """The largest unit the value reaches; no decimals in the first unit, one in the others."""
-    text = F.concat(to_fixed(value, 0), F.lit(" " + units[0]))
-    ladder = None
-    for power in range(len(units) - 1, 0, -1):
-        floor = float(BASE**power)
-        branch = F.concat(to_fixed(value / floor, 1), F.lit(" " + units[power]))
-        ladder = F.when(value >= floor, branch) if ladder is None else ladder.when(value >= floor, branch)
-    return ladder.otherwise(text)
+    """The largest unit the value reaches; no decimals in the first unit, one in the others.
+
+    One formatted division serves all units, which keeps the generated method small enough to be
+    compiled when a report formats several columns.
+    """
+    power = F.lit(len(units) - 1)
+    for p in range(len(units) - 1, 1, -1):
+        power = F.when(value < float(BASE**p), F.lit(p - 1)).otherwise(power)
+    unit = F.element_at(F.array(*[F.lit(f" {u}") for u in units]), power + 1)
+    scaled = value / F.pow(F.lit(float(BASE)), power)
+    return F.when(
+        value < BASE, F.concat(_unsigned_fixed(value, 0), F.lit(f" {units[0]}"))
+    ).otherwise(F.concat(_unsigned_fixed(scaled, 1), unit))
 
 
 def fmt_bytes(b: str | Column) -> Column:

@@ -33,6 +33,7 @@ from fleetstats.plans.stand_ins import (
     PCT_CLASS,
     PROC_COLORS,
     SAMPLES,
+    cents,
     order_totals,
     samples,
     sql_bytes,
@@ -245,19 +246,17 @@ def container_counts(spark, folder):
 
 @query(
     "container_sections",
-    """SELECT o_custkey AS host, count(*) FILTER (WHERE o_orderstatus = 'F') AS shown
-    FROM orders GROUP BY o_custkey HAVING count(*) FILTER (WHERE o_orderstatus = 'F') > 0""",
+    """SELECT vec_id AS host, label, len([x FOR x IN embedding IF x > 0.25]) AS shown FROM embeddings
+    WHERE label <> 0 AND len([x FOR x IN embedding IF x > 0.25]) > 0""",
 )
 def container_sections(spark, folder):
-    """Hosts with at least one finished order; the others have an empty list or none at all."""
-    listed = (
-        table(spark, folder, "orders")
-        .groupBy(F.col("o_custkey").alias("host"))
-        .agg(F.collect_list(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("containers"))
+    """High readings of each vector as its list; one labelled 0 has no list at all, not an empty one."""
+    high = F.when(F.col("label") != 0, F.filter("embedding", lambda x: x > 0.25))
+    listed = table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("host"), "label", high.alias("containers")
     )
-    hosts = table(spark, folder, "customer").select(F.col("c_custkey").alias("host"))
-    everyone = hosts.join(listed, "host", "left")
-    return non_empty(everyone).select("host", F.size("containers").cast("bigint").alias("shown"))
+    shown = F.size("containers").cast("bigint").alias("shown")
+    return non_empty(listed).select("host", "label", shown)
 
 
 @query(
@@ -397,97 +396,126 @@ def cpu_avg_(spark, folder):
 
 
 def snapshot_parts(spark, folder):
-    """Each event type as one collector's output, all stamped with the day as their tick."""
-    rows = samples(spark, folder).withColumn("ts", F.date_trunc("day", "ts").cast("timestamp_ntz"))
-
-    def of(kind, **columns):
-        chosen = [F.expr(e).alias(n) for n, e in columns.items()]
-        return rows.where(F.col("name") == kind).select("host", "ts", F.col("event_id").alias("_seq"), *chosen)
-
-    bytes_of = "CAST(k * event_id AS BIGINT)"
-    disks_ = of(
-        "click", device="concat('sd', event_id)", mountpoint="concat('/', k)", fstype="name",
-        total=f"{bytes_of} * 4096", used=f"{bytes_of} * 512", free=f"{bytes_of} * 3584",
-        usedPercent="value",
+    """Each order as a snapshot: its line items are disks, interfaces or processes by return flag.
+
+    Orders of status P have no load, and some orders have no line items.
+    """
+    order = ("l_linenumber", "l_partkey", "l_suppkey")
+    lines = table(spark, folder, "lineitem").withColumn("cents", cents("l_extendedprice"))
+
+    def of(flag, **columns):
+        fields = [F.expr(e).alias(n) for n, e in columns.items()]
+        marks = [F.col(o).alias(f"_{o}") for o in order]
+        rows = lines.where(F.col("l_returnflag") == flag)
+        return rows.select(F.col("l_orderkey").alias("host"), *marks, *fields), [f"_{o}" for o in order]
+
+    load = table(spark, folder, "orders").where("o_orderstatus <> 'P'").selectExpr(
+        "o_orderkey AS host",
+        "o_totalprice AS load1",
+        "o_totalprice / 5 AS load5",
+        "o_totalprice / 15 AS load15",
     )
-    network = of(
-        "purchase", name="concat('eth', event_id)", bytesSent=bytes_of, bytesRecv=f"{bytes_of} * 1024",
-        addrs="CASE WHEN k < 50 THEN '' ELSE concat('10.0.0.', k) END",
-        sendRate="value", recvRate="value * 4096",
-    )
-    procs = of("view", pid="CAST(event_id AS INT)", name="name", cpu="value", mem="CAST(k AS FLOAT)", status="'S'")
-    load = (
-        rows.where("name = 'error'")
-        .groupBy("host", "ts")
-        .agg(F.max("value").alias("load1"), F.min("value").alias("load5"), F.max("k").cast("double").alias("load15"))
-    )
-    return {"load": load}, {"disks": disks_, "network": network, "processes": procs}
+    return {"load": load}, {
+        "disks": of(
+            "A",
+            device="concat('sd', l_partkey)",
+            mountpoint="concat('/', l_suppkey)",
+            fstype="l_linestatus",
+            total="cents * 4096",
+            used="cents * 512",
+            free="cents * 3584",
+            usedPercent="l_quantity * 2",
+        ),
+        "network": of(
+            "N",
+            name="concat('eth', l_linenumber)",
+            bytesSent="cents",
+            bytesRecv="cents * 1024",
+            addrs="CASE WHEN l_quantity < 25 THEN '' ELSE concat('10.0.0.', l_linenumber) END",
+            sendRate="l_extendedprice",
+            recvRate="l_extendedprice * 64",
+        ),
+        "processes": of(
+            "R",
+            pid="l_linenumber",
+            name="concat('part', l_partkey)",
+            cpu="l_quantity",
+            mem="CAST(l_discount * 1000 AS FLOAT)",
+            status="CASE l_linestatus WHEN 'F' THEN 'S' ELSE l_linestatus END",
+        ),
+    }
 
 
 def snapshots(spark, folder):
-    single, lists = snapshot_parts(spark, folder)
-    return assemble(single, {name: (df, ["_seq"]) for name, df in lists.items()})
+    return assemble(*snapshot_parts(spark, folder), keys=["host"])
+
 
+_LINES = """(SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem)"""
 
-_DAYS = f"(SELECT *, date_trunc('day', ts)::TIMESTAMP AS day FROM {SAMPLES})"
+
+def _sql_listed(text: str, flag: str) -> str:
+    return f"""coalesce(string_agg({text}, ',' ORDER BY l_linenumber, l_partkey, l_suppkey)
+        FILTER (WHERE l_returnflag = '{flag}'), '')"""
 
 
 @query(
     "snapshot_assemble",
-    f"""SELECT host, day AS ts, max(value) FILTER (WHERE name = 'error') AS load1,
-      min(value) FILTER (WHERE name = 'error') AS load5,
-      CAST(max(k) FILTER (WHERE name = 'error') AS DOUBLE) AS load15,
-      coalesce(string_agg('sd' || event_id, ',' ORDER BY event_id) FILTER (WHERE name = 'click'), '') AS disks,
-      coalesce(string_agg('eth' || event_id, ',' ORDER BY event_id) FILTER (WHERE name = 'purchase'), '') AS network,
-      coalesce(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FILTER (WHERE name = 'view'), '') AS processes
-    FROM {_DAYS} WHERE name <> 'signup' GROUP BY host, day""",
+    f"""SELECT coalesce(l_orderkey, o_orderkey) AS host, any_value(o_totalprice) AS load1,
+      any_value(o_totalprice) / 5 AS load5, any_value(o_totalprice) / 15 AS load15,
+      {_sql_listed("'sd' || l_partkey", 'A')} AS disks,
+      {_sql_listed("'eth' || l_linenumber", 'N')} AS network,
+      {_sql_listed("'part' || l_partkey", 'R')} AS processes
+    FROM lineitem FULL JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON o_orderkey = l_orderkey
+    GROUP BY coalesce(l_orderkey, o_orderkey)""",
 )
 def snapshot_assemble(spark, folder):
     def listed(array, field):
-        return F.array_join(F.transform(array, lambda x: x[field].cast("string")), ",").alias(array)
+        return F.array_join(F.transform(array, lambda x: x[field]), ",").alias(array)
 
     return snapshots(spark, folder).select(
-        "host", "ts", "load.*", listed("disks", "device"), listed("network", "name"), listed("processes", "pid")
+        "host", "load.*", listed("disks", "device"), listed("network", "name"), listed("processes", "name")
     )
 
 
-_BYTES = "(k * event_id)"
-
-
 @query(
     "snapshot_disks",
     f"""SELECT *, {sql_bytes('total')} AS total_text, {sql_bytes('used')} AS used_text,
       {sql_bytes('free')} AS free_text, {sql_fixed('used_percent', 1)} || '%' AS percent_text,
       {sql_class('used_percent', COLORS, 90, 70)} AS percent_color,
       {sql_class('used_percent', PCT_CLASS, 90, 70)} AS bar_class
-    FROM (SELECT host, day AS ts, 'sd' || event_id AS device, '/' || k AS mountpoint, name AS fstype,
-        {_BYTES} * 4096 AS total, {_BYTES} * 512 AS used, {_BYTES} * 3584 AS free, value AS used_percent
-      FROM {_DAYS} WHERE name = 'click')""",
+    FROM (SELECT l_orderkey AS host, 'sd' || l_partkey AS device, '/' || l_suppkey AS mountpoint,
+        l_linestatus AS fstype, cents * 4096 AS total, cents * 512 AS used, cents * 3584 AS free,
+        l_quantity * 2 AS used_percent
+      FROM {_LINES} WHERE l_returnflag = 'A')""",
 )
 def snapshot_disks(spark, folder):
-    return disk_report(disks(snapshots(spark, folder)))
+    return disk_report(disks(snapshots(spark, folder), keys=["host"]))
 
 
 @query(
     "snapshot_interfaces",
     f"""SELECT *, {sql_bytes('bytes_sent')} AS sent_text, {sql_bytes('bytes_recv')} AS recv_text,
       {sql_rate('send_rate')} AS send_rate_text, {sql_rate('recv_rate')} AS recv_rate_text
-    FROM (SELECT host, day AS ts, 'eth' || event_id AS name, {_BYTES} AS bytes_sent,
-        {_BYTES} * 1024 AS bytes_recv, CASE WHEN k < 50 THEN '-' ELSE '10.0.0.' || k END AS addrs,
-        value AS send_rate, value * 4096 AS recv_rate
-      FROM {_DAYS} WHERE name = 'purchase')""",
+    FROM (SELECT l_orderkey AS host, 'eth' || l_linenumber AS name, cents AS bytes_sent,
+        cents * 1024 AS bytes_recv,
+        CASE WHEN l_quantity < 25 THEN '-' ELSE '10.0.0.' || l_linenumber END AS addrs,
+        l_extendedprice AS send_rate, l_extendedprice * 64 AS recv_rate
+      FROM {_LINES} WHERE l_returnflag = 'N')""",
 )
 def snapshot_interfaces(spark, folder):
-    return interface_report(interfaces(snapshots(spark, folder)))
+    return interface_report(interfaces(snapshots(spark, folder), keys=["host"]))
 
 
 @query(
     "snapshot_processes",
-    f"""SELECT host, day AS ts, CAST(event_id AS INTEGER) AS pid, name, value AS cpu,
-      CAST(k AS FLOAT) AS mem, 'S' AS status, {sql_fixed('value', 1)} AS cpu_text,
-      {sql_class('value', PROC_COLORS, 50, 20, '>')} AS cpu_color, {sql_fixed('k', 1)} AS mem_text,
-      {sql_class('k', PROC_COLORS, 50, 20, '>')} AS mem_color, 'SLP' AS status_text
-    FROM {_DAYS} WHERE name = 'view'""",
+    f"""SELECT *, {sql_fixed('cpu', 1)} AS cpu_text, {sql_class('cpu', PROC_COLORS, 50, 20, '>')} AS cpu_color,
+      {sql_fixed('CAST(mem AS DOUBLE)', 1)} AS mem_text,
+      {sql_class('mem', PROC_COLORS, 50, 20, '>')} AS mem_color,
+      CASE status WHEN 'S' THEN 'SLP' ELSE status END AS status_text
+    FROM (SELECT l_orderkey AS host, l_linenumber AS pid, 'part' || l_partkey AS name,
+        l_quantity AS cpu, CAST(l_discount * 1000 AS FLOAT) AS mem,
+        CASE l_linestatus WHEN 'F' THEN 'S' ELSE l_linestatus END AS status
+      FROM lineitem WHERE l_returnflag = 'R')""",
 )
 def snapshot_processes(spark, folder):
-    return process_report(processes(snapshots(spark, folder)))
+    return process_report(processes(snapshots(spark, folder), keys=["host"]))

@@ -48,7 +48,7 @@ def landed(stream, mode="append"):
 @query("stream_counter_rate", COUNTER_RATE_SQL)
 def stream_counter_rate_(spark, folder):
     counted = sample_stream(spark, folder).where(F.col("name") != LOOPBACK)
-    return landed(stream_counter_rate(counted, ["k"], seq=["event_id"])).drop("late")
+    return landed(stream_counter_rate(counted, ["k"], seq=["event_id"], buckets=64)).drop("late")
 
 
 @query("stream_latest", LATEST_SQL)

@@ -68,17 +68,12 @@ def proc_color(spark, folder):
     GROUP BY ALL""",
 )
 def severity_rollup_(spark, folder):
-    rows = _readings(spark, folder)
     kinds = {
         "percent": labels.pct_color("value"),
         "load": labels.load_color("value", "k"),
         "process": labels.proc_color("value"),
     }
-    one, two, three = (
-        severity_rollup(rows, severity).withColumn("kind", F.lit(kind))
-        for kind, severity in kinds.items()
-    )
-    return one.unionByName(two).unionByName(three)
+    return severity_rollup(_readings(spark, folder), kinds)
 
 
 @query(

@@ -3,13 +3,11 @@
 Field names inside structs are the wire names of the JSON documents; flat tables use snake_case.
 Byte counters are unsigned 64 bit on the wire.  JSON is therefore read with ``decimal(20,0)`` and
 narrowed to ``bigint`` by ``fleetstats.sources.snapshots.narrow``; a value beyond ``bigint`` becomes
-NULL instead of failing the job.
+NULL instead of failing the job.  Schemas are DDL texts, which every reader takes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 WIRE_COUNTER = "decimal(20,0)"
 STORED_COUNTER = "bigint"
 
@@ -42,38 +40,34 @@ def _ddl(fields: dict[str, str], **leading: str) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind in {**leading, **fields}.items())
 
 
+# The documents of a landed snapshot and their types.
+DOCUMENTS = _documents(STORED_COUNTER)
+
 # One JSON document per tick, as it arrives: ``timestamp`` is epoch milliseconds.
-SNAPSHOT_WIRE_DDL = _ddl(_documents(WIRE_COUNTER), timestamp="bigint")
+SNAPSHOT_WIRE = _ddl(_documents(WIRE_COUNTER), timestamp="bigint")
 # The landed table: keyed by host and event time.
-SNAPSHOT_DDL = _ddl(_documents(STORED_COUNTER), host="string", ts="timestamp")
+SNAPSHOT = _ddl(DOCUMENTS, host="string", ts="timestamp")
 
-HISTORY_DDL = "host string, ts timestamp, cpu_avg double, mem_percent double"
+HISTORY = "host string, ts timestamp, cpu_avg double, mem_percent double"
 # History on the wire: ``t`` is epoch seconds.
-HISTORY_WIRE_DDL = "array<struct<t:bigint,c:double,m:double>>"
+HISTORY_WIRE = "array<struct<t:bigint,c:double,m:double>>"
 
-CONTAINERS_DDL = (
+CONTAINERS = (
     "host string, ts timestamp, id string, name string, image string, state string, status string, "
     "cpu_pct double, mem_usage bigint, mem_limit bigint, created timestamp"
 )
-CONTAINER_WIRE_DDL = (
+CONTAINER_WIRE = (
     "array<struct<id:string,name:string,image:string,state:string,status:string,cpuPct:double,"
     f"memUsage:{WIRE_COUNTER},memLimit:{WIRE_COUNTER},created:string>>"
 )
 
-CONTAINER_LIST_DDL = (
+CONTAINER_LIST = (
     "host string, ts timestamp, Id string, Names array<string>, Image string, State string, "
     "Status string, Created bigint"
 )
 _CPU_SAMPLE = f"cpu_usage:struct<total_usage:{WIRE_COUNTER}>,system_cpu_usage:{WIRE_COUNTER}"
-CONTAINER_STATS_DDL = (
+CONTAINER_STATS = (
     "host string, ts timestamp, id string, "
     f"cpu_stats struct<{_CPU_SAMPLE},online_cpus:int>, precpu_stats struct<{_CPU_SAMPLE}>, "
     f"memory_stats struct<usage:{WIRE_COUNTER},limit:{WIRE_COUNTER}>"
 )
-
-SNAPSHOT_WIRE = StructType.fromDDL(SNAPSHOT_WIRE_DDL)
-SNAPSHOT = StructType.fromDDL(SNAPSHOT_DDL)
-HISTORY = StructType.fromDDL(HISTORY_DDL)
-CONTAINERS = StructType.fromDDL(CONTAINERS_DDL)
-CONTAINER_LIST = StructType.fromDDL(CONTAINER_LIST_DDL)
-CONTAINER_STATS = StructType.fromDDL(CONTAINER_STATS_DDL)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetstats.functions.times import s_to_ts, ts_to_ms, ts_to_s
-from fleetstats.schemas import CONTAINER_WIRE_DDL, HISTORY_WIRE_DDL, SNAPSHOT, SNAPSHOT_WIRE_DDL
+from fleetstats.schemas import CONTAINER_WIRE, DOCUMENTS, HISTORY_WIRE, SNAPSHOT_WIRE
 from fleetstats.sources.snapshots import narrow
 
 # Message types.
@@ -63,8 +63,7 @@ def decode(df: DataFrame, value: str = "value") -> DataFrame:
 
 def snapshot_payload() -> Column:
     """Wire document of a landed snapshot."""
-    documents = [f.name for f in SNAPSHOT.fields if f.name not in ("host", "ts")]
-    return F.struct(ts_to_ms("ts").alias("timestamp"), *documents)
+    return F.struct(ts_to_ms("ts").alias("timestamp"), *DOCUMENTS)
 
 
 def history_point() -> Column:
@@ -75,7 +74,7 @@ def history_point() -> Column:
 
 def snapshots(decoded: DataFrame, payload: str = "payload") -> DataFrame:
     """Landed snapshots of the decoded messages."""
-    document = F.from_json(payload, SNAPSHOT_WIRE_DDL).alias("_document")
+    document = F.from_json(payload, SNAPSHOT_WIRE).alias("_document")
     return narrow(
         decoded.where(F.col("route") == SNAPSHOT_TYPE).select(document).select("_document.*")
     )
@@ -85,7 +84,7 @@ def history(decoded: DataFrame, payload: str = "payload", host: str = "host") ->
     """History points of the decoded messages; the host is known to the transport, not the payload."""
     return (
         decoded.where(F.col("route") == HISTORY_TYPE)
-        .select(host, F.inline(F.from_json(payload, HISTORY_WIRE_DDL)))
+        .select(host, F.inline(F.from_json(payload, HISTORY_WIRE)))
         .select(
             host, s_to_ts("t").alias("ts"), F.col("c").alias("cpu_avg"), F.col("m").alias("mem_percent")
         )
@@ -98,7 +97,7 @@ def containers(
     """Containers of the decoded messages, stamped with host and arrival time by the transport."""
     return (
         decoded.where(F.col("route") == CONTAINERS_TYPE)
-        .select(host, ts, F.inline(F.from_json(payload, CONTAINER_WIRE_DDL)))
+        .select(host, ts, F.inline(F.from_json(payload, CONTAINER_WIRE)))
         .select(
             host,
             ts,

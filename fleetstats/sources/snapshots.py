@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetstats.functions.times import ms_to_ts
-from fleetstats.schemas import CONTAINER_LIST, CONTAINER_STATS, SNAPSHOT, SNAPSHOT_WIRE
+from fleetstats.schemas import (
+    CONTAINER_LIST,
+    CONTAINER_STATS,
+    DOCUMENTS,
+    SNAPSHOT,
+    SNAPSHOT_WIRE,
+)
 
 WIRE_FORMATS = ("json",)
 
 
 def narrow(df: DataFrame) -> DataFrame:
     """Wire documents to landed snapshots: host and event time out, counters down to ``bigint``."""
-    documents = {f.name: f.dataType for f in SNAPSHOT.fields if f.name not in ("host", "ts")}
     return df.select(
         F.col("system.hostname").alias("host"),
         ms_to_ts("timestamp").alias("ts"),
         *[
-            F.expr(f"try_cast(`{name}` AS {kind.simpleString()})").alias(name)
-            for name, kind in documents.items()
+            F.expr(f"try_cast(`{name}` AS {kind})").alias(name)
+            for name, kind in DOCUMENTS.items()
         ],
     )
 

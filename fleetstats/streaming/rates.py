@@ -9,10 +9,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from fleetstats.plans.slices import micros, to_micros
 
+NEVER = np.iinfo("int64").min
+
+
+def _readings(counter: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """A counter as integers, and where it is missing."""
+    missing = counter.isna().to_numpy()
+    filled = counter.fillna(0) if missing.any() else counter
+    return filled.to_numpy().astype("int64"), missing
+
 
 def stream_counter_rate(
     df: DataFrame,
@@ -22,70 +31,104 @@ def stream_counter_rate(
     seq: Sequence[str] = (),
     late: str = "10 minutes",
     forget: str = "1 hour",
+    buckets: int = 256,
 ) -> DataFrame:
     """``operators.rates.counter_rate`` on a stream, with ``elapsed='key'``.
 
     State is the newest sample of each key, dropped when the key is silent for ``forget``; a key
     that returns later starts at rate 0.  Within a micro-batch samples are taken in time order.  A
     sample not after the state's is kept with rate 0 and ``late`` true and leaves the state alone.
-    Limit the source's rate (``maxFilesPerTrigger``, ``maxBytesPerTrigger``): one key's samples of
-    one micro-batch are handled together.
+
+    Calling Python costs far more than the arithmetic on one interface's few samples, so keys are
+    hashed into ``buckets`` and all keys of a bucket are handled in one vectorised call.  Choose more
+    buckets than cores, and keep the number for the life of a checkpoint.  A call holds its bucket's
+    part of one micro-batch, which ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bounds.
     """
     counters, keys, seq = list(counters), list(keys), list(seq)
     kept = [*keys, ts, *seq, *counters]
     timed = df.select(*kept).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    numbered = timed.withColumn("_at", micros(ts))
-    added = [
-        *[StructField(f"{c}_rate", DoubleType()) for c in counters],
-        StructField("reset", BooleanType()),
-        StructField("late", BooleanType()),
-    ]
-    output = StructType([*timed.schema.fields, *added])
+    bucketed = timed.withColumns(
+        {"_at": micros(ts), "_bucket": F.pmod(F.xxhash64(*keys), F.lit(buckets))}
+    )
+    output = StructType(
+        [
+            *timed.schema.fields,
+            *[StructField(f"{c}_rate", DoubleType()) for c in counters],
+            StructField("reset", BooleanType()),
+            StructField("late", BooleanType()),
+        ]
+    )
+    held = [*keys, "_at", *counters]
     state_type = StructType(
-        [StructField("at", LongType()), *[StructField(c, LongType()) for c in counters]]
+        [
+            *[StructField(k, ArrayType(timed.schema[k].dataType)) for k in keys],
+            *[StructField(c, ArrayType(LongType())) for c in ("_at", *counters)],
+        ]
     )
     idle_ms = to_micros(forget) // 1000
 
-    def per_key(
+    def per_bucket(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["_at", *seq], kind="stable")
-        before = state.get if state.exists else None
-        at = rows["_at"].to_numpy()
-        is_late = at <= before[0] if before is not None else np.zeros(len(rows), dtype=bool)
-        rows["late"] = is_late
+        watermark = state.getCurrentWatermarkMs()
+        rows = pd.concat(list(batches), ignore_index=True)
+        known = pd.DataFrame(
+            dict(zip(held, state.get)) if state.exists else {}, columns=held, dtype=object
+        )
+        known = known[known["_at"].map(lambda at: at // 1000 + idle_ms > watermark).astype(bool)]
+
+        # One number per key, known keys first; then the rows of each key in time order.
+        names = pd.concat([known[keys], rows[keys]], ignore_index=True)
+        numbers = names.groupby(keys, sort=False, dropna=False).ngroup()
+        rows["_key"] = numbers.to_numpy()[len(known) :]
+        rows = rows.sort_values(["_key", "_at", *seq], kind="stable", ignore_index=True)
+        names = names[~numbers.duplicated()]
+        newest_at = np.full(len(names), NEVER)
+        newest_at[: len(known)] = known["_at"].to_numpy(dtype="int64")
+
+        is_late = rows["_at"].to_numpy() <= newest_at[rows["_key"].to_numpy()]
         fresh = rows[~is_late]
-        at = fresh["_at"].to_numpy()
-        gap = np.diff(at, prepend=before[0] if before is not None else at[:1]) / 1e6
-        seconds = np.where(gap > 0, gap, 1.0)
-        reset = np.zeros(len(fresh), dtype=bool)
-        for i, c in enumerate(counters):
-            now = fresh[c].to_numpy(dtype="float64", na_value=np.nan)
-            whole = fresh[c].astype("Int64")
-            earlier = whole.shift(1)
-            if before is not None and len(fresh):
-                earlier.iloc[0] = pd.NA if before[i + 1] is None else before[i + 1]
-            change = (whole - earlier).to_numpy(dtype="float64", na_value=np.nan)
-            value = np.where(change > 0, change, 0.0) / seconds
-            first = earlier.isna().to_numpy()
-            rows.loc[fresh.index, f"{c}_rate"] = np.where(np.isnan(now) & ~first, np.nan, value)
-            reset |= change < 0
-        rows["reset"] = False
-        rows.loc[fresh.index, "reset"] = reset
+        of_key, at = fresh["_key"].to_numpy(), fresh["_at"].to_numpy()
+        first = np.ones(len(fresh), dtype=bool)
+        first[1:] = of_key[1:] != of_key[:-1]
+        final = np.append(first[1:], True)[: len(fresh)]
+
+        def preceding(now: np.ndarray, before: np.ndarray) -> np.ndarray:
+            shifted = np.roll(now, 1)
+            shifted[first] = before[of_key[first]]
+            return shifted
+
+        since = preceding(at, newest_at)
+        advanced = (since != NEVER) & (at > since)
+        seconds = np.where(advanced, (at - np.where(advanced, since, at)) / 1e6, 1.0)
+        newest_at[of_key[final]] = at[final]
+        reset = np.zeros(len(rows), dtype=bool)
+        newest = [newest_at.tolist()]
         for c in counters:
-            rows.loc[is_late, f"{c}_rate"] = 0.0
-        if len(fresh):
-            newest = fresh.iloc[-1]
-            state.update(
-                (int(newest["_at"]), *[None if pd.isna(newest[c]) else int(newest[c]) for c in counters])
-            )
-        expires = state.get[0] // 1000 + idle_ms
-        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
+            old, lacks_old = _readings(known[c])
+            old = np.append(old, np.zeros(len(names) - len(known), dtype="int64"))
+            lacks_old = np.append(lacks_old, np.ones(len(names) - len(known), dtype=bool))
+            now, lacks = _readings(fresh[c])
+            change = (now - preceding(now, old)).astype("float64")
+            unknown = preceding(lacks, lacks_old)
+            back = ~lacks & ~unknown & (change < 0)
+            rate = np.where(lacks | unknown | back, 0.0, change / seconds)
+            rate[lacks & ~unknown] = np.nan
+            rows[f"{c}_rate"] = 0.0
+            rows.loc[~is_late, f"{c}_rate"] = rate
+            reset[~is_late] |= back
+            old[of_key[final]], lacks_old[of_key[final]] = now[final], lacks[final]
+            newest.append([None if gone else int(x) for x, gone in zip(old, lacks_old)])
+        rows["reset"], rows["late"] = reset, is_late
+
+        state.update((*[names[k].tolist() for k in keys], *newest))
+        expires = int(newest_at.max()) // 1000 + idle_ms
+        state.setTimeoutTimestamp(max(expires, watermark + 1))
         yield rows[output.names]
 
-    return numbered.groupBy(*keys).applyInPandasWithState(
-        per_key, output, state_type, "append", GroupStateTimeout.EventTimeTimeout
+    return bucketed.groupBy("_bucket").applyInPandasWithState(
+        per_bucket, output, state_type, "append", GroupStateTimeout.EventTimeTimeout
     )
