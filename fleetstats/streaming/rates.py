@@ -45,7 +45,7 @@ def stream_counter_rate(
     part of one micro-batch, which ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bounds.
     """
     counters, keys, seq = list(counters), list(keys), list(seq)
-    kept = [*keys, ts, *seq, *counters]
+    kept = list(dict.fromkeys([*keys, ts, *seq, *counters]))
     timed = df.select(*kept).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     bucketed = timed.withColumns(
         {"_at": micros(ts), "_bucket": F.pmod(F.xxhash64(*keys), F.lit(buckets))}

@@ -1,0 +1,201 @@
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from fleetstats.operators.assemble import (
+    assemble,
+    disk_usage,
+    first_per_device,
+    join_addrs,
+    process_table,
+    usable,
+    with_addrs,
+)
+from fleetstats.operators.flatten import (
+    cpu_avg,
+    cpu_cores,
+    disk_report,
+    disks,
+    exclude_ifaces,
+    host_overview,
+    interface_report,
+    interfaces,
+    non_empty,
+    process_report,
+    processes,
+    sent,
+    zero_fill,
+)
+from fleetstats.operators.severity import severity_rollup
+from fleetstats.operators.topk import counts, process_counts, sort_view, top_processes
+from fleetstats.schemas import SNAPSHOT
+
+T = datetime(2024, 1, 1)
+TICK = "host string, ts timestamp"
+
+
+def rows(df, *columns):
+    return sorted(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def test_addresses_keep_their_order_and_may_be_missing(spark):
+    ifaces = spark.createDataFrame([("h", T, "e0"), ("h", T, "e1")], f"{TICK}, name string")
+    listed = [("h", T, "e0", 2, "b"), ("h", T, "e0", 10, "a"), ("h", T, "e0", 1, "c")]
+    addrs = spark.createDataFrame(listed, f"{TICK}, name string, seq int, addr string")
+    assert rows(join_addrs(addrs), "name", "addrs") == [("e0", "c, b, a")]
+    assert rows(with_addrs(ifaces, addrs), "name", "addrs") == [("e0", "c, b, a"), ("e1", "")]
+
+
+PARTS = [
+    ("h", T, 1, "sda", "/bad", "ext4"),
+    ("h", T, 2, "sda", "/good", "ext4"),
+    ("h", T, 3, "sdb", "/data", "xfs"),
+    ("h", T, 4, "sdc", "/lost", "xfs"),
+    ("h", T, 5, "sdd", "/null", "xfs"),
+]
+
+
+def partitions(spark):
+    return spark.createDataFrame(PARTS, f"{TICK}, seq int, device string, mountpoint string, fstype string")
+
+
+def test_first_mount_decides_for_its_device(spark):
+    usage = [("h", T, "/bad", 0), ("h", T, "/good", 5), ("h", T, "/data", 7), ("h", T, "/null", None)]
+    sizes = spark.createDataFrame(usage, f"{TICK}, mountpoint string, total bigint")
+    first = first_per_device(partitions(spark))
+    assert rows(first, "mountpoint") == [("/bad",), ("/data",), ("/lost",), ("/null",)]
+    assert rows(disk_usage(partitions(spark), sizes), "device", "total") == [("sdb", 7)]
+    assert rows(usable(sizes), "mountpoint") == [("/data",), ("/good",)]
+
+
+def test_process_attributes_are_optional(spark):
+    key = f"{TICK}, pid int"
+    pids = spark.createDataFrame([("h", T, 1), ("h", T, 2)], key)
+    attributes = {
+        "name": spark.createDataFrame([("h", T, 1, "init")], f"{key}, name string"),
+        "cpu": spark.createDataFrame([("h", T, 2, 3.5)], f"{key}, cpu double"),
+        "mem": spark.createDataFrame([], f"{key}, mem double"),
+    }
+    statuses = spark.createDataFrame([("h", T, 1, ["S", "R"]), ("h", T, 2, [])], f"{key}, statuses array<string>")
+    got = process_table(pids, attributes, statuses)
+    assert rows(got, "pid", "name", "cpu", "mem", "status") == [(1, "init", 0.0, 0.0, "S"), (2, "", 3.5, 0.0, "")]
+
+
+def test_assemble_keeps_every_tick_and_every_entry(spark):
+    load = spark.createDataFrame([("h", T, 1.0), ("g", T, 2.0)], f"{TICK}, load1 double")
+    nets = spark.createDataFrame([("h", T, 2, "b"), ("h", T, 1, "a"), ("i", T, 1, "a")], f"{TICK}, _seq int, name string")
+    got = {r.host: r for r in assemble({"load": load}, {"network": (nets, ["_seq"])}).collect()}
+    assert [n.name for n in got["h"].network] == ["a", "b"]
+    assert got["g"].network == [] and got["g"].load.load1 == 2.0
+    assert got["i"].load is None
+    assert set(got["h"].network[0].asDict()) == {"name"}
+
+
+def snapshot(spark, **given):
+    base = {
+        "host": "h",
+        "ts": T,
+        "system": ("h", "linux", "debian 12", "6.1", "amd64", 90061, "v1"),
+        "cpu": (None, 2, 4, [10.0, 95.0], 52.5),
+        "memory": (1000, 910, 90, 91.0, 0, 0, 0.0),
+        "disks": None,
+        "network": None,
+        "load": (2.8, 4.0, 0.5),
+        "processes": None,
+    }
+    return spark.createDataFrame([tuple({**base, **given}.values())], SNAPSHOT)
+
+
+def test_flatten_missing_lists_give_no_rows(spark):
+    snap = snapshot(spark)
+    for flat in (disks(snap), interfaces(snap), processes(snap)):
+        assert flat.count() == 0
+    assert rows(cpu_cores(snap), "core", "percent") == [(0, 10.0), (1, 95.0)]
+    no_cores = snapshot(spark, cpu=(None, 2, 4, [], 0.0))
+    assert cpu_cores(no_cores).count() == 0
+    assert rows(cpu_cores(no_cores, outer=True), "core", "percent") == [(None, None)]
+    assert rows(cpu_avg(snap), "cpu_avg") == [(52.5,)]
+    assert rows(cpu_avg(no_cores), "cpu_avg") == [(0.0,)]
+    assert rows(cpu_avg(snapshot(spark, cpu=(None, 2, 4, None, 0.0))), "cpu_avg") == [(0.0,)]
+
+
+def test_reports(spark):
+    snap = snapshot(
+        spark,
+        disks=[("sda", "/", "ext4", 2048, 1024, 1024, 90.0)],
+        network=[("eth0", 10, 2048, "", 0.0, 1536.0), ("lo", 1, 1, "127.0.0.1", 0.0, 0.0)],
+        processes=[(1, "init", 50.0, 20.5, "sleep"), (2, "job", 50.1, 20.0, None)],
+    )
+    disk = disk_report(disks(snap)).first()
+    assert (disk.total_text, disk.percent_text, disk.percent_color, disk.bar_class) == ("2.0 KB", "90.0%", "red", "crit")
+    iface = {r.name: r for r in interface_report(interfaces(snap)).collect()}
+    assert (iface["eth0"].addrs, iface["eth0"].recv_rate_text, iface["lo"].addrs) == ("-", "1.5 KB/s", "127.0.0.1")
+    procs = {r.pid: r for r in process_report(processes(snap)).collect()}
+    assert (procs[1].cpu_color, procs[1].mem_color, procs[1].status_text) == ("yellow", "yellow", "SLP")
+    assert (procs[2].cpu_color, procs[2].mem_color, procs[2].status_text) == ("red", "", "-")
+    host = host_overview(snap).first()
+    assert host.platform_text == "debian 12 / 6.1 / amd64"
+    assert (host.uptime_text, host.cpu_text, host.cpu_model) == ("up 1d 1h 1m", "2C/4T", "-")
+    assert (host.load1_color, host.load5_color, host.load15_color) == ("yellow", "red", "green")
+    assert (host.mem_color, host.swap_total, host.swap_percent) == ("red", None, None)
+    swapping = host_overview(snapshot(spark, memory=(1, 1, 1, 1.0, 2048, 1024, 50.0))).first()
+    assert (swapping.swap_used, swapping.swap_total, swapping.swap_percent) == ("1.0 KB", "2.0 KB", "50")
+
+
+def test_a_report_reads_only_its_fields(spark, tmp_path):
+    path = str(tmp_path / "snapshots")
+    snapshot(spark).write.parquet(path)
+    plan = disks(spark.read.schema(SNAPSHOT).parquet(path))._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("ReadSchema") :]
+    assert "disks" in scan and "processes" not in scan and "cpu" not in scan
+
+
+def test_loopback_is_one_exact_name(spark):
+    names = [("lo",), ("lo0",), ("eth0",), (None,)]
+    df = spark.createDataFrame(names, "name string")
+    assert {r.name for r in exclude_ifaces(df).collect()} == {"lo0", "eth0", None}
+    assert {r.name for r in exclude_ifaces(df, ["lo", "lo0"]).collect()} == {"eth0", None}
+
+
+def test_missing_and_empty_lists(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, ["a"])], "id int, containers array<string>")
+    assert rows(non_empty(df), "id") == [(3,)]
+    assert rows(sent(df), "id") == [(2,), (3,)]
+
+
+def test_zero_fill(spark):
+    df = spark.createDataFrame([(None, None, None, None)], "a bigint, b double, c string, d timestamp")
+    assert tuple(zero_fill(df).first()) == (0, 0.0, "", None)
+    assert tuple(zero_fill(df, ["a"]).first()) == (0, None, None, None)
+
+
+def procs(spark):
+    data = [("h", T, 1, 5.0, 1.0), ("h", T, 2, 9.0, 2.0), ("h", T, 3, 5.0, 9.0), ("g", T, 1, 1.0, 1.0)]
+    return spark.createDataFrame(data, f"{TICK}, pid int, cpu double, mem double")
+
+
+def test_cut_comes_before_the_view(spark):
+    top = top_processes(procs(spark), 2)
+    assert rows(top, "host", "pid") == [("g", 1), ("h", 1), ("h", 2)]
+    by_mem = sort_view(top, "mem").where("host = 'h'")
+    assert rows(by_mem, "rank", "pid") == [(1, 2), (2, 1)]
+    assert rows(sort_view(top, "pid").where("host = 'h'"), "rank", "pid") == [(1, 1), (2, 2)]
+    assert rows(sort_view(top, "cpu").where("host = 'h'"), "rank", "pid") == [(1, 2), (2, 1)]
+    assert rows(top_processes(procs(spark), 1, by="mem"), "host", "pid") == [("g", 1), ("h", 3)]
+    assert rows(top_processes(procs(spark), 2, keys=()), "host", "pid") == [("h", 1), ("h", 2)]
+
+
+def test_counts(spark):
+    assert rows(process_counts(procs(spark), 2), "host", "shown") == [("g", 1), ("h", 2)]
+    assert rows(counts(procs(spark), ["host"]), "host", "rows") == [("g", 1), ("h", 3)]
+
+
+def test_severity_rollup(spark):
+    kinds = {"busy": F.when(F.col("cpu") > 4, "high").otherwise("low"), "any": F.lit("x")}
+    got = severity_rollup(procs(spark), kinds)
+    assert rows(got, "host", "kind", "severity", "readings") == [
+        ("g", "any", "x", 1),
+        ("g", "busy", "low", 1),
+        ("h", "any", "x", 3),
+        ("h", "busy", "high", 3),
+    ]
