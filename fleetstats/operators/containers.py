@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetstats.functions.labels import container_name, container_state, dash, state_badge
 from fleetstats.functions.numbers import mem_text, to_fixed
 from fleetstats.functions.times import fmt_datetime, s_to_ts
-from fleetstats.plans.slices import SLICE, with_previous
+from fleetstats.plans.slices import HOT_ROWS, with_previous
 
 RUNNING = "running"
 
@@ -44,7 +44,7 @@ def container_stats(
     baseline: str = "embedded",
     keys: Sequence[str] = ("host", "id"),
     ts: str = "ts",
-    width: str = SLICE,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Stats documents as columns ``cpu_pct``, ``mem_usage`` and ``mem_limit``.
 
@@ -75,7 +75,7 @@ def container_stats(
             keys,
             ts,
             {"_cpu_before": "_cpu", "_system_before": "_system"},
-            width=width,
+            hot_rows=hot_rows,
         )
     share = cpu_pct(
         F.col("_cpu") - F.col("_cpu_before"), F.col("_system") - F.col("_system_before"), "_online"

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetstats.plans.slices import SLICE, micros, with_previous
+from fleetstats.plans.slices import HOT_ROWS, micros, with_previous
 
 
 def elapsed_seconds(now: Column, before: Column) -> Column:
@@ -32,7 +32,7 @@ def counter_rate(
     elapsed: str = "key",
     tick_keys: Sequence[str] = ("host",),
     ticks: DataFrame | None = None,
-    width: str = SLICE,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``<counter>_rate`` per counter and ``reset``, true where any counter went back.
 
@@ -43,16 +43,19 @@ def counter_rate(
     if elapsed not in ("key", "tick"):
         raise ValueError("elapsed is 'key' or 'tick'")
     previous = {f"_previous_{c}": c for c in counters}
+    rows = df
     if elapsed == "tick":
-        times = (df if ticks is None else ticks).select(*tick_keys, ts).distinct()
-        times = with_previous(times, tick_keys, ts, {"_since": ts}, width=width)
-        df = df.join(times, [*tick_keys, ts], "left")
+        seen = (df if ticks is None else ticks).select(*tick_keys, ts)
+        times = with_previous(
+            seen.distinct(), tick_keys, ts, {"_since": ts}, hot_rows=hot_rows, counted=seen
+        )
+        rows = df.join(times, [*tick_keys, ts], "left")
     else:
         previous["_since"] = ts
-    df = with_previous(df, keys, ts, previous, seq, width)
+    rows = with_previous(rows, keys, ts, previous, seq, hot_rows, counted=df)
     seconds = elapsed_seconds(F.col(ts), F.col("_since"))
     went_back = [F.coalesce(F.col(c) < F.col(f"_previous_{c}"), F.lit(False)) for c in counters]
-    return df.withColumns(
+    return rows.withColumns(
         {
             **{f"{c}_rate": rate(F.col(c), F.col(f"_previous_{c}"), seconds) for c in counters},
             "reset": reduce(lambda a, b: a | b, went_back),

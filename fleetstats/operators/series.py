@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetstats.functions.times import ts_to_s
-from fleetstats.plans.slices import NO_TIME, SLICE, slice_start
+from fleetstats.plans.slices import HOT_ROWS, NO_TIME, PIECES_PER_TASK, SLICE, slice_start
 from fleetstats.plans.staging import stage
 
 HISTORY_POINTS = 3600  # points kept per host by default
@@ -32,13 +32,15 @@ def tail(
     seq: Sequence[str] = (),
     since: Column | None = None,
     width: str = SLICE,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The last ``n`` rows per host; ``since`` further leaves out rows before a time.
 
     A first pass reads only keys and time and counts rows per (host, slice), which combines before
     the shuffle.  From the counts follow the slices that can hold one of a host's last ``n`` rows.
     The second pass reads just those slices: their oldest start bounds the scan, the staged slice
-    table filters it, and only the few rows left are sorted.
+    table filters it, and only the few rows left are sorted.  Should a host have more rows in one
+    slice than a task may sort, they are first cut to ``n`` per part of a random split.
     """
     rows = df if since is None else df.where(F.col(ts) >= since)
     sliced = rows.withColumn("_slice", slice_start(ts, width))
@@ -52,20 +54,25 @@ def tail(
         .agg(F.count("*").alias("_rows"))
         .withColumn("_newer", F.coalesce(F.sum("_rows").over(newer), F.lit(0)))
         .where(F.col("_newer") < n)
-        .select(*keys, "_slice"),
+        .select(*keys, "_slice", "_rows"),
         "tail-slices",
     )
-    start = needed.agg(F.min("_slice")).first()[0]
+    start, largest = needed.agg(F.min("_slice"), F.max("_rows")).first()
     if start is not None and start != NO_TIME:
         bound = F.timestamp_micros(F.lit(start)).cast(df.schema[ts].dataType)
         sliced = sliced.where(F.col(ts) >= bound)
-    kept = sliced.join(needed, [*keys, "_slice"], "left_semi")
-    newest = Window.partitionBy(*keys).orderBy(F.desc(ts), *[F.desc(s) for s in seq])
-    return (
-        kept.withColumn("_place", F.row_number().over(newest))
-        .where(F.col("_place") <= n)
-        .drop("_slice", "_place")
-    )
+    kept = sliced.join(needed, [*keys, "_slice"], "left_semi").drop("_slice")
+    newest = [F.desc(ts), *[F.desc(s) for s in seq]]
+    if largest is not None and largest > hot_rows:
+        parts = -(-largest * PIECES_PER_TASK // hot_rows)
+        part = F.pmod(F.xxhash64(ts, *(seq or df.columns)), F.lit(parts))
+        kept = _first_rows(kept.withColumn("_part", part), n, [*keys, "_part"], newest).drop("_part")
+    return _first_rows(kept, n, keys, newest)
+
+
+def _first_rows(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
 def latest(

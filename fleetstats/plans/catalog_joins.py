@@ -312,7 +312,7 @@ def top_processes_by_mem(spark, folder):
 
 
 def _view_sql(order: str) -> str:
-    return f"""SELECT *, row_number() OVER (PARTITION BY host ORDER BY {order}) AS rank FROM (
+    return f"""SELECT *, CAST(row_number() OVER (PARTITION BY host ORDER BY {order}) AS INTEGER) AS rank FROM (
       SELECT * FROM {_PROCESSES}
       QUALIFY row_number() OVER (PARTITION BY host ORDER BY cpu DESC, pid) <= 20)"""
 

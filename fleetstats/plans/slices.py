@@ -1,9 +1,10 @@
-"""Time slices: how ordered per-host work is split when one host holds much of the data.
+"""Splitting ordered per-key work when a few keys hold much of the data.
 
-A window over ``partitionBy(host)`` puts a host's whole past into one task.  The operators here
-partition by (host, time slice) instead, so the largest group is one host's rows of one slice, and
-then carry the few values that cross a slice border: per host, at most a fixed number of rows per
-slice.  Results are those of the unsliced window.
+A window over ``partitionBy(key)`` puts a key's whole past into one task.  That is the cheapest plan
+for keys of ordinary size and no plan at all for a key with a third of all rows.  Keys are therefore
+counted first, which reads only keys and time and combines before the shuffle.  Keys above
+``HOT_ROWS`` are cut into pieces of their time span, the pieces are worked on side by side, and the
+few rows at the borders of pieces are then put right per key.  Results are those of the plain window.
 """
 
 from __future__ import annotations
@@ -14,8 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# 10 minutes are 400 ticks at the default cadence of 1.5 s.  A year is 52,560 slices, so the
-# per-host pass over slice borders stays small as well.
+from fleetstats.plans.staging import stage
+
+# Rows of one key that one task may sort.
+HOT_ROWS = 2_000_000
+# Pieces are cut for a sixteenth of that on average, so times may bunch up as much.
+PIECES_PER_TASK = 16
+# Time slices for counting: 10 minutes are 400 ticks at the default cadence of 1.5 s.
 SLICE = "10 minutes"
 # Rows without a time sort before all others, as NULLs do in a window.
 NO_TIME = -(2**62)
@@ -32,37 +38,90 @@ def micros(ts: str | Column) -> Column:
 
 
 def slice_start(ts: str | Column, width: str = SLICE) -> Column:
-    """Start of the slice a row falls in, in epoch microseconds."""
+    """Start of the time slice a row falls in, in epoch microseconds."""
     at = micros(ts)
     return F.coalesce(at - F.pmod(at, F.lit(to_micros(width))), F.lit(NO_TIME))
 
 
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int = HOT_ROWS
+) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows and how their time is cut, or None if there are none.
+
+    The table has at most (rows of ``df``) / ``hot_rows`` rows.
+    """
+    pieces = F.ceil(F.col("_rows") * PIECES_PER_TASK / hot_rows)
+    found = stage(
+        df.groupBy(*keys)
+        .agg(F.count("*").alias("_rows"), F.min(ts).alias("_from"), F.max(ts).alias("_to"))
+        .where(F.col("_rows") > hot_rows)
+        .select(
+            *keys,
+            micros("_from").alias("_origin"),
+            (F.floor((micros("_to") - micros("_from")) / pieces) + 1).alias("_width"),
+        ),
+        "hot-keys",
+    )
+    return None if found.isEmpty() else found
+
+
+def cut(df: DataFrame, hot: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """The rows of hot keys, each with its ``_piece``; rows without a time are ahead of the first."""
+    piece = F.floor((micros(ts) - F.col("_origin")) / F.col("_width"))
+    return df.join(hot, list(keys)).select(
+        *df.columns, F.coalesce(piece, F.lit(-1)).alias("_piece")
+    )
+
+
+def _lags(previous: Mapping[str, str], window) -> dict[str, Column]:
+    return {name: F.lag(source).over(window) for name, source in previous.items()}
+
+
+def _previous_within_pieces(
+    pieces: DataFrame, keys: Sequence[str], order: list[Column], previous: Mapping[str, str]
+) -> DataFrame:
+    """Only first and last rows of pieces enter the pass over whole keys.
+
+    Both branches of the union read one shared exchange.
+    """
+    within = Window.partitionBy(*keys, "_piece").orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy(*order)
+    marked = pieces.withColumns(
+        {
+            **_lags(previous, within),
+            "_first": F.lag(F.lit(True)).over(within).isNull(),
+            "_last": F.lead(F.lit(True)).over(within).isNull(),
+        }
+    )
+    settled = marked.where(~F.col("_first"))
+    borders = (
+        marked.where(F.col("_first") | F.col("_last"))
+        .withColumns(_lags(previous, across))
+        .where("_first")
+    )
+    return settled.unionByName(borders).drop("_piece", "_first", "_last")
+
+
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],
     ts: str,
     previous: Mapping[str, str],
     seq: Sequence[str] = (),
-    width: str = SLICE,
+    hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add, per key, columns of the preceding row: ``previous`` maps new name to source column.
 
-    Equal to ``lag`` over ``partitionBy(keys).orderBy(ts, seq)``.  Only the first and last row of
-    each slice enter the pass over the whole key; both branches below read one shared exchange.
+    Equal to ``lag`` over ``partitionBy(keys).orderBy(ts, seq)``.  ``counted`` may give a cheaper
+    table with the keys and times of ``df``, or more of them, to look for hot keys in.
     """
     order = [F.col(ts), *map(F.col, seq)]
-    within = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(*order)
-    marked = df.withColumn("_slice", slice_start(ts, width)).select(
-        "*",
-        *[F.lag(source).over(within).alias(name) for name, source in previous.items()],
-        F.lag(F.lit(True)).over(within).isNull().alias("_first"),
-        F.lead(F.lit(True)).over(within).isNull().alias("_last"),
-    )
-    settled = marked.where(~F.col("_first"))
-    borders = (
-        marked.where(F.col("_first") | F.col("_last"))
-        .withColumns({name: F.lag(source).over(across) for name, source in previous.items()})
-        .where("_first")
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    hot = hot_keys(df if counted is None else counted, keys, ts, hot_rows)
+    if hot is None:
+        return df.withColumns(_lags(previous, whole))
+    others = df.join(hot, list(keys), "left_anti").withColumns(_lags(previous, whole))
+    return others.unionByName(
+        _previous_within_pieces(cut(df, hot, keys, ts), keys, order, previous)
     )
-    return settled.unionByName(borders).drop("_slice", "_first", "_last")

@@ -35,7 +35,7 @@ def hot(spark):
 def test_a_hot_key_is_spread_over_tasks(spark, hot):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        rows = with_previous(hot, ["host", "name"], "ts", {"before": "b"}).withColumn("task", F.spark_partition_id())
+        rows = with_previous(hot, ["host", "name"], "ts", {"before": "b"}, hot_rows=2000).withColumn("task", F.spark_partition_id())
         sizes = [r["count"] for r in rows.groupBy("task").count().collect()]
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
@@ -43,16 +43,22 @@ def test_a_hot_key_is_spread_over_tasks(spark, hot):
     assert max(sizes) < 0.4 * 20_000
 
 
-def test_sliced_rates_read_their_input_once(spark, hot):
-    plan = final_plan(counter_rate(hot, ["b"]))
+def test_hot_keys_are_shuffled_once(spark, hot):
+    plan = final_plan(counter_rate(hot, ["b"], hot_rows=2000))
     assert "ReusedExchange" in plan
-    assert plan.count("Range (") == 1
+    assert plan.count("Range (") == 2
+
+
+def test_ordinary_keys_take_one_plain_window(spark, hot):
+    plan = final_plan(counter_rate(hot, ["b"]))
+    assert plan.count("Exchange") == 1 and "Union" not in plan and "Join" not in plan
 
 
-def test_only_slice_borders_go_through_the_whole_key(spark, hot):
-    """10 minutes hold some 54 samples of the hot host; the first and the last are borders."""
-    whole_key = Counting.rows_by_exchange(counter_rate(hot, ["b"]), "hashpartitioning(host, 4)")
-    assert 0 < whole_key <= 0.2 * 20_000
+def test_only_borders_of_pieces_go_through_the_whole_hot_key(spark, hot):
+    """18,000 hot rows in pieces of some 125 rows: 144 pieces with two border rows each."""
+    rates = counter_rate(hot, ["b"], hot_rows=2000)
+    whole_key = Counting.rows_by_exchange(rates, "hashpartitioning(host, 4)")
+    assert 2000 < whole_key <= 2000 + 2 * 144
 
 
 def test_sessions_combine_before_any_shuffle(spark, hot):

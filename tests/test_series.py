@@ -49,6 +49,14 @@ def test_rate_first_growth_reset_and_return(spark):
     }
 
 
+def test_hot_interfaces_have_the_same_rates(spark):
+    rows = [("h", f"e{i % 2}", 10 * (i // 2), i * i % 37) for i in range(60)] + [("g", "e0", 5, 1)]
+    df = samples(spark, rows)
+    for elapsed in ("key", "tick"):
+        whole = rates(counter_rate(df, ["b"], elapsed=elapsed))
+        assert rates(counter_rate(df, ["b"], elapsed=elapsed, hot_rows=10)) == whole
+
+
 def test_equal_times_count_as_one_second(spark):
     rows = samples(spark, [("h", "e", 5, 10), ("h", "e", 5, 30)])
     assert sorted(r.b_rate for r in counter_rate(rows, ["b"], seq=["b"]).collect()) == [0.0, 20.0]
@@ -79,12 +87,13 @@ def test_two_counters_share_one_reset(spark):
     assert (last.bytes_sent_rate, last.bytes_recv_rate, last.reset) == (5.0, 0.0, True)
 
 
+@pytest.mark.parametrize("hot_rows", [8, 10**6])
 @once
 @given(points)
-def test_previous_row_is_that_of_the_whole_key(spark, points):
+def test_previous_row_is_that_of_the_whole_key(spark, hot_rows, points):
     rows = [(h, at(s), i) for i, (h, s) in enumerate(points)]
     df = frame(spark, rows, "host string, ts timestamp_ntz, id bigint")
-    got = with_previous(df, ["host"], "ts", {"before": "id"}, ["id"])
+    got = with_previous(df, ["host"], "ts", {"before": "id"}, ["id"], hot_rows=hot_rows)
     want, last = {}, {}
     for h, s, i in sorted((h, s, i) for i, (h, s) in enumerate(points)):
         want[i] = last.get(h)
@@ -95,20 +104,22 @@ def test_previous_row_is_that_of_the_whole_key(spark, points):
 def test_rows_without_time_come_first(spark):
     rows = [("h", None, 1), ("h", at(0), 2)]
     df = frame(spark, rows, "host string, ts timestamp_ntz, id bigint")
-    got = with_previous(df, ["host"], "ts", {"before": "id"}, ["id"])
-    assert {r.id: r.before for r in got.collect()} == {1: None, 2: 1}
+    for hot_rows in (1, 100):
+        got = with_previous(df, ["host"], "ts", {"before": "id"}, ["id"], hot_rows)
+        assert {r.id: r.before for r in got.collect()} == {1: None, 2: 1}
 
 
+@pytest.mark.parametrize("hot_rows", [1, 10**6])
 @once
 @given(points, st.integers(1, 30))
-def test_tail_property(spark, points, n):
+def test_tail_property(spark, hot_rows, points, n):
     rows = [(h, at(s), i) for i, (h, s) in enumerate(points)]
     df = frame(spark, rows, "host string, ts timestamp_ntz, id bigint")
     by_host = defaultdict(list)
     for i, (h, s) in enumerate(points):
         by_host[h].append((s, i))
     want = {i for listed in by_host.values() for _, i in sorted(listed)[-n:]}
-    assert {r.id for r in tail(df, n, seq=["id"]).collect()} == want
+    assert {r.id for r in tail(df, n, seq=["id"], hot_rows=hot_rows).collect()} == want
 
 
 def test_tail_counts_points_and_since_takes_a_time(spark):
@@ -177,9 +188,10 @@ def test_sessions_property(spark, points, gap):
     assert sorted((r.host, r.session_start, r.last_message, r.messages, r.session_end) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("hot_rows", [8, 10**6])
 @once
 @given(points, points)
-def test_as_of_property(spark, left, right):
+def test_as_of_property(spark, hot_rows, left, right):
     ddl = "host string, ts timestamp_ntz, id bigint"
     known = [(h, s, None if i % 5 == 4 else i) for i, (h, s) in enumerate(right)]
     l = frame(spark, [(h, at(s), i) for i, (h, s) in enumerate(left)], ddl)
@@ -192,5 +204,5 @@ def test_as_of_property(spark, left, right):
     for i, (h, s) in enumerate(left):
         before = [(t, place, v) for place, (g, t, v) in enumerate(known) if g == h and t <= s]
         want[i] = max(before, key=lambda x: x[:2])[2] if before else None
-    got = as_of(l, r, ["ref"], right_seq=["place"])
+    got = as_of(l, r, ["ref"], right_seq=["place"], hot_rows=hot_rows)
     assert {row.id: row.ref for row in got.collect()} == want
