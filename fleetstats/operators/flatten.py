@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, NumericType, StringType
+from pyspark.sql.types import NumericType, StringType
 
 from fleetstats.functions.labels import (
     dash,
@@ -62,12 +62,9 @@ def cpu_core_report(cores: DataFrame) -> DataFrame:
 def unnest(df: DataFrame, array: str, keys: Sequence[str] = SNAPSHOT_KEYS) -> DataFrame:
     """One row per element of an array of structs, the element's fields as columns.
 
-    A missing array is an empty one: it gives no rows.
+    A missing array is an empty one: it gives no rows.  Fields nobody asks for are not read.
     """
-    field = df.schema[array].dataType
-    if not isinstance(field, ArrayType):
-        raise TypeError(f"{array} is not an array")
-    return df.select(*keys, F.inline(array))
+    return df.select(*keys, F.explode(array).alias("_element")).select(*keys, "_element.*")
 
 
 def disks(df: DataFrame, array: str = "disks", keys: Sequence[str] = SNAPSHOT_KEYS) -> DataFrame:

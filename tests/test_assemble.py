@@ -145,9 +145,14 @@ def test_reports(spark):
 def test_a_report_reads_only_its_fields(spark, tmp_path):
     path = str(tmp_path / "snapshots")
     snapshot(spark).write.parquet(path)
-    plan = disks(spark.read.schema(SNAPSHOT).parquet(path))._jdf.queryExecution().executedPlan().toString()
-    scan = plan[plan.index("ReadSchema") :]
-    assert "disks" in scan and "processes" not in scan and "cpu" not in scan
+    landed = spark.read.schema(SNAPSHOT).parquet(path)
+    for flat, read in (
+        (disks(landed).select("device"), "disks:array<struct<device:string>>>"),
+        (interfaces(landed).groupBy("host", "name").count(), "host:string,network:array<struct<name:string>>>"),
+        (cpu_cores(landed).select("percent"), "cpu:struct<usage:array<double>>>"),
+    ):
+        plan = flat._jdf.queryExecution().executedPlan().toString()
+        assert plan[plan.index("ReadSchema") :].split("\n")[0].endswith(f"struct<{read}")
 
 
 def test_loopback_is_one_exact_name(spark):
