@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetstats.plans.slices import HOT_ROWS, micros, with_previous
+from fleetstats.plans.slices import HOT_ROWS, hot_keys, micros, with_previous
 
 
 def elapsed_seconds(now: Column, before: Column) -> Column:
@@ -23,6 +23,29 @@ def rate(now: Column, before: Column, seconds: Column) -> Column:
     return F.when(before.isNull() | (change < 0), F.lit(0.0)).otherwise(change / seconds)
 
 
+def _since_last_tick(
+    df: DataFrame, ticks: DataFrame | None, keys: Sequence[str], ts: str, hot_rows: int
+) -> DataFrame:
+    """Add ``_since``, the host's last sample time before each row.
+
+    For ordinary hosts it is a window over the host, whose shuffle also serves the window over its
+    counters.  Hot hosts' distinct times are cut into pieces and joined back.
+    """
+    seen = (df if ticks is None else ticks).select(*keys, ts)
+    if hot_keys(seen, keys, ts, hot_rows) is not None:
+        times = with_previous(seen.distinct(), keys, ts, {"_since": ts}, (), hot_rows, counted=seen)
+        return df.join(times, [*keys, ts], "left")
+    rows = df.withColumn("_asked", F.lit(True))
+    if ticks is not None:
+        rows = rows.unionByName(seen.withColumn("_asked", F.lit(False)), allowMissingColumns=True)
+    earlier = (
+        Window.partitionBy(*keys)
+        .orderBy(micros(ts))
+        .rangeBetween(Window.unboundedPreceding, -1)
+    )
+    return rows.withColumn("_since", F.max(ts).over(earlier)).where("_asked").drop("_asked")
+
+
 def counter_rate(
     df: DataFrame,
     counters: Sequence[str] = ("bytes_sent", "bytes_recv"),
@@ -45,11 +68,7 @@ def counter_rate(
     previous = {f"_previous_{c}": c for c in counters}
     rows = df
     if elapsed == "tick":
-        seen = (df if ticks is None else ticks).select(*tick_keys, ts)
-        times = with_previous(
-            seen.distinct(), tick_keys, ts, {"_since": ts}, hot_rows=hot_rows, counted=seen
-        )
-        rows = df.join(times, [*tick_keys, ts], "left")
+        rows = _since_last_tick(df, ticks, tick_keys, ts, hot_rows)
     else:
         previous["_since"] = ts
     rows = with_previous(rows, keys, ts, previous, seq, hot_rows, counted=df)

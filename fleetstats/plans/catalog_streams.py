@@ -9,7 +9,7 @@ from fleetstats.plans.catalog import query, table
 from fleetstats.plans.catalog_messages import ROUTES, sample_messages
 from fleetstats.plans.catalog_series import COUNTER_RATE_SQL, LATEST_SQL, SESSIONS_SQL, TICK_SQL
 from fleetstats.plans.staging import fresh_folder
-from fleetstats.plans.stand_ins import LOOPBACK, SAMPLES, samples
+from fleetstats.plans.stand_ins import LOOPBACK, SAMPLES
 from fleetstats.schemas import CONTAINERS, HISTORY, SNAPSHOT
 from fleetstats.streaming.ingest import ingest, record_history
 from fleetstats.streaming.rates import stream_counter_rate

@@ -1,7 +1,7 @@
 """What the plans must look like to hold at scale."""
 
 import re
-from datetime import datetime, timedelta
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +52,8 @@ def test_hot_keys_are_shuffled_once(spark, hot):
 def test_ordinary_keys_take_one_plain_window(spark, hot):
     plan = final_plan(counter_rate(hot, ["b"]))
     assert plan.count("Exchange") == 1 and "Union" not in plan and "Join" not in plan
+    by_tick = final_plan(counter_rate(hot.withColumn("name", F.concat("name", F.col("b") % 3)), ["b"], elapsed="tick"))
+    assert by_tick.count("Exchange") == 1 and "Join" not in by_tick
 
 
 def test_only_borders_of_pieces_go_through_the_whole_hot_key(spark, hot):
