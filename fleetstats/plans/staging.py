@@ -4,23 +4,35 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from fleetstats.session import shared_folder
 
 
-def fresh_folder(spark, name: str) -> str:
+def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def session_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one that is removed when the driver's JVM ends.
+
+    Results are lazy, so what they read has to stay as long as the session that reads them.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(fresh_folder(spark, name))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return str(path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an aggregated side table to the shared folder and read it back.
 
     The written files give the optimizer the table's true size, so it broadcasts the table only
     below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it beyond.  The table also survives
-    the loss of executors and is computed once for all of its readers.
+    the loss of executors and is computed once for all of its readers.  It belongs to the session
+    and goes with it.
     """
-    spark = df.sparkSession
-    path = fresh_folder(spark, name)
+    path = f"{session_folder(df.sparkSession, name)}/rows"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

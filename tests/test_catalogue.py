@@ -4,10 +4,10 @@ import pytest
 
 import __spark_entry__ as entry_points
 from compare import differences, duck
+from fleetstats.plans.catalog import load_all
 
 FOLDER = os.environ.get("CATALOGUE_DIR", "/root/testdata/sf0.001")
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES, ORACLES = load_all()
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +17,7 @@ def connection():
 
 def test_every_query_has_its_sql():
     assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.keys() <= entry_points.queries().keys()
 
 
 @pytest.mark.parametrize("name", QUERIES)
