@@ -30,6 +30,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     from fleetstats.llm import (  # noqa: F401
+        bpe,
         exact_dedup,
     )
 
