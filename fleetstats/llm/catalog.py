@@ -33,6 +33,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         bpe,
         exact_dedup,
         secrets,
+        toxicity,
     )
 
     return dict(QUERIES), dict(ORACLES)
