@@ -2,8 +2,8 @@
 
 Lexicons are mined from labelled documents of the learning part: words, and beginnings of words, that
 toxic documents use far more often.  Each lexicon, each level of density and each pattern is a voter.
-A generative label model estimates their accuracies and correlations, the given labels being one
-more voter; its posterior labels train the linear classifier that scores every text.
+A generative label model, anchored in the given labels, estimates their accuracies and correlations;
+its posterior labels train the linear classifier that scores every text.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ TERMS, LEAST_TOXIC, LEAST_ODDS = 2000, 5, 3.0
 LEXICONS = 16  # the terms are dealt by hash into so many
 PREFIXES = (4, 5, 6)  # a mined beginning of a word ends in PREFIX_MARK
 PREFIX_MARK = "*"
+LABEL_ERROR = 0.05  # how often a given label may be wrong; the voters are weighed against it
 WORD = re.compile(r"[^\W\d_]+")
 REMEMBERED = 200_000  # words whose lexicon a Python worker remembers
 # Common English insults, a lexicon that needs no labels.
@@ -88,7 +89,8 @@ class _Known(dict):
         self.terms = terms
 
     def __missing__(self, word: str) -> int:
-        found = [t for t in (word, *(word[:n] + PREFIX_MARK for n in PREFIXES if len(word) > n)) if t in self.terms]
+        # The shortest beginning comes first, so that words unseen in the fit fall where their like do.
+        found = [t for t in (*(word[:n] + PREFIX_MARK for n in PREFIXES if len(word) > n), word) if t in self.terms]
         if word in SEED:
             place = LEXICONS + 2 if found else LEXICONS + 1
         else:
@@ -116,7 +118,7 @@ def votes_of(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ToxicityModel:
-    """``label_model``'s last voter is the given label; the others are those of ``votes_of``.
+    """``label_model`` is of the voters of ``votes_of``, around the given labels.
 
     Features are held to ``low`` and ``high``, the range that the fit has seen, so that a text unlike any
     of its is not judged by a straight line carried on.
@@ -217,9 +219,9 @@ def fit_toxicity(
         flat = np.zeros(N_FEATURES)
         return ToxicityModel(terms, None, flat, float(np.log((share + 1e-9) / (1 - share + 1e-9))), flat, flat)
     x = np.stack(rows.x.to_numpy())
-    votes = np.hstack([votes_of(x), np.where(given > 0, 1, -1)[:, None]])
-    model = fit_label_model(votes, np.where(given > 0, 0.95, 0.05))
-    weights, intercept = fit_logistic(x, model.posterior(votes))
+    votes, first = votes_of(x), np.where(given > 0, 1 - LABEL_ERROR, LABEL_ERROR)
+    model = fit_label_model(votes, first, anchored=True)
+    weights, intercept = fit_logistic(x, model.posterior(votes, first))
     return ToxicityModel(terms, model, weights, intercept, x.min(axis=0), x.max(axis=0))
 
 

@@ -26,10 +26,12 @@ class LabelModel:
     weight: np.ndarray
     correlation: np.ndarray
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """The chance that the label holds, per row of ``votes``."""
+    def posterior(self, votes: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """The chance that the label holds, per row of ``votes``; ``before`` is each row's chance before
+        they are heard, the common one by default."""
         logs = np.log(self.theta)
-        odds = np.full(len(votes), np.log(self.prior) - np.log1p(-self.prior))
+        before = np.full(len(votes), self.prior) if before is None else before
+        odds = np.log(before) - np.log1p(-before)
         for v in range(votes.shape[1]):
             odds += self.weight[v] * (logs[v, 1] - logs[v, 0])[votes[:, v] + 1]
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
@@ -54,15 +56,20 @@ def _correlations(votes: np.ndarray, belief: np.ndarray) -> np.ndarray:
     return both / len(votes)
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, correlations: bool = True, rounds: int = ROUNDS) -> LabelModel:
+def fit_label_model(
+    votes: np.ndarray, start: np.ndarray, anchored: bool = False, correlations: bool = True, rounds: int = ROUNDS
+) -> LabelModel:
     """Expectation-maximisation over class-conditional choices, from a first belief per row.
 
+    ``anchored`` keeps that belief as what is known of a row before the voters speak, as for rows with
+    a given label of some error; otherwise it only starts the search.
+
     With ``correlations``, voters that agree beyond what the label explains share their weight: a
     voter's is 1 / (1 + the sum of its squared correlations), learnt along with the accuracies.
     """
     votes = np.asarray(votes, dtype=np.int64)
     belief = np.clip(np.asarray(start, dtype=float), 0.001, 0.999)
-    n_voters = votes.shape[1]
+    first, n_voters = belief, votes.shape[1]
     model = LabelModel(0.5, np.full((n_voters, 2, 3), 1 / 3), np.ones(n_voters), np.eye(n_voters))
     for _ in range(rounds):
         theta = np.empty((n_voters, 2, 3))
@@ -76,7 +83,7 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, correlations: bool = T
             excess = np.where(np.abs(model.correlation) > CORRELATED, model.correlation, 0) ** 2
             np.fill_diagonal(excess, 0)
             model.weight = 1 / (1 + excess.sum(axis=1))
-        new = model.posterior(votes)
+        new = model.posterior(votes, first if anchored else None)
         moved, belief = np.abs(new - belief).max(), new
         if moved < 1e-6:
             break
