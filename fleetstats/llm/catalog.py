@@ -32,6 +32,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
     from fleetstats.llm import (  # noqa: F401
         bpe,
         exact_dedup,
+        mixing,
         near_dedup,
         secrets,
         toxicity,
