@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from fleetstats.llm.catalog import query, table
 
 RANKS = "byte_bpe_50k.tiktoken"
-# Matches and token pairs remembered per Python worker; beyond it the memory starts anew.
+# Matches and token pairs remembered per Python worker, the last used ones.
 REMEMBERED = 100_000
 # A rank file is read by the driver and sent to all workers, so its size is checked.
 LARGEST_RANK_FILE = 64 * 2**20
@@ -59,6 +59,7 @@ class Vocabulary:
         self.split = regex.compile(pattern).findall
         self.fits = functools.lru_cache(REMEMBERED)(self._fits)
         self.shorter = functools.lru_cache(REMEMBERED)(self._shorter)
+        self.stands = functools.lru_cache(REMEMBERED)(self._stands)
         self.packed = _Packed(self)
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -116,14 +117,12 @@ class Vocabulary:
                 less = self.shorter(token)
             token = less
 
-    def stands(self, token: int) -> bool:
+    def _stands(self, token: int) -> bool:
         """Whether the merges of a token's own bytes give it."""
         return len(self.merged(self.tokens[token])) == 1
 
     def encode(self, text: str) -> bytes:
         """A whole text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.packed) > REMEMBERED:
-            self.packed.clear()
         return b"".join(map(self.packed.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
@@ -131,15 +130,26 @@ class Vocabulary:
 
 
 class _Packed(dict):
-    """Packed ids per match, worked out when first asked for."""
+    """Packed ids per match, worked out when first asked for.
+
+    When ``REMEMBERED`` are there, they become the older ones, which go when the next are full unless
+    they are asked for again.
+    """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
         self.vocabulary = vocabulary
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, match: str) -> bytes:
-        ids = self.vocabulary.encode_match(match)
-        self[match] = packed = pack(f"<{len(ids)}I", *ids)
+        packed = self.older.get(match)
+        if packed is None:
+            ids = self.vocabulary.encode_match(match)
+            packed = pack(f"<{len(ids)}I", *ids)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[match] = packed
         return packed
 
 
