@@ -36,6 +36,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         near_dedup,
         secrets,
         toxicity,
+        warc,
     )
 
     return dict(QUERIES), dict(ORACLES)
