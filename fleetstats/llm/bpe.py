@@ -25,7 +25,7 @@ from fleetstats.llm.catalog import query, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 # Matches and token pairs remembered per Python worker, the last used ones.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 # A rank file is read by the driver and sent to all workers, so its size is checked.
 LARGEST_RANK_FILE = 64 * 2**20
 
@@ -39,6 +39,16 @@ def read_ranks(path: str) -> bytes:
     return data
 
 
+def tokens_by_rank(rank_file: bytes) -> dict[int, bytes]:
+    lines = (line.split() for line in rank_file.splitlines() if line.strip())
+    return {int(rank): base64.b64decode(token) for token, rank in lines}
+
+
+def decode(ids: bytes, tokens: dict[int, bytes]) -> bytes:
+    """The bytes of packed ids."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 class Vocabulary:
     """Tokens by rank, the automaton over them, and the memory of what was worked out before."""
 
@@ -46,9 +56,8 @@ class Vocabulary:
         import ahocorasick
         import regex
 
-        lines = (line.split() for line in rank_file.splitlines() if line.strip())
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.tokens = tokens_by_rank(rank_file)
+        self.ranks = {token: rank for rank, token in self.tokens.items()}
         missing = [b for b in range(256) if bytes([b]) not in self.ranks]
         if missing:
             raise ValueError(f"the rank file has no token for the bytes {missing[:5]}")
@@ -125,9 +134,6 @@ class Vocabulary:
         """A whole text's ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.packed.__getitem__, self.split(text)))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 class _Packed(dict):
     """Packed ids per match, worked out when first asked for.
@@ -193,13 +199,13 @@ class Codec:
 
     def decode(self, ids: str | Column) -> Column:
         """The bytes that packed ids stand for; none for null.  An id not in the rank file is an error."""
-        file, pattern = self.file, self.pattern
+        file = self.file
 
         @F.arrow_udf("binary")
         def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            decode = vocabulary(file.value, pattern).decode
+            tokens = tokens_by_rank(file.value)
             for packed in batches:
-                yield pa.array((decode(p.as_py() or b"") for p in packed), pa.binary())
+                yield pa.array((decode(p.as_py() or b"", tokens) for p in packed), pa.binary())
 
         return decoded(ids)
 

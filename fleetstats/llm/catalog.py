@@ -34,6 +34,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         exact_dedup,
         mixing,
         near_dedup,
+        neighbours,
         secrets,
         toxicity,
         warc,

@@ -37,7 +37,7 @@ def ids(v, text):
 def test_any_text_as_the_library_does(both, text):
     reference, v = both
     assert ids(v, text) == reference.encode_ordinary(text)
-    assert v.decode(v.encode(text)) == text.encode()
+    assert bpe.decode(v.encode(text), v.tokens) == text.encode()
 
 
 @settings(max_examples=300, deadline=None)
