@@ -36,6 +36,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         near_dedup,
         neighbours,
         secrets,
+        substring_dedup,
         toxicity,
         warc,
     )

@@ -1,0 +1,135 @@
+import random
+
+import numpy as np
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from fleetstats.llm import substring_dedup as S
+from fleetstats.llm.catalog import load
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def slow_cuts(data):
+    """The definition, a byte at a time."""
+    out, last, h = [], 0, 0
+    for i, b in enumerate(data):
+        h = ((h << 1) + int(S.GEARS[b])) % 2**16
+        if i + 1 - last == S.MOST or (i + 1 - last >= S.LEAST and h & int(S.CUT_MASK) == 0):
+            out.append(i + 1)
+            last = i + 1
+    return out + [len(data)] * (last < len(data))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=1500) | st.binary(max_size=5).map(lambda b: b * 300))
+def test_cuts_are_those_of_the_rolling_hash(data):
+    assert S.cuts(np.frombuffer(data, np.uint8)) == slow_cuts(data)
+
+
+def brute(rows):
+    """Chunks by the slow cuts, runs by plain loops."""
+    docs = {}
+    for i, t in rows:
+        if i is None:
+            continue
+        raw, last = (t or "").encode(), 0
+        for end in slow_cuts(raw):
+            if end - last >= S.LEAST:
+                d = xxhash.xxh3_64_intdigest(raw[last:end])
+                # A code point that a cut splits belongs to the chunk of its first byte.
+                point = lambda n: sum((b & 0xC0) != 0x80 for b in raw[:n])
+                space = lambda b: b == 32 or 9 <= b <= 13
+                words = sum(not space(raw[j]) and (j == 0 or space(raw[j - 1])) for j in range(last, end))
+                docs.setdefault(i, set()).add((point(last), point(end), words, d))
+            last = end
+    first = {}
+    for i, cs in docs.items():
+        for *_, d in cs:
+            first[d] = min(first.get(d, i), i)
+    out = set()
+    for i, cs in docs.items():
+        runs, end = [], -1
+        for s, e, w, d in sorted(cs):
+            if first[d] < i:
+                if s > end:
+                    runs.append([])
+                runs[-1].append((s, e, w, first[d]))
+                end = max(end, e)
+        for run in runs:
+            words = {}
+            for _, _, w, f in run:
+                words[f] = words.get(f, 0) + w
+            best = min(words, key=lambda f: (-words[f], f))
+            total = sum(words.values())
+            for f, w in words.items():
+                if total >= S.RUN_WORDS and (f == best or w >= S.SOURCE_WORDS):
+                    out.add((i, f, run[0][0], max(e for _, e, _, _ in run), total, w))
+    return out
+
+
+def words(dice, n):
+    return " ".join("".join(dice.choices("etaoinshrdluäß", k=dice.randint(2, 9))) for _ in range(n))
+
+
+def made():
+    dice = random.Random(9)
+    rows = [(i, words(dice, dice.randint(30, 300))) for i in range(60)]
+    planted = {}
+    ids = dice.sample(range(60), 60)
+    for k in range(15):
+        passage = words(dice, 51)
+        for i in ids[4 * k : 4 * k + dice.randint(2, 4)]:
+            text = rows[i][1].split(" ")
+            at = dice.randrange(len(text))
+            rows[i] = (i, " ".join(text[:at] + [passage] + text[at:]))
+            planted.setdefault(k, set()).add(i)
+    line = words(dice, 12)
+    rows += [(100 + i, words(dice, 40) + "\n" + line + "\n" + words(dice, 40)) for i in range(20)]
+    rows += [(200, None), (201, ""), (None, rows[0][1]), (202, "x"), (203, "y " * 30000), (3, rows[3][1]), (204, rows[4][1])]
+    return rows, planted
+
+
+def test_planted_passages_are_found_and_shared_lines_are_not(spark):
+    rows, planted = made()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as digest", "2 as run")
+    got = {tuple(r) for r in S.repeated_passages(docs).collect()}
+    assert got == brute(rows)
+    named = {(a, b) for a, b, *_ in got}
+    for docs_of in planted.values():
+        first, *later = sorted(docs_of)
+        assert all((i, first) in named for i in later)
+    assert not {i for pair in named for i in pair} & (set(range(100, 120)) | {200, 201, 202})
+
+
+def test_query_equals_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
+    got = [tuple(r) for r in load()[0]["op4_substring_dedup"](spark, FOLDER).collect()]
+    assert len(got) == len(set(got)) > 0
+    short = [r for r in rows if len(r[1] or "") < 3000]
+    docs = spark.createDataFrame(short, "doc_id bigint, text string")
+    assert {tuple(r) for r in S.repeated_passages(docs).collect()} == brute(short)
+
+
+def test_cut_out_texts_keep_the_first_and_all_rows(spark):
+    rows, planted = made()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("text", "doc_id", "1 as _spans2")
+    out = S.without_repeats(docs)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    left = {r.doc_id: r.text for r in out.collect()}
+    full = dict(rows)
+    assert left[200] is None and left[201] == "" and left[0] == full[0]
+    spans = {}
+    for i, _, s, e, *_ in brute(rows):
+        spans.setdefault(i, set()).add((s, e))
+    for i, ss in spans.items():
+        at, want = 0, ""
+        for s, e in sorted(ss):
+            want, at = want + full[i][at:s], e
+        assert left[i] == want + full[i][at:]
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    assert S.repeated_passages(docs).count() == 0 and S.without_repeats(docs).count() == 0
