@@ -35,6 +35,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         mixing,
         near_dedup,
         neighbours,
+        quality,
         secrets,
         substring_dedup,
         toxicity,
