@@ -24,8 +24,8 @@ from fleetstats.plans.staging import stage
 
 # Labelled documents that the classifier is fitted on at most, taken by hash.
 FIT_DOCS = 12_000
-# Mined terms: how many at most, in how many toxic documents at least, and by what log odds.
-TERMS, LEAST_TOXIC, LEAST_ODDS = 2000, 5, 3.0
+# Mined terms: how many at most, after how many different words at least, and by what log odds.
+TERMS, LEAST_PLACES, LEAST_ODDS = 2000, 5, 3.0
 LEXICONS = 16  # the terms are dealt by hash into so many
 PREFIXES = (4, 5, 6)  # a mined beginning of a word ends in PREFIX_MARK
 PREFIX_MARK = "*"
@@ -38,63 +38,69 @@ SEED = frozenset(
     "fools imbecile cretin filth vermin freak freaks bastard bastards jerk ugly hate hated shut".split()
 )
 DENSITIES = (0.002, 0.005, 0.01)  # of mined words among all
-# Features: hits per lexicon, mined and seed hits, words, density, shouting, exclamations, repeats.
-N_FEATURES = LEXICONS + 8
+# Features, all by length, so that a long text's strays do not add up: density of each lexicon, of mined words
+# by the strength of their terms, of mined and of seed words; shouting, exclamations, repeats.
+N_FEATURES = LEXICONS + 6
 N_VOTERS = LEXICONS + 1 + len(DENSITIES) + 4
+DAMPED = 50  # words added to a text's length, so that one hit in a few words is no certainty
 
 
-def terms_of(text: str) -> set[str]:
-    """A text's words and beginnings of words."""
-    words = set(WORD.findall(text.lower()))
-    return words.union(*({w[:n] + PREFIX_MARK for w in words if len(w) > n} for n in PREFIXES))
+def terms_of(text: str) -> dict[str, str]:
+    """A text's words and beginnings of words, each with the word before its first place."""
+    words = WORD.findall(text.lower())
+    terms: dict[str, str] = {}
+    for before, word in zip(["", *words], words):
+        if word not in terms:
+            terms[word] = before
+            for n in PREFIXES:
+                if len(word) > n:
+                    terms.setdefault(word[:n] + PREFIX_MARK, before)
+    return terms
 
 
 class Reader:
-    """Features of texts for a given set of mined terms."""
+    """Features of texts for given mined terms and their log odds."""
 
-    def __init__(self, terms: frozenset[str]) -> None:
-        self.terms = terms
+    def __init__(self, terms: dict[str, float]) -> None:
         self.known = _Known(terms)
 
     def features(self, text: str) -> np.ndarray:
         words = WORD.findall(text.lower())
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        places = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        counts = np.bincount(places, minlength=LEXICONS + 3)
-        mined = counts[1 : LEXICONS + 1].sum() + counts[LEXICONS + 2]
-        seeds = counts[LEXICONS + 1] + counts[LEXICONS + 2]
-        hits = mined + counts[LEXICONS + 1]
-        n = max(len(words), 1)
-        # Long texts hold strays, so evidence is the density of hits, damped by one word in two hundred.
-        density = np.log((hits + 0.05) / (n + 200))
+        # Most words are of no lexicon; what is left is few.
+        hits = list(filter(None, map(self.known.__getitem__, words)))
+        n = len(words)
+        lexicons = np.bincount([h[0] for h in hits if h[0] >= 0], minlength=LEXICONS) if hits else np.zeros(LEXICONS)
+        strength, seeds = sum(h[1] for h in hits), sum(h[2] for h in hits)
         codes = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=128)
         capital, small = codes[65:91].sum(), codes[97:123].sum()
+        length = n + DAMPED
         return np.concatenate(
             [
-                np.log1p(counts[1 : LEXICONS + 1]),
+                lexicons / length,
                 [
-                    np.log1p(mined), np.log1p(seeds), np.log(n), density, hits / n,
-                    capital / max(capital + small, 1), min(codes[33] / n, 1.0), 1 - len(set(words)) / n,
+                    np.log(strength / length + 1e-3), np.log(lexicons.sum() / length + 1e-3), seeds / length,
+                    capital / max(capital + small, 1), min(codes[33] / max(n, 1), 1.0), 1 - len(set(words)) / max(n, 1),
                 ],
             ]
         )
 
 
 class _Known(dict):
-    """The place of a word: 0 none, 1.. its lexicon, then seed only, then seed and mined."""
+    """Of a word its lexicon (-1 for a seed that is not mined), strength and whether it is a seed; None for most."""
 
-    def __init__(self, terms: frozenset[str]) -> None:
+    def __init__(self, terms: dict[str, float]) -> None:
         super().__init__()
         self.terms = terms
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> tuple[int, float, bool] | None:
         # The shortest beginning comes first, so that words unseen in the fit fall where their like do.
         found = [t for t in (*(word[:n] + PREFIX_MARK for n in PREFIXES if len(word) > n), word) if t in self.terms]
-        if word in SEED:
-            place = LEXICONS + 2 if found else LEXICONS + 1
+        if found:
+            place = zlib.crc32(found[0].encode()) % LEXICONS, max(self.terms[t] for t in found), word in SEED
         else:
-            place = 1 + zlib.crc32(found[0].encode()) % LEXICONS if found else 0
+            place = (-1, 0.0, True) if word in SEED else None
         self[word] = place
         return place
 
@@ -102,14 +108,15 @@ class _Known(dict):
 def votes_of(x: np.ndarray) -> np.ndarray:
     """What the voters say of rows of features."""
     votes = np.zeros((len(x), N_VOTERS), dtype=np.int8)
+    density = np.exp(x[:, LEXICONS + 1]) - 1e-3
+    seeds, upper, marks, repeats = (x[:, LEXICONS + i] for i in (2, 3, 4, 5))
     votes[:, :LEXICONS] = x[:, :LEXICONS] > 0
-    mined, seeds, density, upper, marks, repeats = (x[:, LEXICONS + i] for i in (0, 1, 4, 5, 6, 7))
     votes[:, LEXICONS] = seeds > 0
     at = LEXICONS + 1
     for level in DENSITIES:
         votes[:, at] = np.where(density >= level, 1, -1)
         at += 1
-    votes[:, at] = np.where(mined + seeds == 0, -1, 0)
+    votes[:, at] = np.where((density < 1e-6) & (seeds == 0), -1, 0)
     votes[:, at + 1] = upper > 0.5
     votes[:, at + 2] = marks > 0.2
     votes[:, at + 3] = np.where(repeats > 0.8, 1, 0)
@@ -124,7 +131,7 @@ class ToxicityModel:
     of its is not judged by a straight line carried on.
     """
 
-    terms: frozenset[str]
+    terms: dict[str, float]
     label_model: LabelModel | None
     weights: np.ndarray
     intercept: float
@@ -145,7 +152,7 @@ class ToxicityModel:
         return scored(text)
 
 
-def features(text: str | Column, terms: frozenset[str]) -> Column:
+def features(text: str | Column, terms: dict[str, float]) -> Column:
     @F.arrow_udf("array<double>")
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = Reader(terms)
@@ -161,32 +168,37 @@ def held_out(doc_id: str | Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def mine_terms(labelled: DataFrame) -> frozenset[str]:
-    """Terms of ``labelled`` (text, toxic) that toxic documents hold far more often.
+def mine_terms(labelled: DataFrame) -> dict[str, float]:
+    """Terms of ``labelled`` (text, toxic) that toxic documents hold far more often, with their log odds.
 
-    Document counts combine before the shuffle.  At most ``TERMS`` come to the driver.
+    A term counts by the different words that it follows in toxic documents: words that copies of one toxic
+    document share always follow the same, while what makes documents toxic turns up anywhere.
+    Counts combine before the shuffle.  At most ``TERMS`` terms come to the driver.
     """
 
-    @F.arrow_udf("array<string>")
+    @F.arrow_udf("array<struct<term:string,before:string>>")
     def distinct_terms(texts: pa.Array) -> pa.Array:
-        return pa.array([list(terms_of(t.as_py() or "")) for t in texts], pa.list_(pa.string()))
+        rows = [[{"term": t, "before": b} for t, b in terms_of(t.as_py() or "").items()] for t in texts]
+        return pa.array(rows, pa.list_(pa.struct([("term", pa.string()), ("before", pa.string())])))
 
     n, n_toxic = labelled.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < n_toxic < n:
-        return frozenset()
-    in_toxic = (F.col("t") + 0.5) / (n_toxic + 1)
+        return {}
+    in_toxic = (F.least("t", "places") + 0.5) / (n_toxic + 1)
     in_clean = (F.col("n") - F.col("t") + 0.5) / (n - n_toxic + 1)
     counted = (
-        labelled.select("toxic", F.explode(distinct_terms("text")).alias("term"))
-        .groupBy("term")
+        labelled.select("toxic", F.explode(distinct_terms("text")).alias("d"))
+        .groupBy("d.term", F.xxhash64("d.before").alias("before"))
         .agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
-        .where(F.col("t") >= LEAST_TOXIC)
+        .groupBy("term")
+        .agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.count_if(F.col("t") > 0).alias("places"))
+        .where(F.col("places") >= LEAST_PLACES)
         .withColumn("odds", F.log(in_toxic / in_clean))
         .where(F.col("odds") >= LEAST_ODDS)
-        .orderBy(F.desc(F.col("odds") * F.sqrt("t")), "term")
+        .orderBy(F.desc(F.col("odds") * F.sqrt("places")), "term")
         .limit(TERMS)
     )
-    return frozenset(r.term for r in counted.select("term").collect())
+    return {r.term: r.odds for r in counted.select("term", "odds").collect()}
 
 
 def fit_toxicity(
