@@ -42,4 +42,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         warc,
     )
 
+    import corpus_pipeline
+
+    query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
     return dict(QUERIES), dict(ORACLES)
