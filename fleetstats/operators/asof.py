@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetstats.plans.slices import HOT_ROWS, cut, hot_keys
+from fleetstats.plans.slices import HOT_ROWS, cut, hot_keys, join_same
 
 
 def _filled(asked: DataFrame, known: DataFrame, by: Sequence[str], marks: Sequence[str]) -> DataFrame:
@@ -46,7 +46,7 @@ def _filled_within_pieces(
         .agg(F.first("_value", ignorenulls=True).alias("_value"))
         .select(*keys, "_piece", F.last("_value", ignorenulls=True).over(earlier).alias("_far"))
     )
-    return near.join(carry, [*keys, "_piece"], "left").withColumn(
+    return join_same(near, carry, [*keys, "_piece"], "left").withColumn(
         "_near", F.coalesce("_near", "_far")
     )
 
@@ -62,20 +62,23 @@ def as_of(
 ) -> DataFrame:
     """Each left row with ``values`` of the newest right row of its host not after it.
 
+    A right row without a time is not known to be before anything and matches nothing; a left row
+    without a time gets NULLs.
+
     Both sides are stacked and values filled forward in time, in one shuffle and without comparing
     rows in pairs.
     """
     keys = list(keys)
     marks = ["_at", *[f"_seq{i}" for i in range(len(right_seq))]]
     order = [F.col(c).alias(mark) for c, mark in zip((ts, *right_seq), marks)]
-    known = right.select(*keys, *order, F.struct(*values).alias("_value"), F.lit(0).alias("_side"))
+    known = right.where(F.col(ts).isNotNull()).select(*keys, *order, F.struct(*values).alias("_value"), F.lit(0).alias("_side"))
     asked = left.select("*", F.col(ts).alias("_at"), F.lit(1).alias("_side"))
 
     hot = hot_keys(asked.select(*keys, "_at").unionByName(known.select(*keys, "_at")), keys, "_at", hot_rows)
     if hot is None:
         found = _filled(asked, known, keys, marks)
     else:
-        ordinary = [side.join(hot, keys, "left_anti") for side in (asked, known)]
+        ordinary = [join_same(side, hot, keys, "left_anti") for side in (asked, known)]
         pieces = [cut(side, hot, keys, "_at") for side in (asked, known)]
         found = _filled(*ordinary, keys, marks).unionByName(
             _filled_within_pieces(*pieces, keys, marks).drop("_piece", "_far")

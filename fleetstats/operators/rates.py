@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetstats.plans.slices import HOT_ROWS, hot_keys, micros, with_previous
+from fleetstats.plans.slices import HOT_ROWS, hot_keys, join_same, micros, with_previous
 
 
 def elapsed_seconds(now: Column, before: Column) -> Column:
@@ -34,7 +34,7 @@ def _since_last_tick(
     seen = (df if ticks is None else ticks).select(*keys, ts)
     if hot_keys(seen, keys, ts, hot_rows) is not None:
         times = with_previous(seen.distinct(), keys, ts, {"_since": ts}, (), hot_rows, counted=seen)
-        return df.join(times, [*keys, ts], "left")
+        return join_same(df, times, [*keys, ts], "left")
     rows = df.withColumn("_asked", F.lit(True))
     if ticks is not None:
         rows = rows.unionByName(seen.withColumn("_asked", F.lit(False)), allowMissingColumns=True)

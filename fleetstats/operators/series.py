@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetstats.functions.times import ts_to_s
-from fleetstats.plans.slices import HOT_ROWS, NO_TIME, PIECES_PER_TASK, SLICE, slice_start
+from fleetstats.plans.slices import HOT_ROWS, NO_TIME, PIECES_PER_TASK, SLICE, join_same, slice_start
 from fleetstats.plans.staging import stage
 
 HISTORY_POINTS = 3600  # points kept per host by default
@@ -61,11 +61,13 @@ def tail(
     if start is not None and start != NO_TIME:
         bound = F.timestamp_micros(F.lit(start)).cast(df.schema[ts].dataType)
         sliced = sliced.where(F.col(ts) >= bound)
-    kept = sliced.join(needed, [*keys, "_slice"], "left_semi").drop("_slice")
+    kept = join_same(sliced, needed, [*keys, "_slice"], "left_semi").drop("_slice")
     newest = [F.desc(ts), *[F.desc(s) for s in seq]]
     if largest is not None and largest > hot_rows:
         parts = -(-largest * PIECES_PER_TASK // hot_rows)
-        part = F.pmod(F.xxhash64(ts, *(seq or df.columns)), F.lit(parts))
+        # Maps have no hash.
+        plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+        part = F.pmod(F.xxhash64(ts, *(seq or plain)), F.lit(parts))
         kept = _first_rows(kept.withColumn("_part", part), n, [*keys, "_part"], newest).drop("_part")
     return _first_rows(kept, n, keys, newest)
 
@@ -80,10 +82,9 @@ def latest(
     keys: Sequence[str] = ("host",),
     ts: str = "ts",
     seq: Sequence[str] = (),
-    width: str = SLICE,
 ) -> DataFrame:
-    """The newest row per host."""
-    return tail(df, 1, keys, ts, seq, width=width)
+    """The newest row per host, in one pass: each task keeps one row per host before the shuffle."""
+    return _first_rows(df, 1, keys, [F.desc(ts), *[F.desc(s) for s in seq]])
 
 
 def backfill_union(
@@ -126,13 +127,16 @@ def trend(
     keys: Sequence[str] = ("host",),
     ts: str = "ts",
 ) -> DataFrame:
-    """Chart-ready points: ``x`` and each ``<value>_y`` in [0, 1]; hosts with one point have none."""
+    """Chart-ready points: ``x`` and each ``<value>_y`` in [0, 1]; hosts with one point have none.
+
+    A missing reading stays missing.
+    """
     drawn = stage(extent(df, keys, ts).where(F.col("points") >= 2), "extents")
-    return df.join(drawn, list(keys), "inner").select(
+    return join_same(df, drawn, keys).select(
         *df.columns,
         ((ts_to_s(ts) - F.col("t_min")) / F.col("t_range")).alias("x"),
         *[
-            (F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col(v))) / 100.0).alias(f"{v}_y")
+            F.when(F.col(v).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col(v))) / 100.0).alias(f"{v}_y")
             for v in values
         ],
     )

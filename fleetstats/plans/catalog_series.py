@@ -156,8 +156,9 @@ def series_extent(spark, folder):
     f"""SELECT p.host, p.ts, p.cpu_avg, p.mem_percent,
       CAST(CAST(floor(epoch_us(p.ts) / 1000000) AS BIGINT) - e.t_min AS DOUBLE)
         / CAST(e.t_range AS DOUBLE) AS x,
-      greatest(0, least(100, p.cpu_avg)) / CAST(100 AS DOUBLE) AS cpu_avg_y,
-      greatest(0, least(100, p.mem_percent)) / CAST(100 AS DOUBLE) AS mem_percent_y
+      CASE WHEN p.cpu_avg IS NOT NULL THEN greatest(0, least(100, p.cpu_avg)) / CAST(100 AS DOUBLE) END AS cpu_avg_y,
+      CASE WHEN p.mem_percent IS NOT NULL THEN greatest(0, least(100, p.mem_percent)) / CAST(100 AS DOUBLE) END
+        AS mem_percent_y
     FROM {_POINTS} p JOIN {_EXTENT} e USING (host) WHERE e.points >= 2""",
 )
 def trend_series(spark, folder):

@@ -13,7 +13,7 @@ from fleetstats.plans.stand_ins import LOOPBACK, SAMPLES
 from fleetstats.schemas import CONTAINERS, HISTORY, SNAPSHOT
 from fleetstats.streaming.ingest import ingest, record_history
 from fleetstats.streaming.rates import stream_counter_rate
-from fleetstats.streaming.sinks import read_table, start, table_sink, write_stream
+from fleetstats.streaming.sinks import FAILURES, read_table, start, table_sink, write_stream
 from fleetstats.streaming.views import stream_latest, stream_sample, stream_sessions
 
 
@@ -98,7 +98,8 @@ def stream_sessions_open(spark, folder):
     def replace(batch, batch_id):
         batch.write.mode("overwrite").parquet(path)
 
-    start(stream, replace, mode="complete", available_now=True).awaitTermination()
+    state = fresh_folder(spark, "sessions-state")
+    start(stream, replace, checkpoint=state, mode="complete", available_now=True).awaitTermination()
     rows = spark.read.schema(stream.schema).parquet(path)
     times = ("session_start", "last_message", "session_end")
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
@@ -155,10 +156,14 @@ def stream_ingest(spark, folder):
 @query(
     "stream_fan_out",
     f"""SELECT host, name, ts, event_id, value, k, 'first' AS target FROM {SAMPLES}
-    UNION ALL SELECT host, name, ts, event_id, value, k, 'second' FROM {SAMPLES}""",
+    UNION ALL SELECT host, name, ts, event_id, value, k, 'second' FROM {SAMPLES}
+    UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 0, 'closed'""",
 )
 def stream_fan_out(spark, folder):
-    """One stream written to two targets; a third fails and costs the others nothing."""
+    """One stream written to two targets; an optional third fails, which is recorded and costs the others nothing.
+
+    The failed target is a row with the batch that it missed as ``k``.
+    """
     stream = sample_stream(spark, folder)
     first, second = fresh_folder(spark, "first"), fresh_folder(spark, "second")
 
@@ -166,10 +171,13 @@ def stream_fan_out(spark, folder):
         raise ConnectionError("the reader has gone")
 
     targets = {"first": first, "closed": closed, "second": second}
-    write_stream(stream, targets, available_now=True).awaitTermination()
+    failures = fresh_folder(spark, "failures")
+    write_stream(stream, targets, failures, optional=["closed"], available_now=True).awaitTermination()
+    missed = spark.read.schema(FAILURES).parquet(failures).select(F.col("batch_id").alias("k"), "target")
     one = read_table(spark, first, stream.schema).withColumn("target", F.lit("first"))
     two = read_table(spark, second, stream.schema).withColumn("target", F.lit("second"))
-    return one.unionByName(two).drop("batch_id").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    both = one.unionByName(two).drop("batch_id").unionByName(missed, allowMissingColumns=True)
+    return both.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(

@@ -3,13 +3,14 @@
 A window over ``partitionBy(key)`` puts a key's whole past into one task.  That is the cheapest plan
 for keys of ordinary size and no plan at all for a key with a third of all rows.  Keys are therefore
 counted first, which reads only keys and time and combines before the shuffle.  Keys above
-``HOT_ROWS`` are cut into pieces of their time span, the pieces are worked on side by side, and the
+``HOT_ROWS`` are cut into pieces by quantiles of their times, the pieces are worked on side by side, and the
 few rows at the borders of pieces are then put right per key.  Results are those of the plain window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +20,7 @@ from fleetstats.plans.staging import stage
 
 # Rows of one key that one task may sort.
 HOT_ROWS = 2_000_000
-# Pieces are cut for a sixteenth of that on average, so times may bunch up as much.
+# Pieces are cut for a sixteenth of that by quantiles of time, which are approximate.
 PIECES_PER_TASK = 16
 # Time slices for counting: 10 minutes are 400 ticks at the default cadence of 1.5 s.
 SLICE = "10 minutes"
@@ -43,34 +44,42 @@ def slice_start(ts: str | Column, width: str = SLICE) -> Column:
     return F.coalesce(at - F.pmod(at, F.lit(to_micros(width))), F.lit(NO_TIME))
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``keys``, where NULL equals NULL, keeping the left side's keys.
+
+    A key that is missing is a group like any other in windows and aggregates, so it is one here.
+    """
+    names = {k: f"_same_{k}" for k in keys}
+    other = right.withColumnsRenamed(names)
+    equal = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[n]) for k, n in names.items()])
+    joined = left.join(other, equal, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*names.values())
+
+
 def hot_keys(
     df: DataFrame, keys: Sequence[str], ts: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows and how their time is cut, or None if there are none.
+    """Keys with more than ``hot_rows`` rows and the bounds of their pieces, or None if there are none.
 
-    The table has at most (rows of ``df``) / ``hot_rows`` rows.
+    Bounds are quantiles of the key's own times, so one time far off does not stretch a piece.  Rows
+    of one same time cannot be parted.  The table has at most (rows of ``df``) / ``hot_rows`` rows.
     """
-    pieces = F.ceil(F.col("_rows") * PIECES_PER_TASK / hot_rows)
-    found = stage(
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_rows"), F.min(ts).alias("_from"), F.max(ts).alias("_to"))
-        .where(F.col("_rows") > hot_rows)
-        .select(
-            *keys,
-            micros("_from").alias("_origin"),
-            (F.floor((micros("_to") - micros("_from")) / pieces) + 1).alias("_width"),
-        ),
-        "hot-keys",
-    )
-    return None if found.isEmpty() else found
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows)
+    found = stage(counted, "hot-keys")
+    largest = found.agg(F.max("_rows")).first()[0]
+    if largest is None:
+        return None
+    pieces = max(2, -(-largest * PIECES_PER_TASK // hot_rows))
+    shares = [i / pieces for i in range(1, pieces)]
+    bounds = F.percentile_approx(micros(ts), shares, 100 * pieces)
+    return stage(join_same(df, found, keys, "left_semi").groupBy(*keys).agg(bounds.alias("_bounds")), "hot-bounds")
 
 
 def cut(df: DataFrame, hot: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     """The rows of hot keys, each with its ``_piece``; rows without a time are ahead of the first."""
-    piece = F.floor((micros(ts) - F.col("_origin")) / F.col("_width"))
-    return df.join(hot, list(keys)).select(
-        *df.columns, F.coalesce(piece, F.lit(-1)).alias("_piece")
-    )
+    at = micros(ts)
+    piece = F.size(F.filter("_bounds", lambda bound: bound < at))
+    return join_same(df, hot, keys).select(*df.columns, F.when(at.isNull(), -1).otherwise(piece).alias("_piece"))
 
 
 def _lags(previous: Mapping[str, str], window) -> dict[str, Column]:
@@ -121,7 +130,7 @@ def with_previous(
     hot = hot_keys(df if counted is None else counted, keys, ts, hot_rows)
     if hot is None:
         return df.withColumns(_lags(previous, whole))
-    others = df.join(hot, list(keys), "left_anti").withColumns(_lags(previous, whole))
+    others = join_same(df, hot, keys, "left_anti").withColumns(_lags(previous, whole))
     return others.unionByName(
         _previous_within_pieces(cut(df, hot, keys, ts), keys, order, previous)
     )

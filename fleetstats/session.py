@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split generated code beyond what the JVM compiles; wide reports run twice as fast.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Streamed sessions are merged before the shuffle: a busy host sends its sessions, not its messages.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 _local_folders: dict[str, str] = {}

@@ -15,6 +15,9 @@ HISTORY_TYPE = "history"
 CONTAINERS_TYPE = "docker"
 TYPES = (SNAPSHOT_TYPE, HISTORY_TYPE, CONTAINERS_TYPE)
 
+# What a snapshot cannot do without.
+SNAPSHOT_KEYS = "system struct<hostname: string>, timestamp bigint"
+
 # What becomes of a message: one of the types, or one of these.
 UNKNOWN = "unknown"
 CORRUPT = "corrupt"
@@ -37,7 +40,8 @@ def decode(df: DataFrame, value: str = "value") -> DataFrame:
 
     A message without a type, or with an empty one, is a bare snapshot: the whole text is the
     payload.  Unknown types and unparsable texts are marked, so the caller decides what becomes of
-    them, and none stops the job.
+    them, and none stops the job.  A payload that is missing or does not parse is as corrupt as a
+    message: so is a snapshot without host or time, and a history with a point without time.
     """
     envelope = F.from_json(
         value,
@@ -52,13 +56,19 @@ def decode(df: DataFrame, value: str = "value") -> DataFrame:
         .otherwise(UNKNOWN)
     )
     body = F.when(kind.isNull(), F.col(value)).otherwise(F.col("_envelope.payload"))
-    return (
-        df.withColumn("_envelope", envelope)
-        .withColumns(
-            {"route": route, "payload": F.when(route.isin(*TYPES), body)}
-        )
-        .drop("_envelope")
+    routed = df.withColumn("_envelope", envelope).withColumns({"_route": route, "payload": F.when(route.isin(*TYPES), body)})
+    document, points = F.from_json("payload", SNAPSHOT_KEYS), F.from_json("payload", HISTORY_WIRE)
+    listed = F.from_json("payload", CONTAINER_WIRE)
+    sound = (
+        F.when(F.col("_route") == SNAPSHOT_TYPE, document["system"]["hostname"].isNotNull() & document["timestamp"].isNotNull())
+        .when(F.col("_route") == HISTORY_TYPE, points.isNotNull() & F.forall(points, lambda p: p.t.isNotNull()))
+        .when(F.col("_route") == CONTAINERS_TYPE, listed.isNotNull() & F.forall(listed, lambda c: c.id.isNotNull()))
+        .otherwise(F.lit(True))
     )
+    kept = F.coalesce(sound, F.lit(False))
+    return routed.withColumns(
+        {"route": F.when(kept, F.col("_route")).otherwise(CORRUPT), "payload": F.when(kept, F.col("payload"))}
+    ).drop("_envelope", "_route")
 
 
 def snapshot_payload() -> Column:

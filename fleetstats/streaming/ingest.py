@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fleetstats.operators.series import history_points
 from fleetstats.sources import messages
-from fleetstats.streaming.sinks import start, table_sink, write_stream
+from fleetstats.streaming.sinks import FanOut, start, table_sink, write_stream
 
 
 def ingest(
@@ -16,7 +16,8 @@ def ingest(
 ) -> StreamingQuery:
     """Decode a stream of messages and land each kind in its own table under ``folder``.
 
-    Unknown and unparsable messages land in ``rejected`` with the reason, and the stream goes on.
+    Unknown and unparsable messages land in ``rejected`` with their text and the reason, and the stream
+    goes on.  The tables of a batch are written side by side; if one fails the batch is repeated.
     """
     sinks = {
         "snapshots": (messages.snapshots, table_sink(f"{folder}/snapshots")),
@@ -36,12 +37,11 @@ def ingest(
     def land(batch: DataFrame, batch_id: int) -> None:
         decoded = messages.decode(batch, value).persist()
         try:
-            for shape, sink in sinks.values():
-                sink(shape(decoded), batch_id)
+            FanOut({name: lambda b, i, shape=shape, sink=sink: sink(shape(b), i) for name, (shape, sink) in sinks.items()})(decoded, batch_id)
         finally:
             decoded.unpersist()
 
-    return start(lines, land, **options)
+    return start(lines, land, checkpoint=options.pop("checkpoint", None) or f"{folder}/_checkpoint", **options)
 
 
 def record_history(snapshots: DataFrame, folder: str, **options) -> StreamingQuery:

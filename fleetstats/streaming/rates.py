@@ -14,13 +14,14 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, Stru
 from fleetstats.plans.slices import micros, to_micros
 
 NEVER = np.iinfo("int64").min
+_KINDS = {**dict.fromkeys(("tinyint", "smallint", "int", "bigint"), "int64"), **dict.fromkeys(("float", "double"), "float64")}
 
 
-def _readings(counter: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """A counter as integers, and where it is missing."""
+def _readings(counter: pd.Series, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """A counter as numbers of a kind, and where it is missing."""
     missing = counter.isna().to_numpy()
     filled = counter.fillna(0) if missing.any() else counter
-    return filled.to_numpy().astype("int64"), missing
+    return filled.to_numpy().astype(kind), missing
 
 
 def stream_counter_rate(
@@ -29,15 +30,16 @@ def stream_counter_rate(
     keys: Sequence[str] = ("host", "name"),
     ts: str = "ts",
     seq: Sequence[str] = (),
-    late: str = "10 minutes",
     forget: str = "1 hour",
     buckets: int = 256,
 ) -> DataFrame:
     """``operators.rates.counter_rate`` on a stream, with ``elapsed='key'``.
 
-    State is the newest sample of each key, dropped when the key is silent for ``forget``; a key
-    that returns later starts at rate 0.  Within a micro-batch samples are taken in time order.  A
-    sample not after the state's is kept with rate 0 and ``late`` true and leaves the state alone.
+    State is the newest sample of each key, dropped when the key is silent for ``forget`` of its bucket's
+    event time; a key that returns later starts at rate 0.  Within a micro-batch samples are taken in time order.  A
+    sample not after the state's is kept with rate 0 and ``late`` true and leaves the state alone, however
+    late it is: there is no watermark that would drop it, and an older backlog of a new key gets its true rates.
+    Integer counters are exact, fractional ones are doubles; counters of other types are refused.
 
     Calling Python costs far more than the arithmetic on one interface's few samples, so keys are
     hashed into ``buckets`` and all keys of a bucket are handled in one vectorised call.  Choose more
@@ -46,7 +48,10 @@ def stream_counter_rate(
     """
     counters, keys, seq = list(counters), list(keys), list(seq)
     kept = list(dict.fromkeys([*keys, ts, *seq, *counters]))
-    timed = df.select(*kept).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    timed = df.select(*kept).withColumn(ts, F.col(ts).cast("timestamp"))
+    kinds = {c: _KINDS.get(timed.schema[c].dataType.simpleString()) for c in counters}
+    if None in kinds.values():
+        raise TypeError(f"counters are whole or floating numbers: {kinds}")
     bucketed = timed.withColumns(
         {"_at": micros(ts), "_bucket": F.pmod(F.xxhash64(*keys), F.lit(buckets))}
     )
@@ -62,23 +67,22 @@ def stream_counter_rate(
     state_type = StructType(
         [
             *[StructField(k, ArrayType(timed.schema[k].dataType)) for k in keys],
-            *[StructField(c, ArrayType(LongType())) for c in ("_at", *counters)],
+            StructField("_at", ArrayType(LongType())),
+            *[StructField(c, ArrayType(LongType() if kinds[c] == "int64" else DoubleType())) for c in counters],
         ]
     )
-    idle_ms = to_micros(forget) // 1000
+    idle = to_micros(forget)
 
     def per_bucket(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        watermark = state.getCurrentWatermarkMs()
         rows = pd.concat(list(batches), ignore_index=True)
         known = pd.DataFrame(
             dict(zip(held, state.get)) if state.exists else {}, columns=held, dtype=object
         )
-        known = known[known["_at"].map(lambda at: at // 1000 + idle_ms > watermark).astype(bool)]
+        at_known = known["_at"].to_numpy(dtype="int64")
+        now = max(rows["_at"].max(), at_known.max(initial=NEVER))
+        known = known[at_known > now - idle]
 
         # One number per key, known keys first; then the rows of each key in time order.
         names = pd.concat([known[keys], rows[keys]], ignore_index=True)
@@ -108,10 +112,10 @@ def stream_counter_rate(
         reset = np.zeros(len(rows), dtype=bool)
         newest = [newest_at.tolist()]
         for c in counters:
-            old, lacks_old = _readings(known[c])
-            old = np.append(old, np.zeros(len(names) - len(known), dtype="int64"))
+            old, lacks_old = _readings(known[c], kinds[c])
+            old = np.append(old, np.zeros(len(names) - len(known), dtype=kinds[c]))
             lacks_old = np.append(lacks_old, np.ones(len(names) - len(known), dtype=bool))
-            now, lacks = _readings(fresh[c])
+            now, lacks = _readings(fresh[c], kinds[c])
             change = (now - preceding(now, old)).astype("float64")
             unknown = preceding(lacks, lacks_old)
             back = ~lacks & ~unknown & (change < 0)
@@ -121,14 +125,12 @@ def stream_counter_rate(
             rows.loc[~is_late, f"{c}_rate"] = rate
             reset[~is_late] |= back
             old[of_key[final]], lacks_old[of_key[final]] = now[final], lacks[final]
-            newest.append([None if gone else int(x) for x, gone in zip(old, lacks_old)])
+            newest.append([None if gone else x for x, gone in zip(old.tolist(), lacks_old)])
         rows["reset"], rows["late"] = reset, is_late
 
         state.update((*[names[k].tolist() for k in keys], *newest))
-        expires = int(newest_at.max()) // 1000 + idle_ms
-        state.setTimeoutTimestamp(max(expires, watermark + 1))
         yield rows[output.names]
 
     return bucketed.groupBy("_bucket").applyInPandasWithState(
-        per_bucket, output, state_type, "append", GroupStateTimeout.EventTimeTimeout
+        per_bucket, output, state_type, "append", GroupStateTimeout.NoTimeout
     )

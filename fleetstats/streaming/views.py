@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from fleetstats.operators.series import sample
 from fleetstats.operators.sessions import IDLE_GAP
 
-MERGE_BEFORE_SHUFFLE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
-
 
 def watermarked(df: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     """Event time as a zoned timestamp (watermarks take no other) with a lateness bound."""
@@ -47,11 +45,9 @@ def stream_sessions(
     """Idle-gap sessions of a stream.
 
     ``append`` mode emits a session once the watermark passes its end; ``complete`` mode shows open
-    ones as well.  Sessions are merged before the shuffle, so that a busy host sends its sessions
-    and not its messages; the setting for it is switched on here for sessions not made by
-    ``build_session``.
+    ones as well.  With the setting that ``build_session`` makes, sessions are merged before the
+    shuffle, so that a busy host sends its sessions and not its messages.
     """
-    df.sparkSession.conf.set(MERGE_BEFORE_SHUFFLE, "true")
     return (
         watermarked(df, ts, late)
         .groupBy(*keys, F.session_window(ts, gap).alias("_session"))

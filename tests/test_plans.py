@@ -6,14 +6,14 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_points
+from fleetstats.plans.catalog import load_all
 from fleetstats.operators.rates import counter_rate
 from fleetstats.operators.sessions import idle_sessions
 from fleetstats.operators.topk import top_processes
 from fleetstats.plans.slices import with_previous
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
+QUERIES = load_all()[0]
 
 
 def final_plan(df):

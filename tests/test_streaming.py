@@ -4,11 +4,13 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from fleetstats.operators.rates import counter_rate
 from fleetstats.operators.series import latest
 from fleetstats.schemas import CONTAINERS, HISTORY, SNAPSHOT
+from fleetstats.sources.messages import decode
 from fleetstats.streaming.ingest import ingest, record_history
 from fleetstats.streaming.rates import stream_counter_rate
 from fleetstats.streaming.sinks import FanOut, read_table, start, table_sink, write_stream
@@ -103,7 +105,7 @@ def test_silent_keys_are_forgotten(spark, tmp_path):
     feed.add(sample("g", "e", 7200, 200))
     feed.add(sample("g", "e", 7210, 210))
     feed.add(sample("h", "e", 7220, 900), sample("g", "e", 7220, 230))
-    stream = stream_counter_rate(feed.stream(), ["b"], late="1 minute", forget="1 hour", buckets=1)
+    stream = stream_counter_rate(feed.stream(), ["b"], forget="1 hour", buckets=1)
     got = by_key(run(stream, tmp_path))
     assert got[("h", "e", 7220)] == (0.0, False, False)
     assert got[("g", "e", 7220)] == (2.0, False, False)
@@ -147,38 +149,109 @@ def test_ticks_close_behind_the_watermark(spark, tmp_path):
     assert sorted(((r.tick - T0).total_seconds(), r.b) for r in got) == [(0.0, 2), (60.0, 3)]
 
 
-def test_a_failing_target_is_dropped_and_recorded(spark, tmp_path):
+def test_an_optional_target_is_recorded_and_tried_again(spark, tmp_path):
     feed = Feed(spark, tmp_path / "in", SAMPLES)
     feed.add(sample("h", "e", 0, 1))
     feed.add(sample("h", "e", 1, 2))
     tried, failures, kept = [], str(tmp_path / "failures"), str(tmp_path / "kept")
 
-    def gone(batch, batch_id):
+    def shaky(batch, batch_id):
         tried.append(batch_id)
-        raise ConnectionError("gone")
+        if batch_id == 0:
+            raise ConnectionError("gone")
 
-    query = write_stream(feed.stream(), {"gone": gone, "kept": kept}, failures, available_now=True)
+    query = write_stream(feed.stream(), {"shaky": shaky, "kept": kept}, failures, ["shaky"], available_now=True)
     query.awaitTermination()
     assert read_table(spark, kept, SAMPLES).count() == 2
-    assert tried == [0]
-    recorded = spark.read.parquet(failures).first()
-    assert (recorded.batch_id, recorded.target) == (0, "gone") and "ConnectionError" in recorded.error
+    assert tried == [0, 1]
+    (recorded,) = spark.read.parquet(failures).collect()
+    assert (recorded.batch_id, recorded.target) == (0, "shaky") and "ConnectionError" in recorded.error
+    with pytest.raises(ValueError):
+        FanOut({"shaky": shaky}, optional=["shaky"])
+
+
+def test_a_target_that_fails_once_misses_no_batch(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in", SAMPLES)
+    for second in range(4):
+        feed.add(sample("h", "e", second, second))
+    kept, once, failed = str(tmp_path / "kept"), table_sink(str(tmp_path / "once")), []
 
+    def fails_once(batch, batch_id):
+        if batch_id == 1 and not failed:
+            failed.append(batch_id)
+            raise ConnectionError("gone")
+        once(batch, batch_id)
 
-def test_a_strict_fan_out_fails_after_serving_the_others(spark, tmp_path):
+    targets = {"once": fails_once, "kept": kept}
+    with pytest.raises(StreamingQueryException):
+        write_stream(feed.stream(), targets, available_now=True).awaitTermination()
+    write_stream(feed.stream(), targets, available_now=True).awaitTermination()
+    for path in (kept, once.path):
+        assert sorted(r.b for r in read_table(spark, path, SAMPLES).collect()) == [0, 1, 2, 3]
+
+
+def test_a_fan_out_fails_after_serving_the_others(spark, tmp_path):
     df = spark.createDataFrame([(1,)], "a int")
     kept = str(tmp_path / "kept")
 
     def gone(batch, batch_id):
         raise ConnectionError("gone")
 
-    fan_out = FanOut({"gone": gone, "kept": kept}, strict=True)
     with pytest.raises(RuntimeError):
-        fan_out(df, 0)
-    assert fan_out.failed == {}
+        FanOut({"gone": gone, "kept": kept})(df, 0)
     assert read_table(spark, kept, "a int").count() == 1
 
 
+def test_another_stream_never_replaces_landed_rows(spark, tmp_path):
+    first, second = Feed(spark, tmp_path / "one", SAMPLES), Feed(spark, tmp_path / "two", SAMPLES)
+    first.add(sample("h", "e", 0, 1))
+    second.add(sample("h", "e", 0, 2))
+    sink = table_sink(str(tmp_path / "t"))
+    start(first.stream(), sink, available_now=True).awaitTermination()
+    start(first.stream(), sink, available_now=True).awaitTermination()
+    start(second.stream(), sink, checkpoint=str(tmp_path / "state"), available_now=True).awaitTermination()
+    assert sorted(r.b for r in read_table(spark, sink.path, SAMPLES).collect()) == [1, 2]
+    with pytest.raises(ValueError):
+        start(first.stream(), lambda batch, batch_id: None)
+
+
+def test_very_late_rows_and_backlogs_of_new_keys_stay(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in", SAMPLES)
+    feed.add(sample("h", "e", 7200, 100))
+    feed.add(sample("h", "e", 7210, 200))
+    feed.add(sample("h", "e", 0, 5), *[sample("new", "e", t, t) for t in (0, 10, 20)])
+    got = by_key(run(stream_counter_rate(feed.stream(), ["b"], buckets=1), tmp_path))
+    assert len(got) == 6 and got[("h", "e", 0)] == (0.0, False, True)
+    assert [got[("new", "e", t)] for t in (0, 10, 20)] == [(0.0, False, False), (1.0, False, False), (1.0, False, False)]
+
+
+def test_fractions_are_kept_on_a_stream(spark, tmp_path):
+    ddl = SAMPLES.replace("b bigint", "b double")
+    feed = Feed(spark, tmp_path / "in", ddl)
+    for second in range(4):
+        feed.add(sample("h", "e", second, 1.5 * second))
+    got = by_key(run(stream_counter_rate(feed.stream(), ["b"]), tmp_path))
+    assert [got[("h", "e", t)][0] for t in range(4)] == [0.0, 1.5, 1.5, 1.5]
+    with pytest.raises(TypeError):
+        stream_counter_rate(feed.stream().withColumn("b", F.col("b").cast("string")), ["b"])
+
+
+def test_payloads_that_do_not_parse_are_rejected_with_their_text(spark, tmp_path):
+    good = [
+        '{"type":"docker","payload":[]}',
+        '{"type":"history","payload":[{"t":1,"c":1.0,"m":2.0}]}',
+        '{"type":"snapshot","payload":{"timestamp":1,"system":{"hostname":"h"}}}',
+    ]
+    bad = [
+        '{"type":"docker","payload":"junk"}', '{"type":"docker"}', '{"type":"history","payload":"junk"}', '{"type":"history","payload":{"x":1}}',
+        '{"type":"snapshot","payload":"junk"}', '{"type":"snapshot","payload":{}}', "{}", "junk", '{"type":"other","payload":1}',
+    ]
+    lines = spark.createDataFrame([(v,) for v in good + bad], "value string")
+    routes = {r.value: r.route for r in decode(lines).collect()}
+    assert [routes[v] for v in good] == ["docker", "history", "snapshot"]
+    assert [routes[v] for v in bad] == ["corrupt"] * 8 + ["unknown"]
+
+
 def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     sink = table_sink(str(tmp_path / "t"))
     df = spark.createDataFrame([(1,)], "a int")
@@ -228,7 +301,7 @@ def test_ingest_lands_every_kind_and_rejects_the_rest(spark, tmp_path):
     }
     assert counts == {"snapshots": 3, "history": 2, "containers": 1}
     rejected = read_table(spark, f"{tables}/rejected", "host string, ts timestamp, value string, route string")
-    assert sorted(r.route for r in rejected.collect()) == ["corrupt", "unknown"]
+    assert sorted(r.route for r in rejected.collect()) == ["corrupt", "corrupt", "unknown"]
 
 
 def test_history_is_recorded_per_snapshot(spark, tmp_path):
