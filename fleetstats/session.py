@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -50,3 +52,12 @@ def shared_folder(spark: SparkSession) -> str:
     if key not in _local_folders:
         _local_folders[key] = tempfile.mkdtemp(prefix="fleetstats-")
     return _local_folders[key]
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a session whose machines do not have it installed."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="fleetstats-ship-"), "fleetstats"), "zip", os.path.dirname(package), os.path.basename(package)
+    )
+    spark.sparkContext.addPyFile(archive)
