@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import ArrayType, DataType, NumericType, StringType, StructType
 
 from fleetstats.functions.labels import (
     dash,
@@ -186,17 +186,26 @@ def host_overview(df: DataFrame, keys: Sequence[str] = SNAPSHOT_KEYS) -> DataFra
     return df.select(*keys, *[column.alias(name) for name, column in columns.items()])
 
 
+def _zero_form(value: Column, kind: DataType) -> Column:
+    if isinstance(kind, NumericType):
+        return F.coalesce(value, F.lit(0).cast(kind))
+    if isinstance(kind, StringType):
+        return F.coalesce(value, F.lit(""))
+    if isinstance(kind, StructType):
+        return F.struct(*[_zero_form(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, (NumericType, StringType, StructType, ArrayType)):
+        return F.transform(value, lambda item: _zero_form(item, kind.elementType))
+    return value
+
+
 def zero_fill(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Missing numbers become 0 and missing texts empty: the wire form of an unknown value."""
+    """Missing numbers become 0 and missing texts empty: the wire form of an unknown value.
+
+    Structs, also missing ones, and the items of arrays are filled within.  A missing array stays missing, as
+    a list that is not there is not an empty one.
+    """
     chosen = df.columns if columns is None else columns
-    zero = {}
-    for name in chosen:
-        kind = df.schema[name].dataType
-        if isinstance(kind, NumericType):
-            zero[name] = F.coalesce(F.col(name), F.lit(0).cast(kind))
-        elif isinstance(kind, StringType):
-            zero[name] = F.coalesce(F.col(name), F.lit(""))
-    return df.withColumns(zero)
+    return df.withColumns({name: _zero_form(F.col(name), df.schema[name].dataType) for name in chosen})
 
 
 def non_empty(df: DataFrame, array: str = "containers") -> DataFrame:

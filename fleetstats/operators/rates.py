@@ -56,13 +56,23 @@ def counter_rate(
     tick_keys: Sequence[str] = ("host",),
     ticks: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``<counter>_rate`` per counter and ``reset``, true where any counter went back.
 
     ``elapsed='key'`` divides by the time since the key's own previous sample.  ``elapsed='tick'``
     divides by the time since the host's previous sample of any key, which overstates the rate of a
     key that missed ticks; ``ticks`` may give the sample times when ``df`` lacks some of them.
+    ``carried`` gives samples of an earlier run, the last of each key, so that a key's first sample here has its
+    true rate; they are not in the result.
     """
+    if carried is not None:
+        both = df.withColumn("_carried", F.lit(False)).unionByName(
+            carried.withColumn("_carried", F.lit(True)), allowMissingColumns=True
+        )
+        seen = ticks.unionByName(carried, allowMissingColumns=True) if ticks is not None else None
+        whole = counter_rate(both, counters, keys, ts, seq, elapsed, tick_keys, seen, hot_rows)
+        return whole.where(~F.col("_carried")).drop("_carried")
     if elapsed not in ("key", "tick"):
         raise ValueError("elapsed is 'key' or 'tick'")
     previous = {f"_previous_{c}": c for c in counters}

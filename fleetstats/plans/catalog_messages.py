@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from fleetstats.plans.catalog import query
 from fleetstats.plans.catalog_series import LATEST_SQL
+from fleetstats.plans.staging import fresh_folder
 from fleetstats.plans.stand_ins import SAMPLES, samples
-from fleetstats.sources.messages import decode, encode, history
+from fleetstats.sources.messages import containers, containers_payload, decode, encode, history
 from fleetstats.sources.replay import replay, replay_rows
+from fleetstats.sources.snapshots import read_snapshots
 
 
 def sample_messages(spark, folder):
@@ -86,6 +88,41 @@ def envelope_roundtrip(spark, folder):
     )
 
 
+@query(
+    "containers_message",
+    f"""SELECT CAST(host AS VARCHAR) AS host, ts, CAST(event_id AS VARCHAR) AS id, name, value AS cpu_pct, k AS mem_usage,
+      date_trunc('second', ts)::TIMESTAMP AS created FROM {SAMPLES}""",
+)
+def containers_message(spark, folder):
+    """Landed containers made of the events, as messages of one list per host and tick, decoded again."""
+    landed = samples(spark, folder).select(
+        F.col("host").cast("string").alias("host"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").cast("string").alias("id"), "name", F.lit("image").alias("image"), F.lit("running").alias("state"),
+        F.lit("Up").alias("status"), F.col("value").alias("cpu_pct"), F.col("k").alias("mem_usage"), F.lit(None).cast("bigint").alias("mem_limit"),
+        F.col("ts").cast("timestamp").alias("created"),
+    )
+    decoded = containers(decode(encode(containers_payload(landed), "docker", "payload")))
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("ts", "created")}
+    return decoded.select("host", "ts", "id", "name", "cpu_pct", "mem_usage", "created").withColumns(times)
+
+
+@query(
+    "snapshot_source",
+    f"""SELECT CAST(host AS VARCHAR) AS host, date_trunc('millisecond', ts)::TIMESTAMP AS ts, event_id AS uptime,
+      value AS cpu_avg, CAST(k AS DOUBLE) AS mem_percent FROM {SAMPLES} WHERE name = 'view'""",
+)
+def snapshot_source(spark, folder):
+    """Views as landed lines of bare snapshots, read through the reader."""
+    lines = fresh_folder(spark, "snapshot-lines")
+    sample_messages(spark, folder).join(
+        samples(spark, folder).where("name = 'view'").select("event_id"), "event_id", "left_semi"
+    ).select("value").write.text(lines)
+    return read_snapshots(spark, lines, "json").select(
+        "host", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("system.uptime").alias("uptime"),
+        F.col("cpu.avgUsage").alias("cpu_avg"), F.col("memory.usedPercent").alias("mem_percent"),
+    )
+
+
 _NEWEST_5 = "row_number() OVER (PARTITION BY host ORDER BY ts DESC, event_id DESC) <= 5"
 
 

@@ -39,6 +39,16 @@ def counter_rate_key(spark, folder):
     return counter_rate(counted, ["k"], seq=["event_id"])
 
 
+@query("counter_rate_carried", COUNTER_RATE_SQL)
+def counter_rate_carried(spark, folder):
+    """Two runs over halves of the time; the second carries the last sample of each key of the first."""
+    counted = exclude_ifaces(samples(spark, folder), (LOOPBACK,)).drop("value")
+    early, later = (counted.where(f"ts {sign} TIMESTAMP_NTZ'2024-01-15'") for sign in ("<", ">="))
+    carried = latest(early, ["host", "name"], seq=["event_id"])
+    first = counter_rate(early, ["k"], seq=["event_id"])
+    return first.unionByName(counter_rate(later, ["k"], seq=["event_id"], carried=carried))
+
+
 @query(
     "counter_rate_tick",
     f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetstats.functions.times import s_to_ts, ts_to_ms, ts_to_s
+from fleetstats.functions.times import rfc3339, s_to_ts, ts_to_ms, ts_to_s
 from fleetstats.schemas import CONTAINER_WIRE, DOCUMENTS, HISTORY_WIRE, SNAPSHOT_WIRE
 from fleetstats.sources.snapshots import narrow
 
@@ -82,6 +82,16 @@ def history_point() -> Column:
     )
 
 
+def containers_payload(landed: DataFrame, keys: tuple[str, ...] = ("host", "ts")) -> DataFrame:
+    """Wire documents of landed containers: per host and tick one ``payload``, the list of its containers by id."""
+    wire = F.struct(
+        "id", "name", "image", "state", "status",
+        F.col("cpu_pct").alias("cpuPct"), F.col("mem_usage").alias("memUsage"), F.col("mem_limit").alias("memLimit"),
+        rfc3339(ts_to_s("created")).alias("created"),
+    )
+    return landed.groupBy(*keys).agg(F.sort_array(F.collect_list(wire)).alias("payload"))
+
+
 def snapshots(decoded: DataFrame, payload: str = "payload") -> DataFrame:
     """Landed snapshots of the decoded messages."""
     document = F.from_json(payload, SNAPSHOT_WIRE).alias("_document")

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from fleetstats.operators.asof import as_of
+from fleetstats.operators.flatten import zero_fill
 from fleetstats.operators.rates import counter_rate
 from fleetstats.operators.series import latest, tail, trend
 from fleetstats.plans.slices import cut, hot_keys
@@ -64,3 +65,11 @@ def test_missing_readings_have_no_place_in_a_trend(spark):
     df = spark.createDataFrame([(None, at(0), None, 5.0), (None, at(10), 150.0, None)], "host string, ts timestamp, cpu_avg double, mem_percent double")
     got = {r.x: (r.cpu_avg_y, r.mem_percent_y) for r in trend(df).collect()}
     assert got == {0.0: (None, 0.05), 1.0: (1.0, None)}
+
+
+def test_zero_form_of_a_snapshot_goes_within(spark):
+    ddl = "system struct<hostname:string,uptime:bigint>, disks array<struct<device:string,total:bigint>>, gone array<int>, flag boolean"
+    df = spark.createDataFrame([(None, [(None, None), None], None, None), (("h", None), [], [None, 3], True)], ddl)
+    one, two = (r.asDict(recursive=True) for r in zero_fill(df).collect())
+    assert one == {"system": {"hostname": "", "uptime": 0}, "disks": [{"device": "", "total": 0}] * 2, "gone": None, "flag": None}
+    assert two == {"system": {"hostname": "h", "uptime": 0}, "disks": [], "gone": [0, 3], "flag": True}
