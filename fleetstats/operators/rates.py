@@ -25,8 +25,8 @@ def rate(now: Column, before: Column, seconds: Column) -> Column:
 
 def _since_last_tick(
     df: DataFrame, ticks: DataFrame | None, keys: Sequence[str], ts: str, hot_rows: int
-) -> DataFrame:
-    """Add ``_since``, the host's last sample time before each row.
+) -> tuple[DataFrame, bool]:
+    """Add ``_since``, the host's last sample time before each row, and say whether no host is hot.
 
     For ordinary hosts it is a window over the host, whose shuffle also serves the window over its
     counters.  Hot hosts' distinct times are cut into pieces and joined back.
@@ -34,7 +34,7 @@ def _since_last_tick(
     seen = (df if ticks is None else ticks).select(*keys, ts)
     if hot_keys(seen, keys, ts, hot_rows) is not None:
         times = with_previous(seen.distinct(), keys, ts, {"_since": ts}, (), hot_rows, counted=seen)
-        return join_same(df, times, [*keys, ts], "left")
+        return join_same(df, times, [*keys, ts], "left"), False
     rows = df.withColumn("_asked", F.lit(True))
     if ticks is not None:
         rows = rows.unionByName(seen.withColumn("_asked", F.lit(False)), allowMissingColumns=True)
@@ -43,7 +43,7 @@ def _since_last_tick(
         .orderBy(micros(ts))
         .rangeBetween(Window.unboundedPreceding, -1)
     )
-    return rows.withColumn("_since", F.max(ts).over(earlier)).where("_asked").drop("_asked")
+    return rows.withColumn("_since", F.max(ts).over(earlier)).where("_asked").drop("_asked"), True
 
 
 def counter_rate(
@@ -76,12 +76,14 @@ def counter_rate(
     if elapsed not in ("key", "tick"):
         raise ValueError("elapsed is 'key' or 'tick'")
     previous = {f"_previous_{c}": c for c in counters}
-    rows = df
+    rows, none_hot = df, False
     if elapsed == "tick":
-        rows = _since_last_tick(df, ticks, tick_keys, ts, hot_rows)
+        rows, none_hot = _since_last_tick(df, ticks, tick_keys, ts, hot_rows)
+        # A key with all of an ordinary host's rows at most is ordinary, if the host's own rows were counted.
+        none_hot = none_hot and ticks is None and set(tick_keys) <= set(keys)
     else:
         previous["_since"] = ts
-    rows = with_previous(rows, keys, ts, previous, seq, hot_rows, counted=df)
+    rows = with_previous(rows, keys, ts, previous, seq, hot_rows, counted=df, none_hot=none_hot)
     seconds = elapsed_seconds(F.col(ts), F.col("_since"))
     went_back = [F.coalesce(F.col(c) < F.col(f"_previous_{c}"), F.lit(False)) for c in counters]
     return rows.withColumns(

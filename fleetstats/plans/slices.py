@@ -119,15 +119,17 @@ def with_previous(
     seq: Sequence[str] = (),
     hot_rows: int = HOT_ROWS,
     counted: DataFrame | None = None,
+    none_hot: bool = False,
 ) -> DataFrame:
     """Add, per key, columns of the preceding row: ``previous`` maps new name to source column.
 
     Equal to ``lag`` over ``partitionBy(keys).orderBy(ts, seq)``.  ``counted`` may give a cheaper
-    table with the keys and times of ``df``, or more of them, to look for hot keys in.
+    table with the keys and times of ``df``, or more of them, to look for hot keys in; ``none_hot`` says
+    that none are hot, as where a part of the keys has been counted before.
     """
     order = [F.col(ts), *map(F.col, seq)]
     whole = Window.partitionBy(*keys).orderBy(*order)
-    hot = hot_keys(df if counted is None else counted, keys, ts, hot_rows)
+    hot = None if none_hot else hot_keys(df if counted is None else counted, keys, ts, hot_rows)
     if hot is None:
         return df.withColumns(_lags(previous, whole))
     others = join_same(df, hot, keys, "left_anti").withColumns(_lags(previous, whole))
