@@ -32,8 +32,13 @@ CERTAIN = (ERRORS + 1) * CHUNKS
 FAR_BITS = 24
 # Passes that compare each bucket's documents with one of them, before all that is left is compared.
 STARS = 2
+# A set is also kept as a mask of this many 64-bit words, one bit per range of hashes that it has a shingle in.
+MASK_WORDS = 8
+# Documents are read again for their full sets; a table of at most this many slots of ids says which may be needed.
+SLOTS_OF_IDS = 1 << 20
 REMEMBERED = 200_000  # word hashes that a Python worker remembers
 SEED = 0x9E3779B97F4A7C15
+KNOWN = ("n", "bits", "common", "mask")  # of a document, beside each key that it is posted under
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -87,13 +92,19 @@ class Shingler:
         return (_mixed(lowest) & np.uint64((1 << SLOT_BITS) - 1)).astype("<u2")
 
 
+def _set_hashes(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a whole set."""
+    import xxhash
+
+    hi, lo = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), "<i8")
+    return int(hi), int(lo)
+
+
 def sketch(text: Column, words: int) -> Column:
     """Of a text: ``n`` shingles, two 64-bit hashes of the whole set, its ``signature`` and 64 bits of that."""
 
     @F.arrow_udf("struct<n:bigint,hi:bigint,lo:bigint,bits:bigint,signature:binary>")
     def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import xxhash
-
         shingler = Shingler(words)
         kind = pa.struct([("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("bits", pa.int64()), ("signature", pa.binary())])
         for texts in batches:
@@ -101,22 +112,28 @@ def sketch(text: Column, words: int) -> Column:
             for t in texts:
                 s = shingler.shingles(t.as_py())
                 signature = shingler.signature(s)
-                hi, lo = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
+                hi, lo = _set_hashes(s)
                 bits = np.packbits(signature[:64] & 1).view("<i8")[0]
-                rows.append({"n": len(s), "hi": int(hi), "lo": int(lo), "bits": int(bits), "signature": signature.tobytes()})
+                rows.append({"n": len(s), "hi": hi, "lo": lo, "bits": int(bits), "signature": signature.tobytes()})
             yield pa.array(rows, kind)
 
     return sketched(text)
 
 
 def shingle_set(text: Column, words: int) -> Column:
-    """The full set of a text."""
+    """The full set of a text, with the hashes that ``sketch`` gives it and its mask."""
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("struct<shingles:array<bigint>,hi:bigint,lo:bigint,mask:array<bigint>>")
     def listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingler = Shingler(words)
         for texts in batches:
-            yield pa.array([shingler.shingles(t.as_py()).view(np.int64) for t in texts], pa.list_(pa.int64()))
+            sets = [shingler.shingles(t.as_py()) for t in texts]
+            hashes = np.array([_set_hashes(s) for s in sets], np.int64).reshape(-1, 2)
+            ranges = np.uint64(64 - (64 * MASK_WORDS - 1).bit_length())
+            masks = [np.packbits(np.bincount((s >> ranges).astype(np.int64), minlength=64 * MASK_WORDS) > 0).view("<i8") for s in sets]
+            kind = pa.list_(pa.int64())
+            columns = [pa.array([s.view(np.int64) for s in sets], kind), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(masks, kind)]
+            yield pa.StructArray.from_arrays(columns, names=["shingles", "hi", "lo", "mask"])
 
     return listed(text)
 
@@ -149,10 +166,23 @@ def posted_keys(signature: str | Column) -> Column:
 
 
 def _close(a: str, b: str, percent: int) -> Column:
-    """Whether two rows' sizes and bits allow the similarity."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    """Whether what is known of two rows allows the similarity.
+
+    ``common`` of a row's ``n`` shingles are in any other set, so no pair shares more than the smaller of two; nor
+    does it share the shingles of one in ranges where the other has none, of which there is one per bit at least.
+    """
+
+    def alone(one: str, other: str) -> Column:
+        bits = [F.bit_count(F.col(one)["mask"][i].bitwiseAND(F.bitwise_not(F.col(other)["mask"][i]))) for i in range(MASK_WORDS)]
+        return F.col(one)["n"] - F.coalesce(sum(bits[1:], bits[0]), F.lit(0))
+
+    most = F.least(f"{a}.common", f"{b}.common", alone(a, b), alone(b, a))
     far = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (far <= FAR_BITS)
+    return (most * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - most) * percent) & (far <= FAR_BITS)
+
+
+def _slot(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(SLOTS_OF_IDS)).cast("int")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,7 +200,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) that give the components of all links between ``nodes`` (node, n, bits, signature).
+    """Links (a, b) that give the components of all links between ``nodes`` (node, n, bits, signature, hi, lo).
 
     Buckets are the documents posted under one key.  First each is compared with its bucket's first, so a
     group of n near copies costs some n comparisons.  Then only documents of different components are
@@ -182,18 +212,31 @@ def near_links(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> D
     shared = posted.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
     shared = stage(shared.where("first < last"), "near-buckets")
     held = stage(posted.join(shared, "key").select("key", "first", "node", "n", "bits"), "near-held")
-    used = stage(held.select("node").distinct(), "near-used")
-    sets = (
-        docs.join(used, docs["doc_id"] == used["node"])
-        .select("node", shingle_set(F.col("text"), words).alias("shingles"))
-        .where(F.size("shingles") > 0)
+    used = stage(nodes.join(held.select("node").distinct(), "node", "left_semi").select("node", "hi", "lo"), "near-used")
+    # The broadcast side has SLOTS_OF_IDS rows of one number at most; it spares most documents the shuffle.
+    slots = used.select(_slot("node").alias("slot")).distinct()
+    likely = docs.join(F.broadcast(slots), _slot("doc_id") == F.col("slot"), "left_semi")
+    full = likely.join(used, likely["doc_id"] == used["node"]).select(
+        "node", F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), shingle_set(F.col("text"), words).alias("s")
     )
-    sets = stage(sets, "near-sets")
-
-    known = held.select(F.col("node").alias("first"), F.struct("n", "bits").alias("f")).distinct()
+    sets = stage(full.select("node", "_hi", "_lo", "s.*"), "near-sets").where("hi = _hi and lo = _lo")
+    # A shingle of one set only is shared with none.  Sets with too many of them have no links at all.
+    owners = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("sets"))
+    own = owners.where("sets = 1").groupBy("node").agg(F.count("*").alias("own"))
+    # Of an id with several sets nothing is known but that.
+    known = sets.groupBy("node").agg(F.when(F.min("hi") == F.max("hi"), F.first("mask")).alias("mask"))
+    known = stage(known.join(own, "node", "left"), "near-known")
+    missing = F.when(F.col("mask").isNotNull(), F.col("own"))
+    held = held.join(known, "node").withColumn("common", F.col("n") - F.coalesce(missing, F.lit(0)))
+    held = stage(held.where(F.col("common") * 100 >= F.col("n") * percent).drop("own", "first"), "near-held")
+    firsts = held.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
+    held = held.join(stage(firsts.select("key", "first"), "near-firsts"), "key")
+    held = stage(held.select("key", "first", "node", *KNOWN), "near-held")
+
+    known = held.select(F.col("node").alias("first"), F.struct(*KNOWN).alias("f")).distinct()
     pairs = (
         held.where("first <> node")
-        .select("first", "node", F.struct("n", "bits").alias("o"))
+        .select("first", "node", F.struct(*KNOWN).alias("o"))
         .distinct()
         .join(known, "first")
         .where(_close("f", "o", percent))
@@ -205,13 +248,13 @@ def near_links(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> D
         mixed, major = _mixed_buckets(held, links)
         if star < STARS:
             lead = mixed.where("label = major").groupBy("key").agg(
-                F.min_by(F.struct("node", "n", "bits"), F.xxhash64("node", F.lit(star))).alias("f")
+                F.min_by(F.struct("node", *KNOWN), F.xxhash64("node", F.lit(star))).alias("f")
             )
-            others = mixed.where("label <> major").select("key", F.struct("node", "n", "bits").alias("o"))
+            others = mixed.where("label <> major").select("key", F.struct("node", *KNOWN).alias("o"))
             found = others.join(stage(lead, "near-leads"), "key").where(_close("f", "o", percent))
         else:
-            outside = stage(mixed.where("label <> major").select("key", F.struct("node", "n", "bits", "label").alias("o")), "near-outside")
-            everyone = mixed.select("key", F.struct("node", "n", "bits", "label").alias("f"))
+            outside = stage(mixed.where("label <> major").select("key", F.struct("node", *KNOWN, "label").alias("o")), "near-outside")
+            everyone = mixed.select("key", F.struct("node", *KNOWN, "label").alias("f"))
             found = outside.join(everyone, "key").where((F.col("f.label") != F.col("o.label")) & _close("f", "o", percent))
         found = found.select(F.least("f.node", "o.node").alias("a"), F.greatest("f.node", "o.node").alias("b")).distinct()
         found = stage(found.join(compared, ["a", "b"], "left_anti"), "near-pairs")
@@ -223,7 +266,9 @@ def near_links(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> D
 def _mixed_buckets(held: DataFrame, links: DataFrame) -> tuple[DataFrame, Column]:
     """Rows of ``held`` in buckets of several components, with the component's and the largest's label."""
     labels = components(links)
-    labelled = held.join(labels, "node", "left").select("key", "node", "n", "bits", F.coalesce("label", "node").alias("label"))
+    labelled = held.join(labels, "node", "left").select(
+        "key", "node", *KNOWN, F.coalesce("label", "node").alias("label")
+    )
     labelled = stage(labelled, "near-labelled")
     sizes = labelled.groupBy("key", "label").count()
     several = (
@@ -250,8 +295,8 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     sketched = stage(sketched, "near-sketches")
     usable = sketched.where("n > 0 and doc_id is not null")
     classes = stage(usable.groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "near-classes")
-    members = stage(usable.join(classes, ["hi", "lo"]).select("doc_id", "n", "bits", "signature", "node"), "near-members")
-    nodes = members.where("doc_id = node").select("node", "n", "bits", "signature")
+    members = stage(usable.join(classes, ["hi", "lo"]).select("doc_id", "n", "bits", "signature", "hi", "lo", "node"), "near-members")
+    nodes = members.where("doc_id = node").select("node", "n", "bits", "signature", "hi", "lo").dropDuplicates(["node", "hi", "lo"])
     links = near_links(docs, nodes, words, percent)
     # An id with several texts, or a text with several ids, ties their nodes together.
     repeated = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
