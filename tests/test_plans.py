@@ -95,9 +95,13 @@ class Counting:
         return sum(found)
 
 
-@pytest.mark.parametrize("name", ["history_tail", "host_latest"])
-def test_tails_bound_the_scan_by_time(spark, name):
-    plan = final_plan(QUERIES[name](spark, FOLDER))
+def test_latest_rows_take_one_pass(spark):
+    plan = final_plan(QUERIES["host_latest"](spark, FOLDER))
+    assert plan.count("FileScan") == 1 and re.search(r"WindowGroupLimit.*Partial", plan)
+
+
+def test_tails_bound_the_scan_by_time(spark):
+    plan = final_plan(QUERIES["history_tail"](spark, FOLDER))
     assert re.search(r"DataFilters: \[[^\]]*ts >= 2024", plan)
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
 

@@ -130,11 +130,16 @@ def test_metrics_only_for_running(spark):
 
 def test_decode_routes_every_message(spark):
     texts = {
-        '{"type":"snapshot","payload":{"a":1}}': ("snapshot", '{"a":1}'),
+        '{"type":"snapshot","payload":{"timestamp":5,"system":{"hostname":"h"},"a":1}}': (
+            "snapshot", '{"timestamp":5,"system":{"hostname":"h"},"a":1}'
+        ),
+        '{"type":"snapshot","payload":{"a":1}}': ("corrupt", None),
         '{"type":"history","payload":[{"t":1}]}': ("history", '[{"t":1}]'),
-        '{"type":"docker","payload":null}': ("docker", None),
-        '{"timestamp":5}': ("snapshot", '{"timestamp":5}'),
-        '{"type":"","timestamp":5}': ("snapshot", '{"type":"","timestamp":5}'),
+        '{"type":"docker","payload":[]}': ("docker", "[]"),
+        '{"type":"docker","payload":null}': ("corrupt", None),
+        '{"timestamp":5,"system":{"hostname":"h"}}': ("snapshot", '{"timestamp":5,"system":{"hostname":"h"}}'),
+        '{"type":"","timestamp":5,"system":{"hostname":"h"}}': ("snapshot", '{"type":"","timestamp":5,"system":{"hostname":"h"}}'),
+        '{"timestamp":5}': ("corrupt", None),
         '{"type":"weather","payload":{}}': ("unknown", None),
         '{"type":"snapshot","payload":{': ("corrupt", None),
         "not json": ("corrupt", None),
