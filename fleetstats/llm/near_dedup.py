@@ -253,9 +253,14 @@ def near_links(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> D
             others = mixed.where("label <> major").select("key", F.struct("node", *KNOWN).alias("o"))
             found = others.join(stage(lead, "near-leads"), "key").where(_close("f", "o", percent))
         else:
-            outside = stage(mixed.where("label <> major").select("key", F.struct("node", *KNOWN, "label").alias("o")), "near-outside")
-            everyone = mixed.select("key", F.struct("node", *KNOWN, "label").alias("f"))
-            found = outside.join(everyone, "key").where((F.col("f.label") != F.col("o.label")) & _close("f", "o", percent))
+            # Two documents may meet in many buckets; they are compared in the first of those, and once.
+            posts = mixed.groupBy("node", "n", "bits").agg(F.collect_set("key").alias("keys"))
+            everyone = mixed.join(stage(posts, "near-posts"), ["node", "n", "bits"])
+            everyone = stage(everyone.select("key", F.struct("node", *KNOWN, "label", "major", "keys").alias("f")), "near-everyone")
+            outside = everyone.where("f.label <> f.major").withColumnRenamed("f", "o")
+            once = (F.col("f.label") == F.col("f.major")) | (F.col("f.node") > F.col("o.node"))
+            here = F.array_min(F.array_intersect("f.keys", "o.keys")) == F.col("key")
+            found = outside.join(everyone, "key").where((F.col("f.label") != F.col("o.label")) & once & _close("f", "o", percent) & here)
         found = found.select(F.least("f.node", "o.node").alias("a"), F.greatest("f.node", "o.node").alias("b")).distinct()
         found = stage(found.join(compared, ["a", "b"], "left_anti"), "near-pairs")
         links = stage(links.union(confirmed(found, sets, percent)), "near-links")
