@@ -133,3 +133,44 @@ def test_cut_out_texts_keep_the_first_and_all_rows(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert S.repeated_passages(docs).count() == 0 and S.without_repeats(docs).count() == 0
+
+
+LETTERS = "etaoinshrdlu"
+KINDS = {
+    "1 to 4 letters": lambda dice: "".join(dice.choices(LETTERS, k=dice.randint(1, 4))),
+    "numbers": lambda dice: str(dice.randrange(1000)),
+    "eight words": lambda dice: dice.choice(["red", "blue", "one", "two", "a", "the", "of", "sun"]),
+    "1 letter": lambda dice: dice.choice(LETTERS),
+}
+
+
+def test_passages_of_short_and_alike_words_are_found(spark):
+    dice, rows, want = random.Random(4), [], set()
+    for kind, word in enumerate(KINDS.values()):
+        made = lambda n: [word(dice) for _ in range(n)]
+        for k in range(150):
+            passage, i = made(51), 1000 * kind + 3 * k
+            # The eight words alone do not tell two texts apart, so the surroundings are of other words.
+            for j in (i, i + 1):
+                around = [[words(dice, 1) for _ in range(dice.randint(5, 80))] for _ in range(2)]
+                rows.append((j, " ".join(around[0] + passage + around[1])))
+            want.add((i + 1, i, " ".join(passage)))
+            # A smaller id that has some words of the passage only hides nothing.
+            rows.append((-1 - i, " ".join(passage[10:30] + made(60))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got, texts, told = S.repeated_passages(docs).collect(), dict(rows), {}
+    for r in got:
+        told.setdefault(r.doc_id, []).append((r.start, r.end))
+    # Twenty words of it at least, by the shortest ones.
+    part = lambda i, text: [(s, e) for s, e in told.get(i, []) if min(e, texts[i].index(text) + len(text)) - max(s, texts[i].index(text)) >= 40]
+    assert not [(w, told.get(w[0])) for w in want if not part(w[0], w[2])]
+
+
+def test_every_window_of_a_passage_shares_a_chosen_gram():
+    dice = random.Random(5)
+    for word in KINDS.values():
+        for _ in range(300):
+            passage = [word(dice) for _ in range(S.PASSAGE_WORDS)]
+            a, b = ({*S.anchors(" ".join([word(dice) for _ in range(dice.randint(0, 90))] + passage + [word(dice) for _ in range(9)]))[0].tolist()} for _ in range(2))
+            assert a & b
+    assert not len(S.anchors("x " * (S.PASSAGE_WORDS - 1))[0]) and len(S.anchors("é\n " * S.PASSAGE_WORDS)[0])
