@@ -3,6 +3,7 @@
 Patterns find the plain cases.  For the others a string's novelty is measured: its surrounding text is
 compressed with and without it by a Zstandard compressor primed with a dictionary of identifiers.  What
 the surroundings or the dictionary explain costs few bytes; a key or password costs nearly its length.
+Copies of the string itself explain nothing and are taken out of its surroundings.
 """
 
 from __future__ import annotations
@@ -105,6 +106,32 @@ def marginal_bytes(before: str, candidate: str, after: str) -> int:
     return len(compress((before + candidate + after).encode())) - len(compress((before + after).encode()))
 
 
+def surroundings(text: str, start: int, end: int) -> tuple[str, str]:
+    """AROUND characters before and after a candidate, with a mark in place of each other copy of it.
+
+    The mark keeps texts around copies from being one longer match, which the candidate would have to pay for breaking.
+    Only three or more copies in a row on one line, which are filler, stay and explain each other.
+    """
+    run, low, high = text[start:end], max(0, start - AROUND), end + AROUND
+    # A copy that the edge of the context cuts is taken out as well.
+    first, last = max(0, low - len(run) + 1), high + len(run) - 1
+    if text.find(run, first, start) < 0 and text.find(run, end, last) < 0:
+        return text[low:start], text[end:high]
+    word = re.escape(run)
+    rows = [m.span() for m in re.finditer(rf"{word}(?:[\x20\t]+{word}){{2,}}", text[first:last])]
+
+    def without(at: int, to: int, a: int, b: int) -> str:
+        parts, i = [], text.find(run, a, b)
+        while i >= 0:
+            if not any(x <= i - first < y for x, y in rows):
+                parts.append(text[at : min(i, to)])
+                at = max(at, i + len(run))
+            i = text.find(run, i + len(run), b)
+        return "\0".join([*parts, text[at:to]])
+
+    return without(low, start, first, start), without(end, high, end, last)
+
+
 def novel_spans(text: str, taken: list[Span], novelty: float = NOVELTY) -> list[Span]:
     """Candidates in a sensitive place whose novelty is enough and that overlap nothing in ``taken``."""
     found: list[Span] = []
@@ -116,7 +143,8 @@ def novel_spans(text: str, taken: list[Span], novelty: float = NOVELTY) -> list[
             continue
         if any(s < end and start < e for s, _, e in taken):
             continue
-        cost = marginal_bytes(text[max(0, start - AROUND) : start], run, text[end : end + AROUND])
+        before, after = surroundings(text, start, end)
+        cost = marginal_bytes(before, run, after)
         if cost >= novelty * len(run):
             found.append((start, 3, end))
     return found
