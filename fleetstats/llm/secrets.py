@@ -9,6 +9,7 @@ Copies of the string itself explain nothing and are taken out of its surrounding
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,14 +29,21 @@ LEAST_ASSIGN = 12
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-# A candidate is a run of key characters with a digit and a letter, and a word of these before it.
+# A candidate is a run of key characters of mixed classes with a word of these shortly before it, or with such a word
+# on its own in its context or in the name that it is assigned to, or inside a private key's PEM block.
 LEAST_CANDIDATE = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{%d,}" % LEAST_CANDIDATE)
-SENSITIVE = re.compile(
+# Letters and a digit, or letters of both cases not only where a word begins.
+MIXED = re.compile(r"(?=.*[A-Za-z])(?=.*[0-9])|.*(?:[a-z][A-Z]|[A-Z]{2}[a-z])")
+NAMED = re.compile(r".*=(?=[^=])")
+WORDS = (
     r"(?:passphrase|password|passwd|pwd|secret|token|credential|bearer|authorization|auth|private|signature|salt"
-    r"|(?:api|access|client|session|encryption|signing|ssh|account)[ _-]?(?:key|id)|key)s?\W{0,6}(?:\w+\W{1,4}){0,2}$",
-    re.IGNORECASE | re.ASCII,
+    r"|(?:api|access|client|session|encryption|signing|ssh|account)[ _-]?(?:key|id)|key)s?"
 )
+SENSITIVE = re.compile(WORDS + r"\W{0,6}(?:\w+\W{1,4}){0,2}$", re.IGNORECASE | re.ASCII)
+# A word on its own: between other characters than letters, or where the case tells words apart.
+ALONE = re.compile(rf"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:{WORDS})(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))", re.ASCII)
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END|\Z)", re.DOTALL)
 BEFORE, AROUND = 48, 1024  # characters before a candidate that may hold the word; context on each side
 # Bytes added per character.  Text and identifiers stay below, hexadecimal digits cost a half and
 # base 64 three quarters.
@@ -135,11 +143,26 @@ def surroundings(text: str, start: int, end: int) -> tuple[str, str]:
 def novel_spans(text: str, taken: list[Span], novelty: float = NOVELTY) -> list[Span]:
     """Candidates in a sensitive place whose novelty is enough and that overlap nothing in ``taken``."""
     found: list[Span] = []
-    for m in CANDIDATE.finditer(text):
-        start, end, run = m.start(), m.end(), m[0]
-        if run.isalpha() or not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
+    runs = [m for m in CANDIDATE.finditer(text) if MIXED.match(m[0])]
+    if not runs:
+        return found
+    words = [m.span() for m in ALONE.finditer(text)]
+    begun = [s for s, _ in words]
+    blocks = [m.span(1) for m in PEM.finditer(text)]
+    for m in runs:
+        start, end = m.start(), m.end()
+        near = bisect_left(begun, start - AROUND)
+        if not (
+            (near < len(words) and words[near][1] <= end + AROUND)
+            or SENSITIVE.search(text[max(0, start - BEFORE) : start].rpartition("\n")[2])
+            or any(s <= start and end <= e for s, e in blocks)
+        ):
             continue
-        if not SENSITIVE.search(text[max(0, start - BEFORE) : start].rpartition("\n")[2]):
+        name = NAMED.match(m[0])  # the value, if that is long enough on its own
+        if name and end - start - name.end() >= LEAST_CANDIDATE:
+            start += name.end()
+        run = text[start:end]
+        if not MIXED.match(run):
             continue
         if any(s < end and start < e for s, _, e in taken):
             continue

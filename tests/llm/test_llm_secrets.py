@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,3 +82,22 @@ def test_copies_nearby_hide_no_secret():
     for name in ("load_path_load_path_1_load_path",):
         assert found(f"config = load(path)\nclient key: {name}\nreturn config\n" * 3) == []
     assert S.surroundings("a" + key + "b" + key + "c" + key, 26, 50) == ("a\0b", "c\0")
+
+
+def test_sensitive_words_anywhere_around_and_keys_without_digits():
+    key = "9f8Zk2LmQx7TvBw4RyUe1DpN"
+    filler = "return config and go on\n" * 30
+    for text in (
+        '{"client_key":\n   "%s"}', "password for the staging database server is %s", "%s is the secret of this server", "clientKey\n\n%s",
+        "client_key=%s", "the key is\n" + filler + "%s\n", "%s\n" + filler + "is the key", "export APP_TOKEN_V2=%s\n",
+    ):
+        for k in (key, "fKzLmQxoTvBwhRyUeiDpNaWc", "QxTvbwRyUeDpNaWcKzlM"):
+            assert found(text % k) == [k], text
+    for label in ("RSA PRIVATE KEY", "PRIVATE KEY", "OPENSSH PRIVATE KEY"):
+        dice = random.Random(3)
+        body = ["".join(dice.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(60)]
+        assert found(f"-----BEGIN {label}-----\n" + "\n".join(body) + f"\n-----END {label}-----\n") == body
+        assert found(f"-----BEGIN {label}-----\n" + "\n".join(body)) == body
+    for text in ("the turkey and its author are here on time %s", "%s monkeys", "key" + "\n" * 1030 + "%s"):
+        assert found(text % key) == []
+    assert found("der private Schluessel: Verantwortlichkeit, state-of-the-art-systems 2024-01-01/12-00-00") == []
