@@ -39,10 +39,11 @@ def near(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents are repeated until their languages have their target shares of tokens.
 
-    No rate is under one, so every document stays; rows of rarer languages are there more than once.
+    No rate is under one, so every document stays, and the corpus grows until the most frequent language has only its share;
+    rows of rarer languages are there more than once.
     """
     labelled = mixing.labelled_languages(spark, docs, folder)
-    return mixing.mix(docs, labelled, temperature=TEMPERATURE, least=1.0)
+    return mixing.mix(docs, labelled, temperature=TEMPERATURE, least=1.0, grow=True)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

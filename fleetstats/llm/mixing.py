@@ -8,6 +8,7 @@ domain ever reach the driver.  Everything here is built-in functions.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ SMOOTHING = 0.5
 # Words repeat each other, so a text speaks with the weight of this many at most.
 EVIDENCE = 32
 STEPS, ENOUGH = 60, 1e-7
+MISSED = 0.01
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -166,6 +168,15 @@ def wanted(natural: np.ndarray, domains: list[str], weights: Mapping[str, float]
     return share / share.sum() * total
 
 
+def grown(targets: np.ndarray, natural: np.ndarray, least: float) -> np.ndarray:
+    """``targets`` scaled up as far as no domain has to fall below ``least`` of what it has.
+
+    A domain with no target is passed over, as no scale reaches it.
+    """
+    asked = targets > 0
+    return targets * max(1.0, least * (natural[asked] / targets[asked]).max(initial=0.0))
+
+
 def mixture(
     docs: DataFrame,
     labelled: DataFrame,
@@ -177,13 +188,15 @@ def mixture(
     label_id: str = "doc_id",
     domain: str = "domain",
     fit_docs: int = FIT_DOCS,
+    grow: bool = False,
 ) -> tuple[DataFrame, list[str]]:
     """``doc_id``, ``n_tokens``, ``domain`` (the likeliest), ``rate`` and posteriors ``p0``, ``p1``, ... of every row
     of ``docs``, and the names of the domains.
 
     ``labelled`` gives the ``domain`` of some documents; nulls in it are passed over, and of several
     domains of one id the first by name counts.  A null text counts as empty: it has no tokens and the priors, and its rate is
-    that of its posteriors.  Repeated rows count each.  Without any labelled document there is one domain
+    that of its posteriors.  With ``grow`` the tokens may become more than there are, so that the floor ``least`` keeps no
+    domain above its share; shares still missed by over MISSED are warned of.  Repeated rows count each.  Without any labelled document there is one domain
     without a name, and every rate is 1 or ``least``.  Other columns are not read.  An empty table gives no rows.
     """
     names = labelled.select(F.col(label_id).alias("_id"), F.col(domain).cast("string").alias("domain"))
@@ -195,8 +208,13 @@ def mixture(
     posteriors = [f"p{i}" for i in range(k)]
     members = stage(with_posteriors(plain, model, "_text").drop("_text"), "mixing-members")
     natural = members.agg(*[F.sum(F.col("n_tokens") * F.col(p)).alias(p) for p in posteriors]).first()
-    targets = wanted(np.array([x or 0.0 for x in natural]), model.domains, weights, temperature)
-    rate, _ = fit_rates(members, k, targets, least)
+    natural = np.array([x or 0.0 for x in natural])
+    targets = wanted(natural, model.domains, weights, temperature)
+    if grow:
+        targets = grown(targets, natural, least)
+    rate, now = fit_rates(members, k, targets, least)
+    if grow and now.sum() > 0 and np.abs(now / now.sum() - targets / targets.sum()).max() > MISSED:
+        warnings.warn(f"mixing reached {now / now.sum()} of {model.domains}, not {targets / targets.sum()}", stacklevel=2)
     best = F.greatest(*posteriors) if k > 1 else F.col("p0")
     name = F.coalesce(*[F.when(F.col(p) == best, F.lit(d)) for p, d in zip(posteriors, model.domains)])
     return members.select("doc_id", "n_tokens", name.alias("domain"), rate.alias("rate"), *posteriors), model.domains

@@ -93,3 +93,18 @@ def test_query_names_languages_and_meets_the_targets(spark):
     assert len(got) == len(docs) and (both.domain == both.lang).mean() > 0.95
     reached = {d: (got.rate * got.n_tokens * got[f"p_{d}"]).sum() / got.n_tokens.sum() for d in M.TARGETS}
     assert all(abs(reached[d] - w) < 0.01 for d, w in M.TARGETS.items())
+
+
+def test_pipeline_stage_reaches_the_targets_with_one_dominant_language(spark, tmp_path):
+    import corpus_pipeline
+
+    dice, own = random.Random(3), {"en": "etaoin", "de": "shrdlu", "es": "cmfwyp", "fr": "vbgkqj"}
+    langs = dice.choices(list(own), [70, 20, 7, 3], k=3000)
+    rows = [(i, " ".join("".join(dice.choices(own[d], k=3)) for _ in range(40)), d) for i, d in enumerate(langs)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    docs.selectExpr("doc_id").where("doc_id % 2 = 0").write.parquet(f"{tmp_path}/labels.parquet")
+    got = [r.lang for r in corpus_pipeline.mixed(spark, docs, str(tmp_path)).select("lang").collect()]
+    power = {d: langs.count(d) ** corpus_pipeline.TEMPERATURE for d in own}
+    missed = {d: got.count(d) / len(got) - power[d] / sum(power.values()) for d in own}
+    assert all(abs(x) < 0.01 for x in missed.values()), missed
+    assert all(got.count(d) >= langs.count(d) for d in own)
