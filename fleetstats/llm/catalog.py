@@ -31,7 +31,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     from fleetstats.llm import (  # noqa: F401
         bpe,
+        conversations,
         exact_dedup,
+        hard_negatives,
         mixing,
         near_dedup,
         neighbours,
@@ -39,6 +41,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         secrets,
         substring_dedup,
         toxicity,
+        url_filters,
         warc,
     )
 
