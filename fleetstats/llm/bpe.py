@@ -12,20 +12,31 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from struct import pack
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from fleetstats.llm.catalog import query, table
+from fleetstats.llm.names import unused
 
 RANKS = "byte_bpe_50k.tiktoken"
-# Matches and token pairs remembered per Python worker, the last used ones.
-REMEMBERED = 200_000
+# Token pairs remembered per Python worker, the last used ones.
+REMEMBERED = 100_000
+# Matches and their ids are remembered up to so many bytes, twice over; longer matches are not.
+REMEMBERED_BYTES = 8 * 2**20
+LONGEST_REMEMBERED = 256
+# A remembered match takes about so many bytes more than its own.
+ENTRY_BYTES = 200
+# Bytes of texts that are encoded before their ids are handed on.
+BATCH_BYTES = 4 * 2**20
 # A rank file is read by the driver and sent to all workers, so its size is checked.
 LARGEST_RANK_FILE = 64 * 2**20
 
@@ -102,7 +113,7 @@ class Vocabulary:
         if whole is not None:
             return [whole]
         n = len(data)
-        longest: list[int] = [0] * n
+        longest = array("i", bytes(4 * n))
         for end, (length, rank) in self.automaton.iter(data.decode("latin-1")):
             longest[end - length + 1] = rank  # ends come in rising order, so the longest is last
         open_at = bytearray(b"\x01") * (n + 1)
@@ -138,23 +149,28 @@ class Vocabulary:
 class _Packed(dict):
     """Packed ids per match, worked out when first asked for.
 
-    When ``REMEMBERED`` are there, they become the older ones, which go when the next are full unless
-    they are asked for again.
+    When they weigh ``REMEMBERED_BYTES``, they become the older ones, which go when the next are full unless
+    they are asked for again.  A long match is worked out each time.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
         self.vocabulary = vocabulary
         self.older: dict[str, bytes] = {}
+        self.weight = 0
 
     def __missing__(self, match: str) -> bytes:
         packed = self.older.get(match)
         if packed is None:
             ids = self.vocabulary.encode_match(match)
             packed = pack(f"<{len(ids)}I", *ids)
-        if len(self) >= REMEMBERED:
+        if len(match) > LONGEST_REMEMBERED:
+            return packed
+        self.weight += ENTRY_BYTES + 4 * len(match) + len(packed)
+        if self.weight > REMEMBERED_BYTES:
             self.older = dict(self)
             self.clear()
+            self.weight = ENTRY_BYTES + 4 * len(match) + len(packed)
         self[match] = packed
         return packed
 
@@ -171,8 +187,18 @@ def vocabulary(rank_file: bytes, pattern: str = public_tokenizers.PATTERN) -> Vo
     return _vocabularies[key]
 
 
+def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(start, rows) of parts of a column that hold about ``most`` bytes, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("i8")
+    upto, start = sizes.cumsum(), 0
+    while start < len(sizes):
+        end = max(start + 1, int(upto.searchsorted(most + (upto[start - 1] if start else 0), side="right")))
+        yield start, end - start
+        start = end
+
+
 class Codec:
-    """BPE of one rank file as DataFrame columns.
+    """BPE of one rank file.
 
     ``ranks`` is the path of the rank file on the driver; the file is bounded and sent to the workers
     once.  A match of ``pattern`` is the unit of encoding.  No special tokens.
@@ -182,32 +208,43 @@ class Codec:
         self.file = spark.sparkContext.broadcast(read_ranks(ranks or public_tokenizers.path(RANKS)))
         self.pattern = pattern
 
-    def encode(self, text: str | Column) -> Column:
-        """Ids as a binary of little-endian unsigned 32-bit integers; none for a null or empty text.
+    def _mapped(self, docs: DataFrame, source: str, made: dict[str, Callable[[Vocabulary], Callable]]) -> DataFrame:
+        """``docs`` with ``source`` replaced by new binary columns, each worked out by a vocabulary from the one before.
 
-        Packed ids move as one value per document; ``ids_array`` makes a list of them.
+        One Python worker does it all, and hands on what it has by bytes.
         """
         file, pattern = self.file, self.pattern
-
-        @F.arrow_udf("binary")
-        def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            encode = vocabulary(file.value, pattern).encode
-            for texts in batches:
-                yield pa.array((encode(t.as_py() or "") for t in texts), pa.binary())
-
-        return encoded(text)
-
-    def decode(self, ids: str | Column) -> Column:
-        """The bytes that packed ids stand for; none for null.  An id not in the rank file is an error."""
-        file = self.file
-
-        @F.arrow_udf("binary")
-        def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            tokens = tokens_by_rank(file.value)
-            for packed in batches:
-                yield pa.array((decode(p.as_py() or b"", tokens) for p in packed), pa.binary())
-
-        return decoded(ids)
+        kept = [c for c in docs.columns if c != source]
+        fields = [docs.schema[c] for c in kept] + [StructField(n, BinaryType()) for n in made]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = vocabulary(file.value, pattern)
+            steps = [step(words) for step in made.values()]
+            for batch in batches:
+                for start, n in _slices(batch.column(source), BATCH_BYTES):
+                    part = batch.slice(start, n)
+                    columns = [part.column(c) for c in kept]
+                    values = part.column(source)
+                    for step in steps:
+                        values = pa.array((step(v.as_py()) for v in values), pa.binary())
+                        columns.append(values)
+                    yield pa.RecordBatch.from_arrays(columns, [*kept, *made])
+
+        return docs.mapInArrow(run, StructType(fields))
+
+    def encode(self, docs: DataFrame, text: str, ids: str = "ids") -> DataFrame:
+        """``docs`` with the packed ids (little-endian unsigned 32-bit integers) in place of the text; none for a null or empty text."""
+        return self._mapped(docs, text, {ids: lambda words: lambda t: words.encode(t or "")})
+
+    def decode(self, docs: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+        """``docs`` with the bytes that packed ids stand for in their place; none for null.  An id not in the rank file is an error."""
+        return self._mapped(docs, ids, {decoded: lambda words: lambda i: decode(i or b"", words.tokens)})
+
+    def round_trip(self, docs: DataFrame, text: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+        """``docs`` with the ids of the text and the bytes that these decode to, in place of the text."""
+        return self._mapped(
+            docs, text, {ids: lambda words: lambda t: words.encode(t or ""), decoded: lambda words: lambda i: decode(i, words.tokens)}
+        )
 
 
 def n_tokens(ids: str | Column) -> Column:
@@ -232,9 +269,9 @@ def encode_and_decode(docs: DataFrame, text: str = "text", ranks: str | None = N
     own.  Columns not in ``keep`` are not read, so their names cannot clash.  Each text is handled on
     its own, so there is no shuffle and nothing grows but with the longest text.
     """
-    codec = Codec(docs.sparkSession, ranks)
-    encoded = docs.select(*[F.col(k) for k in keep], codec.encode(F.col(text)).alias("ids"))
-    return encoded.select("*", codec.decode("ids").alias("decoded"))
+    (source,) = unused(keep, "_text")
+    plain = docs.select(*[F.col(k) for k in keep], F.col(text).alias(source))
+    return Codec(docs.sparkSession, ranks).round_trip(plain, source)
 
 
 @query("op2_bpe")

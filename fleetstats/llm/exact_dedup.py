@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetstats.llm.catalog import query, table
+from fleetstats.llm.names import unused
 from fleetstats.plans.staging import stage
 
 # Chunks have LEAST to MOST characters; the last of a text may be shorter.
@@ -140,19 +141,17 @@ def drop_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     there more than once are told apart by their text as well.
     """
     answers = stage(exact_dedup(docs, doc_id, text), "exact-answers")
-    ids = answers.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.max("kept").alias("_kept"))
-    ids = ids.where((F.col("_rows") > 1) | ~F.col("_kept")).withColumnRenamed("doc_id", "_id")
-    ids = stage(ids, "exact-odd-ids")
-    same = docs[doc_id].eqNullSafe(F.col("_id"))
+    theirs, rows, stays, sha, digest = unused(docs.columns, "_id", "_rows", "_kept", "_sha", "_digest")
+    ids = answers.groupBy(F.col("doc_id").alias(theirs)).agg(F.count("*").alias(rows), F.max("kept").alias(stays))
+    ids = stage(ids.where((F.col(rows) > 1) | ~F.col(stays)), "exact-odd-ids")
+    same = docs[doc_id].eqNullSafe(F.col(theirs))
     plain = docs.join(ids, same, "left_anti")
-    kept = answers.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
-    several = docs.join(ids.where("_kept"), same, "left_semi").withColumn(
-        "_sha", F.sha2(normalised(text).cast("binary"), 256)
-    )
+    kept = answers.where("kept").select(F.col("doc_id").alias(theirs), F.col("text_sha256").alias(digest)).distinct()
+    several = docs.join(ids.where(stays), same, "left_semi").withColumn(sha, F.sha2(normalised(text).cast("binary"), 256))
     several = several.join(
-        kept, several[doc_id].eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest")), "left_semi"
+        kept, several[doc_id].eqNullSafe(F.col(theirs)) & (F.col(sha) == F.col(digest)), "left_semi"
     )
-    return plain.unionByName(several.dropDuplicates([doc_id, "_sha"]).drop("_sha"))
+    return plain.unionByName(several.dropDuplicates([doc_id, sha]).drop(sha))
 
 
 SPACES = "[ \\t\\n\\x0B\\f\\r]+"

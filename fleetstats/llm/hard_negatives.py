@@ -288,9 +288,11 @@ def mine(
     best = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     near = _meet(_spread(grown, "block", blocks), candidates, _positives(positives), found)
     near = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= positives)
-    # In integers: the least and the greatest score of the window.
-    least = F.expr(f"-((-{low} * positive_score - pmod(-{low} * positive_score, 100)) div 100)")
-    most = F.expr(f"({high} * positive_score - pmod({high} * positive_score, 100)) div 100")
+    # In integers, and without products that a bigint cannot hold: the least and the greatest score of the window.
+    rest = "pmod(positive_score, 100)"
+    hundreds = f"(positive_score - {rest}) div 100"
+    least = F.expr(f"{low} * ({hundreds}) + ({low} * {rest} + 99) div 100")
+    most = F.expr(f"{high} * ({hundreds}) + ({high} * {rest}) div 100")
     window = F.struct("positive_id", "positive_score", least.alias("least"), most.alias("most"))
     windows = stage(near.groupBy("anchor_id").agg(F.collect_list(window).alias("windows")), "negatives-windows")
     opened = grown.join(windows, "anchor_id", "left").withColumn("windows", F.coalesce("windows", F.array().cast(windows.schema["windows"].dataType)))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetstats.llm.catalog import query, table
+from fleetstats.llm.names import unused
 from fleetstats.plans.staging import stage
 
 # Labelled documents that the classifier is fitted on at most, taken by hash.
@@ -26,7 +27,9 @@ MOST_DOMAINS = 64
 SMOOTHING = 0.5
 # Words repeat each other, so a text speaks with the weight of this many at most.
 EVIDENCE = 32
-STEPS, ENOUGH = 60, 1e-7
+# Passes over the corpus at most; shares of all tokens by which a target may be missed, and below which a pass moved nothing.
+STEPS, ENOUGH, SETTLED = 40, 1e-4, 1e-6
+LONGEST_STEP = 20.0
 MISSED = 0.01
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -87,54 +90,67 @@ def with_posteriors(docs: DataFrame, model: DomainModel, text: str = "text") ->
 
     A text without words gets the priors.
     """
-    hashed = docs.withColumn("_words", F.transform(words(text), _bucket))
+    hashes, *scores = unused(docs.columns, "_words", *[f"_s{k}" for k in range(len(model.domains))])
+    hashed = docs.withColumn(hashes, F.transform(words(text), _bucket))
 
     def score(k: int) -> Column:
         odds = _literal(model.odds[k])
-        return F.aggregate("_words", F.lit(0.0), lambda total, bucket: total + F.get(odds, bucket))
+        return F.aggregate(hashes, F.lit(0.0), lambda total, bucket: total + F.get(odds, bucket))
 
-    n = F.size("_words")
+    n = F.size(hashes)
     weight = F.least(n, F.lit(EVIDENCE)) / F.greatest(n, F.lit(1))
     scored = hashed.select(
         *docs.columns,
         n.cast("bigint").alias("n_tokens"),
-        *[(score(k) * weight + F.lit(float(np.log(p)))).alias(f"_s{k}") for k, p in enumerate(model.prior)],
+        *[(score(k) * weight + F.lit(float(np.log(p)))).alias(scores[k]) for k, p in enumerate(model.prior)],
     )
-    scores = [F.col(f"_s{k}") for k in range(len(model.domains))]
+    scores = [F.col(s) for s in scores]
     most = F.greatest(*scores) if len(scores) > 1 else scores[0]
     powers = [F.exp(s - most) for s in scores]
     total = sum(powers[1:], powers[0])
     return scored.select(*docs.columns, "n_tokens", *[(p / total).alias(f"p{k}") for k, p in enumerate(powers)])
 
 
-def _stepped(rate: Column, domains: int, step: np.ndarray, least: float) -> Column:
-    move = sum((F.col(f"p{k}") * F.lit(float(step[k])) for k in range(1, domains)), F.col("p0") * F.lit(float(step[0])))
-    return F.greatest(F.lit(float(least)), rate - move)
+def rate_of(moved: np.ndarray, least: float) -> Column:
+    """A row's rate after the corpus has been moved by one number per domain."""
+    move = sum((F.col(f"p{k}") * F.lit(float(m)) for k, m in enumerate(moved)), F.lit(0.0))
+    return F.greatest(F.lit(float(least)), F.lit(max(1.0, least)) - move)
 
 
-def fit_rates(members: DataFrame, domains: int, targets: np.ndarray, least: float = 0.0) -> tuple[Column, np.ndarray]:
+def fit_rates(members: DataFrame, domains: int, targets: np.ndarray, least: float = 0.0, steps: int = STEPS) -> tuple[Column, np.ndarray]:
     """The rate of each row of ``members`` (n_tokens, p0, p1, ...) as a column, and the tokens reached.
 
-    Least squares of the domains' relative misses by projected gradient: a step moves a document's rate by its
-    posteriors times the misses, then lifts it to ``least``.  Weighed by tokens, the curvature is
-    at most one, so full steps converge.  A rate follows from the steps alone: each pass reads the members, sums
-    one number per domain and leaves no state behind.
+    Least squares of the domains' relative misses by projected gradient.  The gradient of a document's rate is its posteriors
+    times the misses, so the steps taken so far are one number per domain, and a rate is what these leave of it, lifted to
+    ``least``: every pass plans and compiles an expression of the same size, reads the members, sums one number per domain
+    and leaves nothing behind.  Steps are as long as the curvature seen in the last one allows (Barzilai-Borwein).
+    It ends when targets are met, when a pass moves nothing, or after ``steps`` passes, with the best of them.
     """
 
-    def reached(rate: Column) -> np.ndarray:
+    def reached(moved: np.ndarray) -> np.ndarray:
+        rate = rate_of(moved, least)
         sums = [F.sum(rate * F.col("n_tokens") * F.col(f"p{k}")) for k in range(domains)]
         return np.array([x or 0.0 for x in members.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()])
 
-    rate: Column = F.lit(max(1.0, least))
-    start = now = reached(rate)
-    for _ in range(STEPS):
-        step = np.where(start > 0, (now - targets) / np.maximum(start, 1e-12), 0.0)
-        rate = _stepped(rate, domains, step, least)
-        then = reached(rate)
-        if np.abs(then - now).max() <= ENOUGH * max(start.sum(), 1):
-            return rate, then
-        now = then
-    return rate, now
+    moved = np.zeros(domains)
+    start = now = reached(moved)
+    total, before, best = max(start.sum(), 1), None, (np.inf, moved, now)
+    for _ in range(steps):
+        miss = np.where(start > 0, (now - targets) / np.maximum(start, 1e-12), 0.0)
+        best = min(best, ((miss**2 * start).sum(), moved, now), key=lambda b: b[0])
+        if (np.abs(miss) * start).max() <= ENOUGH * total:
+            break
+        step = 1.0
+        if before is not None:
+            was, its_miss, its_now = before
+            if np.abs(now - its_now).max() <= SETTLED * total:
+                break
+            far, bend = moved - was, its_miss - miss
+            step = float(np.clip((far * start * far).sum() / max((far * start * bend).sum(), 1e-12), 1.0, LONGEST_STEP))
+        before = (moved, miss, now)
+        moved = moved + step * miss
+        now = reached(moved)
+    return rate_of(best[1], least), best[2]
 
 
 def labelled_sample(docs: DataFrame, labelled: DataFrame, doc_id: str, text: str, fit_docs: int) -> DataFrame:
@@ -228,16 +244,17 @@ def mix(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", **options)
     id share the mean of their rates.
     """
     rates, _ = mixture(docs, labelled, doc_id=doc_id, **options)
-    rates = rates.groupBy("doc_id").agg(F.avg("rate").alias("_rate")).withColumnRenamed("doc_id", "_id")
+    theirs, rate, copies, copy = unused(docs.columns, "_id", "_rate", "_copies", "_copy")
+    rates = rates.groupBy(F.col("doc_id").alias(theirs)).agg(F.avg("rate").alias(rate))
     rates = stage(rates, "mixing-rates")
-    chance = F.pmod(F.xxhash64("_id", F.lit("mix")), F.lit(1 << 30)) / (1 << 30)
-    copies = F.floor(F.col("_rate")) + (chance < F.col("_rate") - F.floor("_rate")).cast("int")
+    chance = F.pmod(F.xxhash64(theirs, F.lit("mix")), F.lit(1 << 30)) / (1 << 30)
+    times = F.floor(F.col(rate)) + (chance < F.col(rate) - F.floor(rate)).cast("int")
     return (
-        docs.join(rates, docs[doc_id].eqNullSafe(rates["_id"]))
-        .withColumn("_copies", copies)
-        .where("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .select(*docs.columns)
+        docs.join(rates, docs[doc_id].eqNullSafe(rates[theirs]))
+        .withColumn(copies, times)
+        .where(F.col(copies) > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
+        .select(*[docs[c] for c in docs.columns])
     )
 
 

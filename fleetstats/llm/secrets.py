@@ -9,8 +9,9 @@ Copies of the string itself explain nothing and are taken out of its surrounding
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,13 +150,16 @@ def novel_spans(text: str, taken: list[Span], novelty: float = NOVELTY) -> list[
     words = [m.span() for m in ALONE.finditer(text)]
     begun = [s for s, _ in words]
     blocks = [m.span(1) for m in PEM.finditer(text)]
+    block_starts = [s for s, _ in blocks]
+    taken = sorted((s, e) for s, _, e in taken)
+    taken_starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     for m in runs:
         start, end = m.start(), m.end()
-        near = bisect_left(begun, start - AROUND)
+        near, block = bisect_left(begun, start - AROUND), bisect_right(block_starts, start) - 1
         if not (
             (near < len(words) and words[near][1] <= end + AROUND)
             or SENSITIVE.search(text[max(0, start - BEFORE) : start].rpartition("\n")[2])
-            or any(s <= start and end <= e for s, e in blocks)
+            or (block >= 0 and end <= blocks[block][1])
         ):
             continue
         name = NAMED.match(m[0])  # the value, if that is long enough on its own
@@ -164,7 +168,9 @@ def novel_spans(text: str, taken: list[Span], novelty: float = NOVELTY) -> list[
         run = text[start:end]
         if not MIXED.match(run):
             continue
-        if any(s < end and start < e for s, _, e in taken):
+        # Of the spans that begin before this one ends, the one that reaches furthest.
+        last = bisect_left(taken_starts, end) - 1
+        if last >= 0 and reach[last] > start:
             continue
         before, after = surroundings(text, start, end)
         cost = marginal_bytes(before, run, after)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetstats.llm.catalog import query, table
+from fleetstats.llm.names import unused
 from fleetstats.plans.staging import stage
 
 WINDOW = 16  # bytes that decide a cut; the hash has as many bits
@@ -342,19 +343,19 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     All rows and columns stay; a text that is repeated whole becomes what is left of it.
     """
-    spans = _spans(repeated_passages(docs, doc_id, text, run_words))
-    spans = stage(spans, "sub-spans")
+    theirs, cuts = unused(docs.columns, "_id", "_spans")
+    spans = stage(_spans(repeated_passages(docs, doc_id, text, run_words)), "sub-spans").toDF(theirs, cuts)
     body = F.col(text)
     kept = F.aggregate(
-        "_spans",
+        cuts,
         F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("done")),
         lambda a, s: F.struct(
             F.greatest(a.at, s.end).alias("at"), F.concat(a.done, F.substring(body, (a.at + 1).cast("int"), (s.start - a.at).cast("int"))).alias("done")
         ),
         lambda a: F.concat(a.done, F.substring(body, (a.at + 1).cast("int"), F.length(body))),
     )
-    joined = docs.join(spans, docs[doc_id] == spans["_id"], "left")
-    return joined.select(*[F.when(F.col("_spans").isNull(), body).otherwise(kept).alias(text) if c == text else docs[c] for c in docs.columns])
+    joined = docs.join(spans, docs[doc_id] == spans[theirs], "left")
+    return joined.select(*[F.when(F.col(cuts).isNull(), body).otherwise(kept).alias(text) if c == text else docs[c] for c in docs.columns])
 
 
 @query("op4_substring_dedup")

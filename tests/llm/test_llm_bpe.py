@@ -90,3 +90,46 @@ def test_a_rank_file_without_a_byte_is_refused(tmp_path):
     path.write_bytes(b"".join(base64.b64encode(bytes([b])) + f" {b}\n".encode() for b in range(255)))
     with pytest.raises(ValueError):
         bpe.Vocabulary(bpe.read_ranks(str(path)), P.PATTERN)
+
+
+def test_memory_of_matches_is_bounded_by_bytes():
+    v = bpe.Vocabulary(bpe.read_ranks(PATH), P.PATTERN)
+    dice = random.Random(3)
+    for _ in range(3000):
+        v.encode(" ".join("".join(dice.choices("etaoinshrdlu", k=dice.randint(3, 12))) for _ in range(30)))
+        assert v.packed.weight <= bpe.REMEMBERED_BYTES
+    assert v.packed.older
+    before = len(v.packed)
+    v.encode("x" * (bpe.LONGEST_REMEMBERED + 1))
+    assert len(v.packed) == before
+
+
+def test_one_huge_match_and_many_long_documents_come_back(spark):
+    """What is held at once is one text, or some megabytes of them."""
+    reference = library(PATH)
+    huge = "ab" * 2_000_000
+    long = "the quick brown fox, naïve and 漢字 " * 3000
+    rows = [(0, huge)] + [(i, f"{i} {long}") for i in range(1, 200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
+    got = bpe.encode_and_decode(docs).select(
+        "doc_id", bpe.n_tokens("ids").alias("n"), bpe.F.sha2("ids", 256).alias("ids"), bpe.F.sha2("decoded", 256).alias("decoded")
+    )
+    got = {r.doc_id: r for r in got.collect()}
+    assert all(got[i].decoded == hashlib.sha256(t.encode()).hexdigest() for i, t in rows)
+    want = reference.encode_ordinary(rows[7][1])
+    assert (got[7].n, got[7].ids) == (len(want), hashlib.sha256(struct.pack(f"<{len(want)}I", *want)).hexdigest())
+
+
+def test_texts_are_cut_by_bytes():
+    import pyarrow as pa
+
+    texts = pa.array(["aaaa", None, "", "bbbbbbbbbbbb", "cc", "dd", "ee"])
+    assert list(bpe._slices(texts, 6)) == [(0, 3), (3, 1), (4, 3)]
+    assert list(bpe._slices(texts.slice(4), 1)) == [(0, 1), (1, 1), (2, 1)] and list(bpe._slices(texts.slice(7), 5)) == []
+
+
+def test_ids_alone_decode(spark):
+    codec = bpe.Codec(spark)
+    docs = spark.createDataFrame([(1, "hello  world\n"), (2, None)], "doc_id bigint, text string")
+    back = codec.decode(codec.encode(docs, "text"))
+    assert {r.doc_id: bytes(r.decoded) for r in back.collect()} == {1: b"hello  world\n", 2: b""}

@@ -74,3 +74,11 @@ def test_empty_table(spark):
 def test_query_agrees_with_its_sql(spark, name):
     queries, oracles = load()
     assert differences(spark, duck(FOLDER), FOLDER, queries[name], oracles[name]) == []
+
+
+def test_drop_with_clashing_names(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id bigint, text string")
+    odd = docs.withColumns({n: X.F.lit(n) for n in ("_id", "_sha", "_rows", "_kept", "_digest")})
+    plain, kept = X.drop_exact(docs), X.drop_exact(odd)
+    assert kept.columns == odd.columns and {r._id for r in kept.collect()} == {"_id"}
+    assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(map(str, plain.collect()))

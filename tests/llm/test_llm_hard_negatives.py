@@ -1,0 +1,109 @@
+import math
+import random
+
+import numpy as np
+import pytest
+
+from compare import differences, duck
+from fleetstats.llm import hard_negatives as H
+from fleetstats.llm.catalog import load
+
+FOLDER = "/root/testdata/sf0.001"
+DDL = "vec_id bigint, embedding array<double>, label int"
+
+
+def brute(rows, anchor, positives=5, negatives=3, low=50, high=95):
+    usable = {}
+    for i, v, label in rows:
+        if i is None or label is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        q = (label, [math.floor(256 * x) for x in v])
+        if sum(x * x for x in q[1]) < 2**62:
+            usable[i] = min(usable.get(i, q), q)
+    out = []
+    for a in sorted(i for i in usable if anchor(i)):
+        scored = [
+            (-sum(x * y for x, y in zip(usable[a][1], v)), i, label) for i, (label, v) in usable.items() if i != a and len(v) == len(usable[a][1])
+        ]
+        for ps, p, _ in sorted(s for s in scored if s[2] == usable[a][0])[:positives]:
+            fit = sorted(s for s in scored if s[2] != usable[a][0] and low * -ps <= 100 * -s[0] <= high * -ps)
+            out += [(a, p, r, i, -ps, -s) for r, (s, i, _) in enumerate(fit[:negatives], 1)]
+    return sorted(out)
+
+
+def mined(spark, rows, ddl=DDL, **more):
+    frame = spark.createDataFrame(rows, ddl).withColumns({n: H.F.lit("x") for n in ("v", "norm", "dim", "part", "windows")})
+    return sorted(tuple(r) for r in H.mine(frame, H.F.col("vec_id") % 5 == 0, **more).collect())
+
+
+def drawn(seed, n=240, dim=6, spread=0.3):
+    """Clusters, so that bounds leave rows out; ties and repeated rows."""
+    dice = np.random.default_rng(seed)
+    centres = dice.normal(size=(4, dim))
+    v = np.round(centres[dice.integers(0, 4, n)] + spread * dice.normal(size=(n, dim)), 2)
+    rows = [(i, v[i].tolist(), int(dice.integers(0, 3))) for i in range(n)]
+    return rows + rows[:7] + [(1000 + i, v[0].tolist(), i % 3) for i in range(60)]
+
+
+@pytest.mark.parametrize("shape", [{}, {"tree": 8, "trees": 2, "block": 50}, {"tree": 1, "trees": 1, "block": 400}])
+def test_equals_brute_force(spark, shape):
+    rows = drawn(3)
+    assert mined(spark, rows, **shape) == brute(rows, lambda i: i % 5 == 0)
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (0, [1.0, 0.5], 1), (1, [1.0, 0.4], 1), (2, [0.6, 0.5], 2), (3, None, 1), (4, [None, 1.0], 2), (6, [nan, 1.0], 2), (7, [inf, 1.0], 2),
+        (8, [1e30, 1.0], 2), (9, [0.0, 0.0], 1), (10, [0.9, 0.2, 0.1], 1), (11, [0.8, 0.2, 0.1], 1), (12, [0.6, 0.1, 0.1], 3), (None, [1.0, 1.0], 2),
+        (13, [0.6, 0.5], None), (15, [], 1), (16, [], 1), (17, [], 2), (20, [-1.0, -0.5], 1), (2, [0.7, 0.5], 2), (14, [0.6, 0.5], 5), (25, [3e6, 1.0], 1),
+        (26, [3e6, 2.0], 1), (27, [2e6, 1.0], 2),
+    ]
+    assert mined(spark, rows) == brute(rows, lambda i: i % 5 == 0)
+    assert mined(spark, [(1, [1.0], 1)]) == [] and mined(spark, []) == []
+    assert mined(spark, [(0, [1.0], 1), (1, [1.0], 2)]) == []
+
+
+def test_a_spanning_tree_is_least_and_parents_come_first():
+    v = np.random.default_rng(1).normal(size=(40, 3))
+    order, parent, edge = H.spanning_tree(v)
+    assert sorted(order) == list(range(40)) and parent[0] == -1 and all(parent[i] < i for i in range(1, 40))
+    assert np.allclose(edge[1:], np.linalg.norm(v[order[1:]] - v[order[parent[1:]]], axis=1))
+    far = np.linalg.norm(v[:, None] - v[None], axis=2)
+    inside, total = {0}, 0.0
+    while len(inside) < 40:
+        d, to = min((far[i, j], j) for i in inside for j in range(40) if j not in inside)
+        total, inside = total + d, inside | {to}
+    assert math.isclose(edge.sum(), total)
+
+
+def test_bounds_spare_exact_scores():
+    """Where anchors are close, most rows are left out, and bounds hold for those."""
+    dice = np.random.default_rng(2)
+    rows = np.floor(256 * np.vstack([dice.normal(size=(500, 8)) * 0.2 + c for c in (2, -2)]))
+    anchors = np.floor(256 * (dice.normal(size=(20, 8)) * 0.01 + 2))
+    order, parent, edge = H.spanning_tree(anchors)
+    strip = H._Strip(rows, np.linalg.norm(rows, axis=1), np.linalg.norm(anchors, axis=1).max())
+    asked = 0
+    for i, at in enumerate(order):
+        low, high = strip.bounds(parent[i], edge[i], anchors[at])
+        true = rows @ anchors[at]
+        assert (low <= true).all() and (true <= high).all()
+        if i:
+            meet = np.flatnonzero((high >= 0) & (low <= 1000))
+            asked += len(meet)
+            strip.rescore(low, high, meet, anchors[at])
+        strip.open[i] = (low, high)
+    assert asked < 0.1 * 20 * 1000
+
+
+def test_equal_and_repeated_vectors_tie_by_id(spark):
+    rows = [(i, [1.0, 1.0], i % 2) for i in range(30)] + [(100 + i, [0.8, 0.8], 1 + i % 2) for i in range(30)]
+    random.Random(4).shuffle(rows)
+    assert mined(spark, rows, tree=4, block=16) == brute(rows, lambda i: i % 5 == 0)
+
+
+def test_query_agrees_with_its_sql(spark):
+    queries, oracles = load()
+    name = "op13_hard_negatives"
+    assert differences(spark, duck(FOLDER), FOLDER, queries[name], oracles[name]) == []

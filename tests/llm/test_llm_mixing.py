@@ -108,3 +108,35 @@ def test_pipeline_stage_reaches_the_targets_with_one_dominant_language(spark, tm
     missed = {d: got.count(d) / len(got) - power[d] / sum(power.values()) for d in own}
     assert all(abs(x) < 0.01 for x in missed.values()), missed
     assert all(got.count(d) >= langs.count(d) for d in own)
+
+
+def test_passes_are_few_and_their_expressions_do_not_grow(spark):
+    docs, labels = made(spark)
+    sizes = []
+    rows = M.mixture(docs, labels, {"aa": 0.2, "bb": 0.3, "cc": 0.5})[0].select("n_tokens", "p0", "p1", "p2")
+    members = M.stage(rows, "members")
+    agg = type(members).agg
+
+    def counted(self, *columns):
+        out = agg(self, *columns)
+        sizes.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
+        return out
+
+    type(members).agg = counted
+    try:
+        natural = np.array([6.0, 3.0, 1.0])
+        M.fit_rates(members, 3, 5000 * natural[::-1], steps=5)
+        M.fit_rates(members, 3, 5000 * natural[::-1], steps=60)
+        many = len(sizes)
+        M.fit_rates(members, 3, 5000 * natural[::-1], least=1.0)
+    finally:
+        type(members).agg = agg
+    assert max(sizes) < 1.2 * min(sizes[:1] + sizes[2:3]) + 400
+    assert len(sizes) - many <= M.STEPS + 1
+
+
+def test_mix_with_clashing_names(spark):
+    docs, labels = made(spark, 30)
+    odd = docs.select("doc_id", "text").withColumns({"_id": M.F.lit(1), "_rate": M.F.lit("r"), "_copies": M.F.lit(None), "_copy": M.F.lit(0), "_words": M.F.lit(2)})
+    out = M.mix(odd, labels, least=1.0)
+    assert out.columns == odd.columns and {r._id for r in out.collect()} == {1}

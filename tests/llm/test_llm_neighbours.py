@@ -65,3 +65,31 @@ def test_copies_ties_few_rows_and_bad_vectors(spark):
     assert few == {0: [(1, 20, 4.0)], 20: [(1, 0, 4.0)]}
     assert N.search(df.limit(0), N.F.col("vec_id") % 20 == 0).count() == 0
     assert N.search(df, N.F.lit(False)).count() == 0
+
+
+def test_clustered_vectors_need_few_files(spark):
+    dice = np.random.default_rng(8)
+    centres = dice.normal(size=(40, 24))
+    v = centres[dice.integers(0, 40, 6000)] + 0.15 * dice.normal(size=(6000, 24))
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id bigint, embedding array<double>")
+    fitted, real = [], N._fit
+    N._fit = lambda *a: fitted.append(real(*a)) or fitted[-1]
+    try:
+        got = found(N.search(df, N.F.col("vec_id") % 20 == 0))
+    finally:
+        N._fit = real
+    assert recall(got, brute(list(range(6000)), v, list(range(0, 6000, 20)), 20)) >= 0.93
+    assert fitted[0][0] <= N.PIVOTS // 4
+
+
+def test_large_files_and_many_queries_are_split(spark, monkeypatch):
+    """Smaller files and groups of queries give the same neighbours; the index does not grow with the queries but by groups."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    whole = found(N.search(rows, N.F.col("vec_id") % 20 == 0, recall=1.0, pivots=8))
+    monkeypatch.setattr(N, "VECTORS", 100)
+    monkeypatch.setattr(N, "QUERIES", 30)
+    assert found(N.search(rows, N.F.col("vec_id") % 20 == 0, recall=1.0, pivots=8)).keys() == whole.keys()
+    ids = [r.vec_id for r in rows.select("vec_id").collect()]
+    v = np.array([r.embedding for r in rows.collect()], float)
+    got = found(N.search(rows, N.F.col("vec_id") % 20 == 0, recall=1.0, pivots=8))
+    assert recall(got, brute(ids, v, [i for i in ids if i % 20 == 0], 20)) >= 0.97

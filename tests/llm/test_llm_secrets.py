@@ -101,3 +101,23 @@ def test_sensitive_words_anywhere_around_and_keys_without_digits():
     for text in ("the turkey and its author are here on time %s", "%s monkeys", "key" + "\n" * 1030 + "%s"):
         assert found(text % key) == []
     assert found("der private Schluessel: Verantwortlichkeit, state-of-the-art-systems 2024-01-01/12-00-00") == []
+
+
+def test_many_secrets_in_one_text_take_linear_time():
+    import random
+    import time
+
+    dice = random.Random(1)
+
+    def lines(n):
+        return "\n".join("token = " + "".join(dice.choices("0123456789abcdef", k=32)) for _ in range(n))
+
+    took = []
+    for n in (5_000, 50_000):
+        text = lines(n)
+        began = time.process_time()
+        base = S.base_spans(text)
+        S.novel_spans(text, base)
+        took.append(time.process_time() - began)
+        assert len(base) == 2 * n
+    assert took[1] < 25 * took[0] + 1

@@ -174,3 +174,11 @@ def test_every_window_of_a_passage_shares_a_chosen_gram():
             a, b = ({*S.anchors(" ".join([word(dice) for _ in range(dice.randint(0, 90))] + passage + [word(dice) for _ in range(9)]))[0].tolist()} for _ in range(2))
             assert a & b
     assert not len(S.anchors("x " * (S.PASSAGE_WORDS - 1))[0]) and len(S.anchors("é\n " * S.PASSAGE_WORDS)[0])
+
+
+def test_cutting_with_clashing_names(spark):
+    passage = " ".join(f"word{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, passage), (2, "Before. " + passage)], "doc_id bigint, text string")
+    odd = docs.withColumn("_id", docs.doc_id).withColumn("_spans", docs.text)
+    got = {r.doc_id: r for r in S.without_repeats(odd).collect()}
+    assert got[1].text == passage and len(got[2].text) < 100 and got[2]._id == 2 and got[2]._spans.endswith("word79")
