@@ -29,9 +29,9 @@ from fleetstats.llm.names import unused
 
 RANKS = "byte_bpe_50k.tiktoken"
 # Token pairs remembered per Python worker, the last used ones.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 # Matches and their ids are remembered up to so many bytes, twice over; longer matches are not.
-REMEMBERED_BYTES = 8 * 2**20
+REMEMBERED_BYTES = 96 * 2**20
 LONGEST_REMEMBERED = 256
 # A remembered match takes about so many bytes more than its own.
 ENTRY_BYTES = 200

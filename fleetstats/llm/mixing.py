@@ -28,7 +28,7 @@ SMOOTHING = 0.5
 # Words repeat each other, so a text speaks with the weight of this many at most.
 EVIDENCE = 32
 # Passes over the corpus at most; shares of all tokens by which a target may be missed, and below which a pass moved nothing.
-STEPS, ENOUGH, SETTLED = 40, 1e-4, 1e-6
+STEPS, ENOUGH, SETTLED = 24, 1e-4, 1e-5
 LONGEST_STEP = 20.0
 MISSED = 0.01
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -111,46 +111,59 @@ def with_posteriors(docs: DataFrame, model: DomainModel, text: str = "text") ->
     return scored.select(*docs.columns, "n_tokens", *[(p / total).alias(f"p{k}") for k, p in enumerate(powers)])
 
 
-def rate_of(moved: np.ndarray, least: float) -> Column:
-    """A row's rate after the corpus has been moved by one number per domain."""
-    move = sum((F.col(f"p{k}") * F.lit(float(m)) for k, m in enumerate(moved)), F.lit(0.0))
-    return F.greatest(F.lit(float(least)), F.lit(max(1.0, least)) - move)
+def _numbers(values: np.ndarray) -> Column:
+    """An array of numbers as one constant, to their last digit."""
+    return F.split(F.lit(",".join(map(repr, values.ravel().tolist()))), ",").cast("array<double>")
+
+
+def rate_of(taken: list[np.ndarray], domains: int, least: float) -> Column:
+    """A row's rate after the steps taken: each moves it by the posteriors times one number per domain, and lifts it to ``least``.
+
+    The steps are one constant that is folded over, so the expression has the same size for any number of them.
+    """
+    start = F.lit(max(1.0, least))
+    if not taken:
+        return start
+    steps = _numbers(np.array(taken))
+
+    def stepped(rate: Column, i: Column) -> Column:
+        move = sum((F.col(f"p{k}") * F.get(steps, i * domains + k) for k in range(domains)), F.lit(0.0))
+        return F.greatest(F.lit(float(least)), rate - move)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(taken) - 1)), start, stepped)
 
 
 def fit_rates(members: DataFrame, domains: int, targets: np.ndarray, least: float = 0.0, steps: int = STEPS) -> tuple[Column, np.ndarray]:
     """The rate of each row of ``members`` (n_tokens, p0, p1, ...) as a column, and the tokens reached.
 
-    Least squares of the domains' relative misses by projected gradient.  The gradient of a document's rate is its posteriors
-    times the misses, so the steps taken so far are one number per domain, and a rate is what these leave of it, lifted to
-    ``least``: every pass plans and compiles an expression of the same size, reads the members, sums one number per domain
-    and leaves nothing behind.  Steps are as long as the curvature seen in the last one allows (Barzilai-Borwein).
-    It ends when targets are met, when a pass moves nothing, or after ``steps`` passes, with the best of them.
+    Least squares of the domains' relative misses by projected gradient: a step moves a document's rate by its posteriors times
+    the misses, then lifts it to ``least``.  Weighed by tokens, the curvature is at most one, so full steps converge;
+    longer ones are taken as far as the curvature seen in the last allows (Barzilai-Borwein).  A rate follows from the steps
+    alone: each pass reads the members, sums one number per domain and leaves no state behind.  It ends when targets are met, when a
+    pass moves nothing, or after ``steps`` passes, with the best of them.
     """
 
-    def reached(moved: np.ndarray) -> np.ndarray:
-        rate = rate_of(moved, least)
+    def reached(taken: list[np.ndarray]) -> np.ndarray:
+        rate = rate_of(taken, domains, least)
         sums = [F.sum(rate * F.col("n_tokens") * F.col(f"p{k}")) for k in range(domains)]
         return np.array([x or 0.0 for x in members.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()])
 
-    moved = np.zeros(domains)
-    start = now = reached(moved)
-    total, before, best = max(start.sum(), 1), None, (np.inf, moved, now)
+    taken: list[np.ndarray] = []
+    start = now = reached(taken)
+    total, before, best = max(start.sum(), 1), None, (np.inf, 0, now)
     for _ in range(steps):
         miss = np.where(start > 0, (now - targets) / np.maximum(start, 1e-12), 0.0)
-        best = min(best, ((miss**2 * start).sum(), moved, now), key=lambda b: b[0])
-        if (np.abs(miss) * start).max() <= ENOUGH * total:
+        best = min(best, (float((miss**2 * start).sum()), len(taken), now), key=lambda b: b[0])
+        if (np.abs(miss) * start).max() <= ENOUGH * total or (before is not None and np.abs(now - before[1]).max() <= SETTLED * total):
             break
-        step = 1.0
+        length = 1.0
         if before is not None:
-            was, its_miss, its_now = before
-            if np.abs(now - its_now).max() <= SETTLED * total:
-                break
-            far, bend = moved - was, its_miss - miss
-            step = float(np.clip((far * start * far).sum() / max((far * start * bend).sum(), 1e-12), 1.0, LONGEST_STEP))
-        before = (moved, miss, now)
-        moved = moved + step * miss
-        now = reached(moved)
-    return rate_of(best[1], least), best[2]
+            bend = before[0] - miss
+            length = float(np.clip((taken[-1] * start * taken[-1]).sum() / max((taken[-1] * start * bend).sum(), 1e-12), 1.0, LONGEST_STEP))
+        before = (miss, now)
+        taken.append(length * miss)
+        now = reached(taken)
+    return rate_of(taken[: best[1]], domains, least), best[2]
 
 
 def labelled_sample(docs: DataFrame, labelled: DataFrame, doc_id: str, text: str, fit_docs: int) -> DataFrame:

@@ -131,7 +131,8 @@ def test_passes_are_few_and_their_expressions_do_not_grow(spark):
         M.fit_rates(members, 3, 5000 * natural[::-1], least=1.0)
     finally:
         type(members).agg = agg
-    assert max(sizes) < 1.2 * min(sizes[:1] + sizes[2:3]) + 400
+    # Beside the constant that lists the steps, the plan stays as it is from the second pass on.
+    assert max(sizes[1:]) < 1.5 * sizes[1]
     assert len(sizes) - many <= M.STEPS + 1
 
 
