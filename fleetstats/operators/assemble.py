@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetstats.plans.slices import join_same
+
 TICK = ("host", "ts")
 
 
@@ -39,7 +41,7 @@ def with_addrs(
 ) -> DataFrame:
     """Interfaces with their address text, empty where none is known."""
     texts = join_addrs(addrs, keys, addr, seq, name)
-    return interfaces.join(texts, list(keys), "left").withColumn(
+    return join_same(interfaces, texts, keys, "left").withColumn(
         name, F.coalesce(F.col(name), F.lit(""))
     )
 
@@ -79,7 +81,7 @@ def disk_usage(
     first mount is unusable is absent even when a later mount is usable.
     """
     first = first_per_device(partitions, keys, device, seq)
-    return usable(first.join(usage, [*keys, mountpoint], "inner"), total)
+    return usable(join_same(first, usage, [*keys, mountpoint]), total)
 
 
 def process_table(
@@ -98,7 +100,7 @@ def process_table(
     tables = {name: table.select(*keys, name) for name, table in attributes.items()}
     if statuses is not None:
         tables["status"] = statuses.select(*keys, F.get("statuses", F.lit(0)).alias("status"))
-    joined = reduce(lambda df, table: df.join(table, list(keys), "left"), tables.values(), pids)
+    joined = reduce(lambda df, table: join_same(df, table, keys, "left"), tables.values(), pids)
     return joined.withColumns(
         {name: F.coalesce(F.col(name), F.lit(defaults[name])) for name in tables if name in defaults}
     )

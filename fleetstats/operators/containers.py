@@ -95,17 +95,18 @@ def container_metrics(
     s = stats.select(*[F.col(k).alias(f"_{k}") for k in keys], *metrics)
     matched = F.col(state) == running
     for k in keys:
-        matched = matched & (F.col(k) == F.col(f"_{k}"))
-    return (
-        containers.join(s, matched, "left")
-        .drop(*[f"_{k}" for k in keys])
-        .withColumns({m: F.coalesce(F.col(m), F.lit(0).cast(s.schema[m].dataType)) for m in metrics})
-    )
+        matched = matched & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return with_zeros(containers.join(s, matched, "left").drop(*[f"_{k}" for k in keys]), metrics)
 
 
-def containers(listed: DataFrame, stats: DataFrame, baseline: str = "embedded") -> DataFrame:
-    """The landed containers table from container lists and stats documents."""
-    named = listed.select(
+def with_zeros(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Missing metrics as zeros."""
+    return df.withColumns({m: F.coalesce(F.col(m), F.lit(0).cast(df.schema[m].dataType)) for m in metrics})
+
+
+def named_containers(listed: DataFrame) -> DataFrame:
+    """Container lists with the names of the landed table."""
+    return listed.select(
         "host",
         "ts",
         F.col("Id").alias("id"),
@@ -115,7 +116,11 @@ def containers(listed: DataFrame, stats: DataFrame, baseline: str = "embedded")
         F.col("Status").alias("status"),
         s_to_ts("Created").alias("created"),
     )
-    measured = container_metrics(named, container_stats(stats, baseline))
+
+
+def containers(listed: DataFrame, stats: DataFrame, baseline: str = "embedded") -> DataFrame:
+    """The landed containers table from container lists and stats documents."""
+    measured = container_metrics(named_containers(listed), container_stats(stats, baseline))
     return measured.select(
         "host", "ts", "id", "name", "image", "state", "status",
         "cpu_pct", "mem_usage", "mem_limit", "created",

@@ -35,6 +35,7 @@ def load_all() -> tuple[dict[str, Query], dict[str, str]]:
         catalog_joins,
         catalog_messages,
         catalog_series,
+        catalog_stream_joins,
         catalog_streams,
         catalog_texts,
     )

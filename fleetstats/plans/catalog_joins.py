@@ -116,7 +116,7 @@ def container_metrics_(spark, folder):
 _STATE = "CASE o_orderstatus WHEN 'F' THEN 'running' WHEN 'O' THEN 'exited' ELSE '' END"
 
 
-def _container_tables(spark, folder):
+def container_tables(spark, folder):
     """Container lists from orders and stats documents from their line item totals."""
     orders = table(spark, folder, "orders").withColumn("ts", F.col("o_orderdate").cast("timestamp"))
     host = F.col("o_custkey").cast("string").alias("host")
@@ -157,7 +157,7 @@ def _container_tables(spark, folder):
     return listed, stats
 
 
-_CONTAINERS = f"""(
+CONTAINERS_SQL = f"""(
   SELECT CAST(o_custkey AS VARCHAR) AS host, o_orderdate AS ts, CAST(o_orderkey AS VARCHAR) AS id,
     CASE WHEN o_orderstatus <> 'P' THEN 'c' || o_orderkey ELSE '' END AS name,
     o_orderpriority AS image, {_STATE} AS state, '' AS status,
@@ -168,9 +168,9 @@ _CONTAINERS = f"""(
   FROM orders LEFT JOIN {ORDER_TOTALS} ON id = o_orderkey AND o_orderstatus = 'F')"""
 
 
-@query("containers_table", f"SELECT *, ts AS created FROM {_CONTAINERS}")
+@query("containers_table", f"SELECT *, ts AS created FROM {CONTAINERS_SQL}")
 def containers_table(spark, folder):
-    joined = containers(*_container_tables(spark, folder))
+    joined = containers(*container_tables(spark, folder))
     return joined.withColumns(
         {"ts": F.col("ts").cast("timestamp_ntz"), "created": F.col("created").cast("timestamp_ntz")}
     )
@@ -185,10 +185,10 @@ def containers_table(spark, folder):
       CASE WHEN state = 'running' AND mem_usage > 0
         THEN {sql_bytes('mem_usage')} || ' / ' || {sql_bytes('mem_limit')} ELSE '-' END AS mem_text,
       strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_text
-    FROM {_CONTAINERS}""",
+    FROM {CONTAINERS_SQL}""",
 )
 def container_report_(spark, folder):
-    report = container_report(containers(*_container_tables(spark, folder)))
+    report = container_report(containers(*container_tables(spark, folder)))
     return report.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

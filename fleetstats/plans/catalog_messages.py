@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetstats.plans.catalog import query
 from fleetstats.plans.catalog_series import LATEST_SQL
-from fleetstats.plans.staging import fresh_folder
+from fleetstats.plans.staging import session_folder
 from fleetstats.plans.stand_ins import SAMPLES, samples
 from fleetstats.sources.messages import containers, containers_payload, decode, encode, history
 from fleetstats.sources.replay import replay, replay_rows
@@ -113,7 +113,7 @@ def containers_message(spark, folder):
 )
 def snapshot_source(spark, folder):
     """Views as landed lines of bare snapshots, read through the reader."""
-    lines = fresh_folder(spark, "snapshot-lines")
+    lines = session_folder(spark, "snapshot-lines")
     sample_messages(spark, folder).join(
         samples(spark, folder).where("name = 'view'").select("event_id"), "event_id", "left_semi"
     ).select("value").write.text(lines)

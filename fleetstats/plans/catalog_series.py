@@ -104,7 +104,7 @@ def history_tail_default(spark, folder):
 _LIVE_TYPES = ("click", "purchase")
 
 
-def _backfill_and_live(spark, folder):
+def backfill_and_live(spark, folder):
     points = samples(spark, folder).select(
         "host", "ts", "event_id", F.col("value").alias("cpu_avg"), "name"
     )
@@ -125,20 +125,18 @@ _NEWEST_20 = "row_number() OVER (PARTITION BY host ORDER BY ts DESC, event_id DE
     f"SELECT host, ts, event_id, cpu_avg, origin FROM {_BOTH} QUALIFY {_NEWEST_20}",
 )
 def backfill_union_(spark, folder):
-    return backfill_union(*_backfill_and_live(spark, folder), n=20, seq=["event_id"])
+    return backfill_union(*backfill_and_live(spark, folder), n=20, seq=["event_id"])
 
 
-@query(
-    "backfill_union_dedupe",
-    f"""SELECT host, ts, event_id, cpu_avg, origin FROM (
+BACKFILL_DEDUPE_SQL = f"""SELECT host, ts, event_id, cpu_avg, origin FROM (
       SELECT * FROM {_BOTH}
       QUALIFY row_number() OVER (PARTITION BY host, ts ORDER BY live DESC, event_id DESC) = 1)
-    QUALIFY {_NEWEST_20}""",
-)
+    QUALIFY {_NEWEST_20}"""
+
+
+@query("backfill_union_dedupe", BACKFILL_DEDUPE_SQL)
 def backfill_union_dedupe(spark, folder):
-    return backfill_union(
-        *_backfill_and_live(spark, folder), n=20, dedupe=True, seq=["event_id"]
-    )
+    return backfill_union(*backfill_and_live(spark, folder), n=20, dedupe=True, seq=["event_id"])
 
 
 LATEST_SQL = f"""SELECT * FROM {SAMPLES}
@@ -200,21 +198,27 @@ def idle_sessions_(spark, folder):
     return idle_sessions(samples(spark, folder))
 
 
-@query(
-    "as_of_containers",
-    f"""SELECT a.host, a.ts, a.event_id, b.ref_id, b.ref_value
+AS_OF_SQL = f"""SELECT a.host, a.ts, a.event_id, b.ref_id, b.ref_value
     FROM (SELECT * FROM {SAMPLES} WHERE name = 'view') a
     ASOF LEFT JOIN (
       SELECT host, ts, event_id AS ref_id, value AS ref_value FROM {SAMPLES} WHERE name = 'error') b
-    ON a.host = b.host AND a.ts >= b.ts""",
-)
-def as_of_containers(spark, folder):
+    ON a.host = b.host AND a.ts >= b.ts"""
+
+
+def as_of_sides(spark, folder):
+    """Left rows, right rows, the columns to take and what orders equal times."""
     rows = samples(spark, folder)
     left = rows.where("name = 'view'").select("host", "ts", "event_id")
     right = rows.where("name = 'error'").select(
         "host", "ts", F.col("event_id").alias("ref_id"), F.col("value").alias("ref_value")
     )
-    return as_of(left, right, ["ref_id", "ref_value"], right_seq=["ref_id"])
+    return left, right, ["ref_id", "ref_value"], {"right_seq": ["ref_id"]}
+
+
+@query("as_of_containers", AS_OF_SQL)
+def as_of_containers(spark, folder):
+    left, right, values, more = as_of_sides(spark, folder)
+    return as_of(left, right, values, **more)
 
 
 @query(

@@ -8,7 +8,7 @@ from fleetstats.operators.series import latest, tail
 from fleetstats.plans.catalog import query, table
 from fleetstats.plans.catalog_messages import ROUTES, sample_messages
 from fleetstats.plans.catalog_series import COUNTER_RATE_SQL, LATEST_SQL, SESSIONS_SQL, TICK_SQL
-from fleetstats.plans.staging import fresh_folder
+from fleetstats.plans.staging import session_folder
 from fleetstats.plans.stand_ins import LOOPBACK, SAMPLES
 from fleetstats.schemas import CONTAINERS, HISTORY, SNAPSHOT
 from fleetstats.streaming.ingest import ingest, record_history
@@ -33,7 +33,7 @@ def sample_stream(spark, folder):
 def landed(stream, mode="append"):
     """Run a stream over what is there and give back the table it wrote."""
     spark = stream.sparkSession
-    path = fresh_folder(spark, "stream")
+    path = session_folder(spark, "stream")
     start(stream, table_sink(path), mode=mode, available_now=True).awaitTermination()
     rows = read_table(spark, path, stream.schema)
     return rows.withColumns(
@@ -48,7 +48,7 @@ def landed(stream, mode="append"):
 @query("stream_counter_rate", COUNTER_RATE_SQL)
 def stream_counter_rate_(spark, folder):
     counted = sample_stream(spark, folder).where(F.col("name") != LOOPBACK)
-    return landed(stream_counter_rate(counted, ["k"], seq=["event_id"], buckets=64)).drop("late")
+    return landed(stream_counter_rate(counted, ["k"], seq=["event_id"])).drop("late")
 
 
 @query("stream_latest", LATEST_SQL)
@@ -69,7 +69,7 @@ def stream_tail(spark, folder):
         F.struct(F.col("value").alias("avgUsage")).alias("cpu"),
         F.struct(F.col("k").cast("double").alias("usedPercent")).alias("memory"),
     )
-    path = fresh_folder(spark, "history")
+    path = session_folder(spark, "history")
     record_history(snapshots, path, available_now=True).awaitTermination()
     kind = "host bigint, ts timestamp, cpu_avg double, mem_percent double"
     history = read_table(spark, path, kind).drop("batch_id")
@@ -93,12 +93,12 @@ def stream_sessions_(spark, folder):
 def stream_sessions_open(spark, folder):
     """All sessions, as complete mode shows them; each batch replaces the view."""
     stream = stream_sessions(sample_stream(spark, folder), late="1 hour")
-    path = fresh_folder(spark, "sessions")
+    path = session_folder(spark, "sessions")
 
     def replace(batch, batch_id):
         batch.write.mode("overwrite").parquet(path)
 
-    state = fresh_folder(spark, "sessions-state")
+    state = session_folder(spark, "sessions-state")
     start(stream, replace, checkpoint=state, mode="complete", available_now=True).awaitTermination()
     rows = spark.read.schema(stream.schema).parquet(path)
     times = ("session_start", "last_message", "session_end")
@@ -128,10 +128,10 @@ def stream_sample_(spark, folder):
 )
 def stream_ingest(spark, folder):
     """Messages made of the events, decoded from a stream and landed, all tables together."""
-    lines = fresh_folder(spark, "messages")
+    lines = session_folder(spark, "messages")
     sample_messages(spark, folder).write.parquet(lines)
     stream = spark.readStream.schema(spark.read.parquet(lines).schema).parquet(lines)
-    tables = fresh_folder(spark, "ingested")
+    tables = session_folder(spark, "ingested")
     ingest(stream, tables, available_now=True).awaitTermination()
 
     def rows(name, schema, reading, created="NULL", reason="NULL"):
@@ -165,13 +165,13 @@ def stream_fan_out(spark, folder):
     The failed target is a row with the batch that it missed as ``k``.
     """
     stream = sample_stream(spark, folder)
-    first, second = fresh_folder(spark, "first"), fresh_folder(spark, "second")
+    first, second = session_folder(spark, "first"), session_folder(spark, "second")
 
     def closed(batch, batch_id):
         raise ConnectionError("the reader has gone")
 
     targets = {"first": first, "closed": closed, "second": second}
-    failures = fresh_folder(spark, "failures")
+    failures = session_folder(spark, "failures")
     write_stream(stream, targets, failures, optional=["closed"], available_now=True).awaitTermination()
     missed = spark.read.schema(FAILURES).parquet(failures).select(F.col("batch_id").alias("k"), "target")
     one = read_table(spark, first, stream.schema).withColumn("target", F.lit("first"))

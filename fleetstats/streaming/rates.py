@@ -1,27 +1,75 @@
-"""Stateful counter rates."""
+"""Counter rates of a stream, with the newest sample of each key as its state."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql import DataFrame, Row
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from fleetstats.plans.slices import micros, to_micros
+from fleetstats.plans.slices import to_micros
+from fleetstats.streaming.state import clocked, keep_state
 
-NEVER = np.iinfo("int64").min
-_KINDS = {**dict.fromkeys(("tinyint", "smallint", "int", "bigint"), "int64"), **dict.fromkeys(("float", "double"), "float64")}
+_WHOLE, _FLOATING = ("tinyint", "smallint", "int", "bigint"), ("float", "double")
 
 
-def _readings(counter: pd.Series, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """A counter as numbers of a kind, and where it is missing."""
-    missing = counter.isna().to_numpy()
-    filled = counter.fillna(0) if missing.any() else counter
-    return filled.to_numpy().astype(kind), missing
+class _Rates(StatefulProcessor):
+    """Rates of one key's samples against the sample before; the newest one stays.
+
+    A key has one timer.  When it fires too early, because the key has been heard since, it is set anew, so that a
+    sample costs one read and one write of the state and no change of timers.
+    """
+
+    def __init__(self, counters: list[str], order: list[str], kept: list[str], output: list[str], held: StructType, idle_ms: int):
+        self.counters, self.order, self.kept, self.held, self.idle_ms = counters, order, kept, held, idle_ms
+        self.row = Row(*output)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", self.held)
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.newest.get() if self.newest.exists() else None
+        at, before = (known[0], list(known[1:])) if known else (None, None)
+        began = at
+        # Missing values first, as windows order them.
+        ordered = sorted(rows, key=lambda r: [(r[c] is not None, r[c]) if r[c] is not None else (False,) for c in self.order])
+        for r in ordered:
+            rates, reset = [0.0] * len(self.counters), False
+            # Later samples of one batch may share a time; those not after the state's newest are late.
+            late = r["_at"] is None or (began is not None and r["_at"] <= began)
+            if not late:
+                now = [r[c] for c in self.counters]
+                if before is not None:
+                    seconds = (r["_at"] - at) / 1e6 if r["_at"] > at else 1.0
+                    for i, (a, b) in enumerate(zip(before, now)):
+                        if a is None:
+                            continue
+                        if b is None:
+                            rates[i] = None
+                        elif b < a:
+                            reset = True
+                        else:
+                            rates[i] = float(b - a) / seconds
+                at, before = r["_at"], now
+            yield self.row(*[r[c] for c in self.kept], *rates, reset, late)
+        if at is not None and at != began:
+            self.newest.update((at, *before))
+        if known is None and at is not None:
+            self.handle.registerTimer(max(at // 1000 + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.newest.exists():
+            ends = self.newest.get()[0] // 1000 + self.idle_ms
+            if ends <= timerValues.getCurrentWatermarkInMs():
+                self.newest.clear()
+            else:
+                self.handle.registerTimer(ends)
+        return iter(())
 
 
 def stream_counter_rate(
@@ -31,106 +79,36 @@ def stream_counter_rate(
     ts: str = "ts",
     seq: Sequence[str] = (),
     forget: str = "1 hour",
-    buckets: int = 256,
 ) -> DataFrame:
     """``operators.rates.counter_rate`` on a stream, with ``elapsed='key'``.
 
-    State is the newest sample of each key, dropped when the key is silent for ``forget`` of its bucket's
-    event time; a key that returns later starts at rate 0.  Within a micro-batch samples are taken in time order.  A
-    sample not after the state's is kept with rate 0 and ``late`` true and leaves the state alone, however
-    late it is: there is no watermark that would drop it, and an older backlog of a new key gets its true rates.
-    Integer counters are exact, fractional ones are doubles; counters of other types are refused.
+    State is the newest sample of each key, read and written only when the key has samples.  A timer on event time drops it
+    when the key has been silent for ``forget``; a key that returns later starts at rate 0.  Within a micro-batch samples are
+    taken in time order.  A sample not after the state's is kept with rate 0 and ``late`` true and leaves the state
+    alone, however late it is: the watermark drives timers and drops nothing.  A sample without a time is late.
+    Whole counters are exact, fractional ones are doubles; counters of other types are refused.
 
-    Calling Python costs far more than the arithmetic on one interface's few samples, so keys are
-    hashed into ``buckets`` and all keys of a bucket are handled in one vectorised call.  Choose more
-    buckets than cores, and keep the number for the life of a checkpoint.  A call holds its bucket's
-    part of one micro-batch, which ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bounds.
+    Keys are independent of each other, so the state grows with the keys that are alive and is spread by them.
+    The stream's state is kept in RocksDB (``keep_state``).
     """
     counters, keys, seq = list(counters), list(keys), list(seq)
     kept = list(dict.fromkeys([*keys, ts, *seq, *counters]))
-    timed = df.select(*kept).withColumn(ts, F.col(ts).cast("timestamp"))
-    kinds = {c: _KINDS.get(timed.schema[c].dataType.simpleString()) for c in counters}
-    if None in kinds.values():
+    keep_state(df.sparkSession)
+    timed = clocked(df.select(*kept), ts, "0 seconds", "_at")
+    kinds = {c: timed.schema[c].dataType.simpleString() for c in counters}
+    if not all(k in (*_WHOLE, *_FLOATING) for k in kinds.values()):
         raise TypeError(f"counters are whole or floating numbers: {kinds}")
-    bucketed = timed.withColumns(
-        {"_at": micros(ts), "_bucket": F.pmod(F.xxhash64(*keys), F.lit(buckets))}
-    )
     output = StructType(
         [
-            *timed.schema.fields,
+            *[timed.schema[c] for c in kept],
             *[StructField(f"{c}_rate", DoubleType()) for c in counters],
             StructField("reset", BooleanType()),
             StructField("late", BooleanType()),
         ]
     )
-    held = [*keys, "_at", *counters]
-    state_type = StructType(
-        [
-            *[StructField(k, ArrayType(timed.schema[k].dataType)) for k in keys],
-            StructField("_at", ArrayType(LongType())),
-            *[StructField(c, ArrayType(LongType() if kinds[c] == "int64" else DoubleType())) for c in counters],
-        ]
-    )
-    idle = to_micros(forget)
-
-    def per_bucket(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
-        known = pd.DataFrame(
-            dict(zip(held, state.get)) if state.exists else {}, columns=held, dtype=object
-        )
-        at_known = known["_at"].to_numpy(dtype="int64")
-        now = max(rows["_at"].max(), at_known.max(initial=NEVER))
-        known = known[at_known > now - idle]
-
-        # One number per key, known keys first; then the rows of each key in time order.
-        names = pd.concat([known[keys], rows[keys]], ignore_index=True)
-        numbers = names.groupby(keys, sort=False, dropna=False).ngroup()
-        rows["_key"] = numbers.to_numpy()[len(known) :]
-        rows = rows.sort_values(["_key", "_at", *seq], kind="stable", ignore_index=True)
-        names = names[~numbers.duplicated()]
-        newest_at = np.full(len(names), NEVER)
-        newest_at[: len(known)] = known["_at"].to_numpy(dtype="int64")
-
-        is_late = rows["_at"].to_numpy() <= newest_at[rows["_key"].to_numpy()]
-        fresh = rows[~is_late]
-        of_key, at = fresh["_key"].to_numpy(), fresh["_at"].to_numpy()
-        first = np.ones(len(fresh), dtype=bool)
-        first[1:] = of_key[1:] != of_key[:-1]
-        final = np.append(first[1:], True)[: len(fresh)]
-
-        def preceding(now: np.ndarray, before: np.ndarray) -> np.ndarray:
-            shifted = np.roll(now, 1)
-            shifted[first] = before[of_key[first]]
-            return shifted
-
-        since = preceding(at, newest_at)
-        advanced = (since != NEVER) & (at > since)
-        seconds = np.where(advanced, (at - np.where(advanced, since, at)) / 1e6, 1.0)
-        newest_at[of_key[final]] = at[final]
-        reset = np.zeros(len(rows), dtype=bool)
-        newest = [newest_at.tolist()]
-        for c in counters:
-            old, lacks_old = _readings(known[c], kinds[c])
-            old = np.append(old, np.zeros(len(names) - len(known), dtype=kinds[c]))
-            lacks_old = np.append(lacks_old, np.ones(len(names) - len(known), dtype=bool))
-            now, lacks = _readings(fresh[c], kinds[c])
-            change = (now - preceding(now, old)).astype("float64")
-            unknown = preceding(lacks, lacks_old)
-            back = ~lacks & ~unknown & (change < 0)
-            rate = np.where(lacks | unknown | back, 0.0, change / seconds)
-            rate[lacks & ~unknown] = np.nan
-            rows[f"{c}_rate"] = 0.0
-            rows.loc[~is_late, f"{c}_rate"] = rate
-            reset[~is_late] |= back
-            old[of_key[final]], lacks_old[of_key[final]] = now[final], lacks[final]
-            newest.append([None if gone else x for x, gone in zip(old.tolist(), lacks_old)])
-        rows["reset"], rows["late"] = reset, is_late
-
-        state.update((*[names[k].tolist() for k in keys], *newest))
-        yield rows[output.names]
-
-    return bucketed.groupBy("_bucket").applyInPandasWithState(
-        per_bucket, output, state_type, "append", GroupStateTimeout.NoTimeout
+    held = StructType(
+        [StructField("at", LongType())]
+        + [StructField(f"c{i}", LongType() if kinds[c] in _WHOLE else DoubleType()) for i, c in enumerate(counters)]
     )
+    rates = _Rates(counters, ["_at", *seq], kept, output.names, held, to_micros(forget) // 1000)
+    return timed.groupBy(*keys).transformWithState(rates, output, "append", "EventTime")

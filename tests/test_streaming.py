@@ -71,7 +71,7 @@ def test_rates_over_many_batches_equal_the_batch_operator(spark, tmp_path):
                 if not (batch == 2 and i % 5 == 3)
             ]
         )
-    got = run(stream_counter_rate(feed.stream(), ["b"], seq=["b"], buckets=4), tmp_path)
+    got = run(stream_counter_rate(feed.stream(), ["b"], seq=["b"]), tmp_path)
     want = counter_rate(feed.table(), ["b"], seq=["b"])
     shape = ["host", "name", "ts", "b", "b_rate", "reset"]
     assert sorted(map(tuple, got.select(shape).collect())) == sorted(map(tuple, want.select(shape).collect()))
@@ -105,7 +105,7 @@ def test_silent_keys_are_forgotten(spark, tmp_path):
     feed.add(sample("g", "e", 7200, 200))
     feed.add(sample("g", "e", 7210, 210))
     feed.add(sample("h", "e", 7220, 900), sample("g", "e", 7220, 230))
-    stream = stream_counter_rate(feed.stream(), ["b"], forget="1 hour", buckets=1)
+    stream = stream_counter_rate(feed.stream(), ["b"], forget="1 hour")
     got = by_key(run(stream, tmp_path))
     assert got[("h", "e", 7220)] == (0.0, False, False)
     assert got[("g", "e", 7220)] == (2.0, False, False)
@@ -220,7 +220,7 @@ def test_very_late_rows_and_backlogs_of_new_keys_stay(spark, tmp_path):
     feed.add(sample("h", "e", 7200, 100))
     feed.add(sample("h", "e", 7210, 200))
     feed.add(sample("h", "e", 0, 5), *[sample("new", "e", t, t) for t in (0, 10, 20)])
-    got = by_key(run(stream_counter_rate(feed.stream(), ["b"], buckets=1), tmp_path))
+    got = by_key(run(stream_counter_rate(feed.stream(), ["b"]), tmp_path))
     assert len(got) == 6 and got[("h", "e", 0)] == (0.0, False, True)
     assert [got[("new", "e", t)] for t in (0, 10, 20)] == [(0.0, False, False), (1.0, False, False), (1.0, False, False)]
 
