@@ -33,6 +33,8 @@ def tail(
     since: Column | None = None,
     width: str = SLICE,
     hot_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
+    date: str | None = None,
 ) -> DataFrame:
     """The last ``n`` rows per host; ``since`` further leaves out rows before a time.
 
@@ -41,18 +43,22 @@ def tail(
     The second pass reads just those slices: their oldest start bounds the scan, the staged slice
     table filters it, and only the few rows left are sorted.  Should a host have more rows in one
     slice than a task may sort, they are first cut to ``n`` per part of a random split.
+
+    ``counts`` may give the rows per host and ``_slice`` of this ``width`` as ``_rows``, as ``streaming.tables.LandedTable`` keeps
+    them; then there is no first pass.  ``date`` names a column with the day of ``ts`` by which the table is laid out;
+    folders of days before the oldest slice are then not listed.
     """
     rows = df if since is None else df.where(F.col(ts) >= since)
     sliced = rows.withColumn("_slice", slice_start(ts, width))
+    if counts is None:
+        counts = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_rows"))
     newer = (
         Window.partitionBy(*keys)
         .orderBy(F.desc("_slice"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     needed = stage(
-        sliced.groupBy(*keys, "_slice")
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_newer", F.coalesce(F.sum("_rows").over(newer), F.lit(0)))
+        counts.withColumn("_newer", F.coalesce(F.sum("_rows").over(newer), F.lit(0)))
         .where(F.col("_newer") < n)
         .select(*keys, "_slice", "_rows"),
         "tail-slices",
@@ -61,6 +67,8 @@ def tail(
     if start is not None and start != NO_TIME:
         bound = F.timestamp_micros(F.lit(start)).cast(df.schema[ts].dataType)
         sliced = sliced.where(F.col(ts) >= bound)
+        if date is not None:
+            sliced = sliced.where(F.col(date) >= bound.cast("date"))
     kept = join_same(sliced, needed, [*keys, "_slice"], "left_semi").drop("_slice")
     newest = [F.desc(ts), *[F.desc(s) for s in seq]]
     if largest is not None and largest > hot_rows:

@@ -17,7 +17,9 @@ from fleetstats.operators.series import (
     trend,
 )
 from fleetstats.operators.sessions import idle_sessions
+from fleetstats.plans.carry import counter_rate_run
 from fleetstats.plans.catalog import query
+from fleetstats.plans.staging import session_folder
 from fleetstats.plans.stand_ins import LOOPBACK, SAMPLES, samples
 
 _RATE = """CASE WHEN pk IS NULL OR k < pk THEN CAST(0 AS DOUBLE)
@@ -39,6 +41,17 @@ def counter_rate_key(spark, folder):
     return counter_rate(counted, ["k"], seq=["event_id"])
 
 
+@query("counter_rate_runs", COUNTER_RATE_SQL)
+def counter_rate_runs(spark, folder):
+    """Three runs with the last samples kept in a store between them; the second is run again when the third is done."""
+    counted = exclude_ifaces(samples(spark, folder), (LOOPBACK,)).drop("value")
+    store = session_folder(spark, "carry")
+    spans = {"a": "ts < TIMESTAMP_NTZ'2024-01-10'", "b": "ts >= TIMESTAMP_NTZ'2024-01-10' AND ts < TIMESTAMP_NTZ'2024-01-20'",
+             "c": "ts >= TIMESTAMP_NTZ'2024-01-20'"}
+    rates = {run: counter_rate_run(counted.where(spans[run]), store, run, ["k"], seq=["event_id"]) for run in ("a", "b", "c", "b")}
+    return rates["a"].unionByName(rates["b"]).unionByName(rates["c"])
+
+
 @query("counter_rate_carried", COUNTER_RATE_SQL)
 def counter_rate_carried(spark, folder):
     """Two runs over halves of the time; the second carries the last sample of each key of the first."""

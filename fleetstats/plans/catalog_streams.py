@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetstats.operators.series import latest, tail
+from fleetstats.operators.series import latest
 from fleetstats.plans.catalog import query, table
 from fleetstats.plans.catalog_messages import ROUTES, sample_messages
 from fleetstats.plans.catalog_series import COUNTER_RATE_SQL, LATEST_SQL, SESSIONS_SQL, TICK_SQL
 from fleetstats.plans.staging import session_folder
 from fleetstats.plans.stand_ins import LOOPBACK, SAMPLES
 from fleetstats.schemas import CONTAINERS, HISTORY, SNAPSHOT
-from fleetstats.streaming.ingest import ingest, record_history
+from fleetstats.streaming.ingest import ingest, record_history, retained_history
 from fleetstats.streaming.rates import stream_counter_rate
 from fleetstats.streaming.sinks import FAILURES, read_table, start, table_sink, write_stream
+from fleetstats.streaming.tables import LandedTable
 from fleetstats.streaming.views import stream_latest, stream_sample, stream_sessions
 
 
 def sample_stream(spark, folder):
     raw = table(spark, folder, "events")
-    stream = spark.readStream.schema(raw.schema).parquet(f"{folder}/events*.parquet")
+    return samples_of(spark.readStream.schema(raw.schema).parquet(f"{folder}/events*.parquet"))
+
+
+def samples_of(stream):
     return stream.select(
         F.col("user_id").alias("host"),
         F.col("event_type").alias("name"),
@@ -72,8 +76,7 @@ def stream_tail(spark, folder):
     path = session_folder(spark, "history")
     record_history(snapshots, path, available_now=True).awaitTermination()
     kind = "host bigint, ts timestamp, cpu_avg double, mem_percent double"
-    history = read_table(spark, path, kind).drop("batch_id")
-    return tail(history, 20).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return retained_history(spark, path, 20, kind).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 # The watermark of the last batch: the newest event in whole milliseconds less the lateness bound.
@@ -180,6 +183,35 @@ def stream_fan_out(spark, folder):
     return both.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query(
+    "stream_delivery",
+    f"""SELECT host, name, ts, event_id, value, k, 'steady' AS target FROM {SAMPLES}
+    UNION ALL SELECT host, name, ts, event_id, value, k, 'shaky' FROM {SAMPLES}""",
+)
+def stream_delivery(spark, folder):
+    """Six batches to two targets by an outbox; one fails three times in a row and still gets every row once."""
+    source = sample_stream(spark, folder)
+    rows = table(spark, folder, "events")
+    files = f"{session_folder(spark, 'delivery-input')}/rows"
+    for i in range(6):
+        rows.where(F.col("event_id") % 6 == i).coalesce(1).write.mode("append").parquet(files)
+    stream = samples_of(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(files))
+    steady, shaky = session_folder(spark, "steady"), table_sink(session_folder(spark, "shaky"))
+    failures = []
+
+    def unreliable(batch, batch_id):
+        if batch_id and len(failures) < 3:
+            failures.append(batch_id)
+            raise ConnectionError("the reader is away")
+        shaky(batch, batch_id)
+
+    outbox, state = session_folder(spark, "outbox"), session_folder(spark, "outbox-state")
+    targets = {"steady": steady, "shaky": unreliable}
+    write_stream(stream, targets, optional=["shaky"], outbox=outbox, checkpoint=state, available_now=True).awaitTermination()
+    both = [read_table(spark, p, source.schema).withColumn("target", F.lit(t)) for t, p in (("steady", steady), ("shaky", shaky.path))]
+    return both[0].unionByName(both[1]).drop("batch_id").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query(
     "history_landed",
     f"SELECT host, name, ts, event_id, value, k FROM {SAMPLES}",
@@ -187,3 +219,22 @@ def stream_fan_out(spark, folder):
 def history_landed(spark, folder):
     """Samples written in a per-batch table and read back whole."""
     return landed(sample_stream(spark, folder))
+
+
+@query(
+    "history_compacted",
+    f"""SELECT host, ts, value AS cpu_avg, CAST(k AS DOUBLE) AS mem_percent FROM {SAMPLES}
+    QUALIFY row_number() OVER (PARTITION BY host ORDER BY ts DESC) <= 20""",
+)
+def history_compacted(spark, folder):
+    """History landed in nine batches, which compaction joins by threes; its tail by the counts kept beside it."""
+    snapshots = table(spark, folder, "events").select(
+        F.col("user_id").alias("host"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("cpu_avg"),
+        F.get_json_object("props", "$.k").cast("double").alias("mem_percent"), "event_id",
+    )
+    path = session_folder(spark, "history-compacted")
+    landing = LandedTable(path, compact_every=3)
+    for i in range(9):
+        landing(snapshots.where(F.col("event_id") % 9 == i).drop("event_id"), i)
+    kind = "host bigint, ts timestamp, cpu_avg double, mem_percent double"
+    return retained_history(spark, path, 20, kind).withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetstats.operators.series import history_points
+from fleetstats.operators.series import HISTORY_POINTS, history_points, tail
+from fleetstats.schemas import HISTORY
 from fleetstats.sources import messages
-from fleetstats.streaming.sinks import FanOut, start, table_sink, write_stream
+from fleetstats.streaming.sinks import FanOut, start, table_sink
+from fleetstats.streaming.tables import DATE, LandedTable
 
 
 def ingest(
@@ -44,6 +46,15 @@ def ingest(
     return start(lines, land, checkpoint=options.pop("checkpoint", None) or f"{folder}/_checkpoint", **options)
 
 
-def record_history(snapshots: DataFrame, folder: str, **options) -> StreamingQuery:
-    """Append a history point per streamed snapshot; ``operators.series.tail`` reads the table."""
-    return write_stream(history_points(snapshots), {"history": folder}, **options)
+def record_history(snapshots: DataFrame, folder: str, compact_every: int = 64, **options) -> StreamingQuery:
+    """Append a history point per streamed snapshot to a ``LandedTable``; ``retained_history`` reads its tail."""
+    return start(history_points(snapshots), LandedTable(folder, compact_every=compact_every), **options)
+
+
+def retained_history(spark: SparkSession, folder: str, n: int = HISTORY_POINTS, schema: str = HISTORY, **options) -> DataFrame:
+    """The last ``n`` recorded points per host.
+
+    Which slices hold them follows from the counts that are kept beside the points; only days from the oldest of these on are read.
+    """
+    recorded = LandedTable(folder)
+    return tail(recorded.read(spark, schema), n, counts=recorded.counts(spark, schema), date=DATE, **options).drop(DATE)

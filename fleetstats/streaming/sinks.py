@@ -20,6 +20,11 @@ FAILURES = "batch_id bigint, target string, error string"
 Target = str | Callable[[DataFrame, int], None]
 
 
+def query_id(spark: SparkSession) -> str:
+    """Of the stream whose batch is being written; it stays with the stream's checkpoint."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+
+
 class TableSink:
     """A sink that keeps each batch in its own folder, by query and batch id.
 
@@ -31,8 +36,7 @@ class TableSink:
         self.path, self.format = path, format
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
-        batch.write.format(self.format).mode("overwrite").save(f"{self.path}/query={query}/batch_id={batch_id}")
+        batch.write.format(self.format).mode("overwrite").save(f"{self.path}/query={query_id(batch.sparkSession)}/batch_id={batch_id}")
 
 
 def table_sink(path: str, format: str = "parquet") -> TableSink:
@@ -114,7 +118,16 @@ def write_stream(
     targets: Mapping[str, Target],
     failures: str | None = None,
     optional: Collection[str] = (),
+    outbox: str | None = None,
     **options,
 ) -> StreamingQuery:
-    """Send a stream to several targets, each a folder or a function of (batch, batch id)."""
+    """Send a stream to several targets, each a folder or a function of (batch, batch id).
+
+    With an ``outbox`` folder, batches are kept until every target has them (``delivery.Outbox``), which
+    records failures there; without it what an optional target missed is only recorded.
+    """
+    if outbox is not None:
+        from fleetstats.streaming.delivery import Outbox
+
+        return start(df, Outbox(outbox, targets, optional), **options)
     return start(df, FanOut(targets, failures, optional), **options)

@@ -11,9 +11,10 @@ from fleetstats.operators.rates import counter_rate
 from fleetstats.operators.series import latest
 from fleetstats.schemas import CONTAINERS, HISTORY, SNAPSHOT
 from fleetstats.sources.messages import decode
-from fleetstats.streaming.ingest import ingest, record_history
+from fleetstats.streaming.ingest import ingest, record_history, retained_history
 from fleetstats.streaming.rates import stream_counter_rate
 from fleetstats.streaming.sinks import FanOut, read_table, start, table_sink, write_stream
+from fleetstats.streaming.tables import LandedTable
 from fleetstats.streaming.views import stream_latest, stream_sample, stream_sessions
 
 T0 = datetime(2024, 1, 1)
@@ -111,6 +112,26 @@ def test_silent_keys_are_forgotten(spark, tmp_path):
     assert got[("g", "e", 7220)] == (2.0, False, False)
 
 
+def test_a_silent_key_leaves_the_state_by_its_timer(spark, tmp_path):
+    """``h`` is heard once more before its first timer fires, and only goes an hour after that."""
+    feed = Feed(spark, tmp_path / "in", SAMPLES)
+    stream = stream_counter_rate(feed.stream(), ["b"], forget="1 hour")
+    state = str(tmp_path / "out-state")
+
+    def alive():
+        rows = spark.read.format("statestore").option("stateVarName", "newest").load(state)
+        return {r.key.host: r.value.c0 for r in rows.collect()}
+
+    feed.add(sample("h", "e", 0, 100), sample("g", "e", 0, 100))
+    feed.add(sample("h", "e", 1800, 150))
+    feed.add(sample("g", "e", 4000, 200))
+    run(stream, tmp_path)
+    assert alive() == {"h": 150, "g": 200}
+    feed.add(sample("g", "e", 5400, 300))
+    run(stream_counter_rate(feed.stream(), ["b"], forget="1 hour"), tmp_path)
+    assert alive() == {"g": 300}
+
+
 def test_a_restarted_stream_goes_on_from_its_state(spark, tmp_path):
     feed = Feed(spark, tmp_path / "in", SAMPLES)
     feed.add(sample("h", "e", 0, 100))
@@ -310,5 +331,6 @@ def test_history_is_recorded_per_snapshot(spark, tmp_path):
     spark.createDataFrame([row], SNAPSHOT).write.parquet(folder)
     path = str(tmp_path / "history")
     record_history(spark.readStream.schema(SNAPSHOT).parquet(folder), path, available_now=True).awaitTermination()
-    point = read_table(spark, path, HISTORY).select(F.col("cpu_avg"), F.col("mem_percent")).first()
+    point = LandedTable(path).read(spark, HISTORY).select(F.col("cpu_avg"), F.col("mem_percent")).first()
     assert tuple(point) == (4.0, 6.0)
+    assert [tuple(r)[2:] for r in retained_history(spark, path).collect()] == [(4.0, 6.0)]
