@@ -73,17 +73,17 @@ ROUTES = """CASE name WHEN 'click' THEN 'snapshot' WHEN 'view' THEN 'snapshot' W
 )
 def envelope_roundtrip(spark, folder):
     decoded = decode(sample_messages(spark, folder))
-    snapshot = F.from_json("payload", "system struct<hostname:string>, cpu struct<avgUsage:double>")
-    reading = F.coalesce(
-        F.get_json_object("payload", "$[0].memUsage").cast("bigint"),
-        F.get_json_object("payload", "$[0].m").cast("double").cast("bigint"),
-    )
+
+    def found(path, kind):
+        return F.try_variant_get("body", path, kind)
+
     is_snapshot = F.col("route") == "snapshot"
-    return decoded.withColumn("document", F.when(is_snapshot, snapshot)).select(
+    reading = F.coalesce(found("$[0].memUsage", "bigint"), found("$[0].m", "double").cast("bigint"))
+    return decoded.select(
         "event_id",
         "route",
-        F.col("document.cpu.avgUsage").alias("cpu_avg"),
-        F.col("document.system.hostname").cast("bigint").alias("host"),
+        F.when(is_snapshot, found("$.cpu.avgUsage", "double")).alias("cpu_avg"),
+        F.when(is_snapshot, found("$.system.hostname", "string").cast("bigint")).alias("host"),
         F.when(~is_snapshot, reading).alias("reading"),
     )
 
@@ -113,7 +113,7 @@ def containers_message(spark, folder):
 )
 def snapshot_source(spark, folder):
     """Views as landed lines of bare snapshots, read through the reader."""
-    lines = session_folder(spark, "snapshot-lines")
+    lines = session_folder(spark, "snapshot-lines") + "/lines"
     sample_messages(spark, folder).join(
         samples(spark, folder).where("name = 'view'").select("event_id"), "event_id", "left_semi"
     ).select("value").write.text(lines)

@@ -131,7 +131,7 @@ def stream_sample_(spark, folder):
 )
 def stream_ingest(spark, folder):
     """Messages made of the events, decoded from a stream and landed, all tables together."""
-    lines = session_folder(spark, "messages")
+    lines = session_folder(spark, "messages") + "/rows"
     sample_messages(spark, folder).write.parquet(lines)
     stream = spark.readStream.schema(spark.read.parquet(lines).schema).parquet(lines)
     tables = session_folder(spark, "ingested")

@@ -45,6 +45,8 @@ DOCUMENTS = _documents(STORED_COUNTER)
 
 # One JSON document per tick, as it arrives: ``timestamp`` is epoch milliseconds.
 SNAPSHOT_WIRE = _ddl(_documents(WIRE_COUNTER), timestamp="bigint")
+# The same as one type.
+SNAPSHOT_DOCUMENT = f"struct<{SNAPSHOT_WIRE}>"
 # The landed table: keyed by host and event time.
 SNAPSHOT = _ddl(DOCUMENTS, host="string", ts="timestamp")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetstats.functions.times import rfc3339, s_to_ts, ts_to_ms, ts_to_s
-from fleetstats.schemas import CONTAINER_WIRE, DOCUMENTS, HISTORY_WIRE, SNAPSHOT_WIRE
+from fleetstats.schemas import CONTAINER_WIRE, DOCUMENTS, HISTORY_WIRE, SNAPSHOT_DOCUMENT
 from fleetstats.sources.snapshots import narrow
 
 # Message types.
@@ -15,8 +15,8 @@ HISTORY_TYPE = "history"
 CONTAINERS_TYPE = "docker"
 TYPES = (SNAPSHOT_TYPE, HISTORY_TYPE, CONTAINERS_TYPE)
 
-# What a snapshot cannot do without.
-SNAPSHOT_KEYS = "system struct<hostname: string>, timestamp bigint"
+# The column with a message's parsed payload.
+BODY = "body"
 
 # What becomes of a message: one of the types, or one of these.
 UNKNOWN = "unknown"
@@ -36,39 +36,44 @@ def encode(df: DataFrame, kind: str, payload: str | Column, name: str = "value")
 
 
 def decode(df: DataFrame, value: str = "value") -> DataFrame:
-    """Add ``route`` and ``payload`` (JSON text) to message texts.
+    """Add ``route``, ``payload`` (JSON text) and ``body`` (the same, parsed) to message texts.
+
+    A text is parsed once, into a variant, and every table is cut from that; ``payload`` costs nothing unless it is read.
 
     A message without a type, or with an empty one, is a bare snapshot: the whole text is the
     payload.  Unknown types and unparsable texts are marked, so the caller decides what becomes of
-    them, and none stops the job.  A payload that is missing or does not parse is as corrupt as a
-    message: so is a snapshot without host or time, and a history with a point without time.
+    them, and none stops the job; so are objects that have a key twice.  A payload that is missing or does not parse is as corrupt as a
+    message: so is a snapshot without host or time, a history with a point without time, and a list with a container without id.
     """
-    envelope = F.from_json(
-        value,
-        "type string, payload string, _corrupt string",
-        {"columnNameOfCorruptRecord": "_corrupt"},
+    parsed = df.withColumn("_message", F.try_parse_json(value))
+    kind = F.nullif(F.try_variant_get("_message", "$.type", "string"), F.lit(""))
+    whole = F.col("_message")
+    body = F.when(kind.isNull(), whole).otherwise(F.try_variant_get("_message", "$.payload", "variant"))
+    text = F.when(kind.isNull(), F.col(value)).otherwise(F.get_json_object(value, "$.payload"))
+    routed = parsed.withColumns({"_kind": F.coalesce(kind, F.lit(SNAPSHOT_TYPE)), BODY: body})
+    host, at = F.try_variant_get(BODY, "$.system.hostname", "string"), F.try_variant_get(BODY, "$.timestamp", "bigint")
+    sound = (
+        F.when(F.col("_kind") == SNAPSHOT_TYPE, host.isNotNull() & at.isNotNull())
+        .when(F.col("_kind") == HISTORY_TYPE, F.forall(_points(), lambda p: p.t.isNotNull()))
+        .when(F.col("_kind") == CONTAINERS_TYPE, F.forall(_listed(), lambda c: c.id.isNotNull()))
     )
-    kind = F.nullif(F.col("_envelope.type"), F.lit(""))
     route = (
-        F.when(F.col("_envelope").isNull() | F.col("_envelope._corrupt").isNotNull(), CORRUPT)
-        .when(kind.isNull(), SNAPSHOT_TYPE)
-        .when(kind.isin(*TYPES), kind)
-        .otherwise(UNKNOWN)
-    )
-    body = F.when(kind.isNull(), F.col(value)).otherwise(F.col("_envelope.payload"))
-    routed = df.withColumn("_envelope", envelope).withColumns({"_route": route, "payload": F.when(route.isin(*TYPES), body)})
-    document, points = F.from_json("payload", SNAPSHOT_KEYS), F.from_json("payload", HISTORY_WIRE)
-    listed = F.from_json("payload", CONTAINER_WIRE)
-    sound = (
-        F.when(F.col("_route") == SNAPSHOT_TYPE, document["system"]["hostname"].isNotNull() & document["timestamp"].isNotNull())
-        .when(F.col("_route") == HISTORY_TYPE, points.isNotNull() & F.forall(points, lambda p: p.t.isNotNull()))
-        .when(F.col("_route") == CONTAINERS_TYPE, listed.isNotNull() & F.forall(listed, lambda c: c.id.isNotNull()))
-        .otherwise(F.lit(True))
+        F.when(F.col("_message").isNull(), CORRUPT)
+        .when(~F.col("_kind").isin(*TYPES), UNKNOWN)
+        .when(F.coalesce(sound, F.lit(False)), F.col("_kind"))
+        .otherwise(CORRUPT)
     )
-    kept = F.coalesce(sound, F.lit(False))
-    return routed.withColumns(
-        {"route": F.when(kept, F.col("_route")).otherwise(CORRUPT), "payload": F.when(kept, F.col("payload"))}
-    ).drop("_envelope", "_route")
+    told = routed.withColumn("route", route)
+    known = F.col("route").isin(*TYPES)
+    return told.withColumns({"payload": F.when(known, text), BODY: F.when(known, F.col(BODY))}).drop("_message", "_kind")
+
+
+def _points(body: str = BODY) -> Column:
+    return F.try_variant_get(body, "$", HISTORY_WIRE)
+
+
+def _listed(body: str = BODY) -> Column:
+    return F.try_variant_get(body, "$", CONTAINER_WIRE)
 
 
 def snapshot_payload() -> Column:
@@ -92,19 +97,19 @@ def containers_payload(landed: DataFrame, keys: tuple[str, ...] = ("host", "ts")
     return landed.groupBy(*keys).agg(F.sort_array(F.collect_list(wire)).alias("payload"))
 
 
-def snapshots(decoded: DataFrame, payload: str = "payload") -> DataFrame:
+def snapshots(decoded: DataFrame, body: str = BODY) -> DataFrame:
     """Landed snapshots of the decoded messages."""
-    document = F.from_json(payload, SNAPSHOT_WIRE).alias("_document")
+    document = F.try_variant_get(body, "$", SNAPSHOT_DOCUMENT).alias("_document")
     return narrow(
         decoded.where(F.col("route") == SNAPSHOT_TYPE).select(document).select("_document.*")
     )
 
 
-def history(decoded: DataFrame, payload: str = "payload", host: str = "host") -> DataFrame:
+def history(decoded: DataFrame, body: str = BODY, host: str = "host") -> DataFrame:
     """History points of the decoded messages; the host is known to the transport, not the payload."""
     return (
         decoded.where(F.col("route") == HISTORY_TYPE)
-        .select(host, F.inline(F.from_json(payload, HISTORY_WIRE)))
+        .select(host, F.inline(_points(body)))
         .select(
             host, s_to_ts("t").alias("ts"), F.col("c").alias("cpu_avg"), F.col("m").alias("mem_percent")
         )
@@ -112,12 +117,12 @@ def history(decoded: DataFrame, payload: str = "payload", host: str = "host") ->
 
 
 def containers(
-    decoded: DataFrame, payload: str = "payload", host: str = "host", ts: str = "ts"
+    decoded: DataFrame, body: str = BODY, host: str = "host", ts: str = "ts"
 ) -> DataFrame:
     """Containers of the decoded messages, stamped with host and arrival time by the transport."""
     return (
         decoded.where(F.col("route") == CONTAINERS_TYPE)
-        .select(host, ts, F.inline(F.from_json(payload, CONTAINER_WIRE)))
+        .select(host, ts, F.inline(_listed(body)))
         .select(
             host,
             ts,
