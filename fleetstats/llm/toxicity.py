@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetstats.llm.batches import Batches, arrow_schema
 from fleetstats.llm.catalog import query, table
 from fleetstats.llm.weak_labels import LabelModel, fit_label_model, fit_logistic, sigmoid
 from fleetstats.plans.staging import stage
@@ -27,6 +28,7 @@ FIT_DOCS = 12_000
 # Mined terms: how many at most, after how many different words at least, and by what log odds.
 TERMS, LEAST_PLACES, LEAST_ODDS = 2000, 5, 3.0
 LEXICONS = 16  # the terms are dealt by hash into so many
+TERM_ROWS = 20_000  # of a batch of terms that a task hands on
 PREFIXES = (4, 5, 6)  # a mined beginning of a word ends in PREFIX_MARK
 PREFIX_MARK = "*"
 LABEL_ERROR = 0.05  # how often a given label may be wrong; the voters are weighed against it
@@ -176,10 +178,15 @@ def mine_terms(labelled: DataFrame) -> dict[str, float]:
     Counts combine before the shuffle.  At most ``TERMS`` terms come to the driver.
     """
 
-    @F.arrow_udf("array<struct<term:string,before:string>>")
-    def distinct_terms(texts: pa.Array) -> pa.Array:
-        rows = [[{"term": t, "before": b} for t, b in terms_of(t.as_py() or "").items()] for t in texts]
-        return pa.array(rows, pa.list_(pa.struct([("term", pa.string()), ("before", pa.string())])))
+    found = arrow_schema("toxic int, term string, before string")
+
+    def distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Batches(found, TERM_ROWS)
+        for batch in batches:
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text")):
+                for term, before in terms_of(text.as_py() or "").items():
+                    yield from out.add((toxic, term, before))
+        yield from out.flush()
 
     n, n_toxic = labelled.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < n_toxic < n:
@@ -187,8 +194,9 @@ def mine_terms(labelled: DataFrame) -> dict[str, float]:
     in_toxic = (F.least("t", "places") + 0.5) / (n_toxic + 1)
     in_clean = (F.col("n") - F.col("t") + 0.5) / (n - n_toxic + 1)
     counted = (
-        labelled.select("toxic", F.explode(distinct_terms("text")).alias("d"))
-        .groupBy("d.term", F.xxhash64("d.before").alias("before"))
+        labelled.select("toxic", "text")
+        .mapInArrow(distinct_terms, "toxic int, term string, before string")
+        .groupBy("term", F.xxhash64("before").alias("before"))
         .agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
         .groupBy("term")
         .agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.count_if(F.col("t") > 0).alias("places"))
