@@ -12,7 +12,7 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from fleetstats.operators.containers import RUNNING, container_stats, named_containers, with_zeros
 from fleetstats.plans.slices import to_micros
-from fleetstats.streaming.state import as_state, clocked, keep_state
+from fleetstats.streaming.state import as_state, clocked, fields, keep_state
 from fleetstats.streaming.views import watermarked
 
 
@@ -109,8 +109,8 @@ class _AsOf(_Processor):
         self.newest = handle.getValueState("newest", self.newest_type)
 
     def _found(self, key, left, known, late: bool) -> Row:
-        values = [None] * len(self.newest_type["value"].dataType) if known is None else list(known[-1])
-        return self.row(*key, *left, *values, late)
+        values = [None] * len(self.newest_type["value"].dataType) if known is None else fields(known[1])
+        return self.row(*key, *fields(left), *values, late)
 
     def _entry(self, r: Row) -> tuple:
         return tuple(as_state(r[n]) for n in self.waiting_type.names)
@@ -118,7 +118,7 @@ class _AsOf(_Processor):
     @staticmethod
     def _order(r) -> list:
         """By time, the right side first, then by its sequence; missing values first."""
-        return [r["at"], r["side"], *[(x is not None, x) if x is not None else (False,) for x in (r["seq"] or ())]]
+        return [r["at"], r["side"], *[(x is not None, x) if x is not None else (False,) for x in fields(r["seq"] or ())]]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         closed = timerValues.getCurrentWatermarkInMs()
@@ -130,33 +130,29 @@ class _AsOf(_Processor):
             else:
                 (fresh if r["at"] // 1000 >= closed else behind).append(r)
         if behind:
-            # Behind the watermark: a right row counts if it is newer than the newest, a left row takes what is known by its time.
-            known = self.newest.get() if self.newest.exists() else None
-            changed = False
-            for r in sorted(behind, key=self._order):
-                if r["side"]:
-                    usable = known if known is not None and known[0] <= r["at"] else None
-                    yield self._found(key, r["left"], usable, True)
-                elif known is None or known[0] <= r["at"]:
-                    known, changed = (r["at"], r["right"]), True
-            if changed:
-                self.newest.update((known[0], as_state(known[1])))
+            yield from self._closed(key, closed, behind)
         if fresh:
             self.waiting.appendList([self._entry(r) for r in fresh])
             self.handle.registerTimer(min(r["at"] for r in fresh) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        closed = timerValues.getCurrentWatermarkInMs()
+        yield from self._closed(key, timerValues.getCurrentWatermarkInMs(), [])
+
+    def _closed(self, key, closed: int, behind: list[Row]) -> Iterator[Row]:
+        """Go through what waited for the watermark together with what comes behind it, in the order of times."""
         waiting = [self.named(*r) for r in self.waiting.get()]
-        due = [r for r in waiting if r["at"] // 1000 < closed]
+        due = [(self._order(r), False, r) for r in waiting if r["at"] // 1000 < closed]
+        due += [(self._order(r), True, r) for r in behind]
         if not due:
             return
         known = self.newest.get() if self.newest.exists() else None
         before = known
-        for r in sorted(due, key=self._order):
+        for _, late, r in sorted(due, key=lambda d: d[0]):
+            # What was newest before may be newer than a late row.
+            usable = known is None or known[0] <= r["at"]
             if r["side"]:
-                yield self._found(key, r["left"], known, False)
-            else:
+                yield self._found(key, r["left"], known if usable else None, late)
+            elif usable:
                 known = (r["at"], r["right"])
         if known is not before:
             self.newest.update((known[0], as_state(known[1])))
@@ -164,7 +160,7 @@ class _AsOf(_Processor):
         if rest:
             self.waiting.put([self._entry(r) for r in rest])
             self.handle.registerTimer(min(r["at"] for r in rest) // 1000 + 1)
-        else:
+        elif waiting:
             self.waiting.clear()
 
 

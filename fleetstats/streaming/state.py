@@ -33,3 +33,8 @@ def clocked(df: DataFrame, ts: str, late: str, at: str) -> DataFrame:
 def as_state(value):
     """A value as state takes it: rows within rows as mappings."""
     return value.asDict(recursive=True) if isinstance(value, Row) else value
+
+
+def fields(value) -> list:
+    """The values of a row that came out of state, which may give it as a mapping."""
+    return list(value.values()) if isinstance(value, dict) else list(value)
