@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from fleetstats.llm.catalog import query, table
 from fleetstats.llm.names import unused
-from fleetstats.plans.staging import stage
+from fleetstats.plans.staging import stage, unstage
 
 WINDOW = 16  # bytes that decide a cut; the hash has as many bits
 LEAST, MOST = 16, 128  # bytes of a chunk; the last of a text may be shorter
@@ -229,6 +229,8 @@ def _untold(docs: DataFrame, cut: DataFrame, again: DataFrame, told: DataFrame)
     inside = F.exists(F.coalesce("_spans", F.array().cast("array<struct<start:bigint,end:bigint>>")), lambda s: (s.start <= F.col("start")) & (F.col("start") < s.end))
     left = again.where("anchor").join(spans, again["doc_id"] == spans["_id"], "left").where(~inside)
     open_grams = stage(left.select("digest").distinct(), "sub-open")
+    # What later steps do not read goes at once: the peak of the disk is not the sum of all steps.
+    unstage(again)
     near = (
         cut.select("doc_id", F.explode(F.arrays_zip("digests", "places")).alias("c"))
         .select("doc_id", F.col("c.digests").alias("digest"), F.col("c.places").alias("place"))
@@ -239,11 +241,13 @@ def _untold(docs: DataFrame, cut: DataFrame, again: DataFrame, told: DataFrame)
         .withColumnRenamed("doc_id", "_doc")
     )
     near = stage(near.join(spans, near["_doc"] == spans["_id"], "left").drop("_id"), "sub-near")
+    unstage(cut, open_grams, spans)
     # The broadcast side has SLOTS_OF_IDS rows of one number at most; it spares most documents the shuffle.
     slots = near.select(_slot("_doc").alias("slot")).distinct()
     likely = docs.join(F.broadcast(slots), _slot("doc_id") == F.col("slot"), "left_semi")
     read = likely.join(near, likely["doc_id"] == near["_doc"]).select("doc_id", with_grams("text", "near", "_spans").alias("g"))
     listed = stage(read.select("doc_id", F.explode("g").alias("g")).select("doc_id", "g.*"), "sub-grams")
+    unstage(near)
     holders = listed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     holders = stage(holders.select("digest", "first"), "sub-gram-holders")
     repeated = listed.join(holders, "digest").where("doc_id > first").select("doc_id", "first", "at", "start", "end", "told").distinct()
@@ -313,6 +317,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         )
     )
     again = stage(again, "sub-again")
+    unstage(holders)
     in_order = Window.partitionBy("doc_id").orderBy("start", "end", "digest")
     before = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     # A row that repeats another one, id and text, adds no words.
