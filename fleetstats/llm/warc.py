@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from fleetstats.llm.catalog import query, table
 from fleetstats.plans.staging import session_folder, stage
 
-SHARD_BYTES = 32 * 2**20  # of payload per task, more if that made over MOST_SHARDS tasks
+SHARD_BYTES = 64 * 2**20  # of payload per task, more if that made over MOST_SHARDS tasks
 MOST_SHARDS = 20_000
 SAMPLE = 20_000  # pages, taken by hash, whose ids bound the ranges
-ROLL_BYTES = 2**30  # compressed size from which a file is ended
+ROLL_BYTES = 16 * 2**20  # compressed size from which a file is ended
 LEVEL = 6
 DATE = "2020-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"

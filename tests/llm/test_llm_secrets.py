@@ -121,3 +121,46 @@ def test_many_secrets_in_one_text_take_linear_time():
         took.append(time.process_time() - began)
         assert len(base) == 2 * n
     assert took[1] < 25 * took[0] + 1
+
+
+def plain_novel(text, base):
+    """Every run of key characters held against every word, block and span, one by one."""
+    out = []
+    for m in S.CANDIDATE.finditer(text):
+        start, end = m.span()
+        if not S.MIXED.match(m[0]):
+            continue
+        word = any(s >= start - S.AROUND and e <= end + S.AROUND for s, e in (w.span() for w in S.ALONE.finditer(text)))
+        line = text[max(0, start - S.BEFORE) : start].split("\n")[-1]
+        block = any(s <= start and end <= e for s, e in (p.span(1) for p in S.PEM.finditer(text)))
+        if not (word or S.SENSITIVE.search(line) or block):
+            continue
+        name = S.NAMED.match(m[0])
+        if name and end - start - name.end() >= S.LEAST_CANDIDATE:
+            start += name.end()
+        run = text[start:end]
+        if not S.MIXED.match(run) or any(s < end and start < e for s, _, e in base):
+            continue
+        if S.marginal_bytes(*(lambda ba: (ba[0], run, ba[1]))(S.surroundings(text, start, end))) >= S.NOVELTY * len(run):
+            out.append((start, 3, end))
+    return out
+
+
+def test_novel_spans_equal_a_plain_version():
+    dice = random.Random(12)
+    pieces = [
+        "password is ", "the quick brown fox ", "\n", "api key: ", "token = ", "-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----\n",
+        "client_key=", "session ", "x" * 40 + " ", "AKIA", "secret:", " plain words go on and on for a while here ", "clientKey ",
+    ]
+
+    def key():
+        return "".join(dice.choices(string.ascii_letters + string.digits, k=dice.randint(10, 60)))
+
+    found = 0
+    for _ in range(150):
+        text = "".join(dice.choice(pieces) if dice.random() < 0.6 else key() + dice.choice([" ", "\n", ""]) for _ in range(dice.randint(1, 120)))
+        base = S.base_spans(text)
+        want = plain_novel(text, base)
+        assert S.novel_spans(text, base) == want
+        found += len(want)
+    assert found > 100
