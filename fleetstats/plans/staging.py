@@ -31,8 +31,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     The written files give the optimizer the table's true size, so it broadcasts the table only
     below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it beyond.  The table also survives
     the loss of executors and is computed once for all of its readers.  It belongs to the session
-    and goes with it.
+    and goes with it, or with ``unstage``.
     """
     path = f"{session_folder(df.sparkSession, name)}/rows"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
+    return staged
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables, as ``stage`` returned them, that only other staged tables were made of."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
