@@ -330,5 +330,6 @@ qualify row_number() over (partition by anchor_id, positive_id order by score de
 @query("op13_hard_negatives", OP13_SQL)
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     """Some labels are false on purpose: those of ids divisible by 7 are moved on by one."""
-    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    own = F.col("label").cast("bigint")
+    label = F.when(F.col("vec_id") % 7 == 0, (own + 1) % 10).otherwise(own)
     return mine(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, label)
