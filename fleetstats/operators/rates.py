@@ -17,10 +17,15 @@ def elapsed_seconds(now: Column, before: Column) -> Column:
     return F.when(gap > 0, gap).otherwise(F.lit(1.0))
 
 
-def rate(now: Column, before: Column, seconds: Column) -> Column:
-    """Growth per second: 0 for a first sample, and 0 where the counter went back."""
+# What the rate of a counter that went back is: 0, unknown, or what it has counted since it began again at zero.
+RESETS = ("clamp", "null", "restart")
+
+
+def rate(now: Column, before: Column, seconds: Column, reset: str = "clamp") -> Column:
+    """Growth per second: 0 for a first sample, and by ``reset`` where the counter went back."""
     change = (now - before).cast("double")
-    return F.when(before.isNull() | (change < 0), F.lit(0.0)).otherwise(change / seconds)
+    back = {"clamp": F.lit(0.0), "null": F.lit(None).cast("double"), "restart": now.cast("double") / seconds}[reset]
+    return F.when(before.isNull(), F.lit(0.0)).when(change < 0, back).otherwise(change / seconds)
 
 
 def _since_last_tick(
@@ -57,9 +62,13 @@ def counter_rate(
     ticks: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     carried: DataFrame | None = None,
+    reset: str = "clamp",
 ) -> DataFrame:
     """Add ``<counter>_rate`` per counter and ``reset``, true where any counter went back.
 
+    The rate of a counter that went back is 0; with ``reset='null'`` it is NULL, and with ``reset='restart'`` the counter
+    is taken to have begun again at zero.
+
     ``elapsed='key'`` divides by the time since the key's own previous sample.  ``elapsed='tick'``
     divides by the time since the host's previous sample of any key, which overstates the rate of a
     key that missed ticks; ``ticks`` may give the sample times when ``df`` lacks some of them.
@@ -71,10 +80,12 @@ def counter_rate(
             carried.withColumn("_carried", F.lit(True)), allowMissingColumns=True
         )
         seen = ticks.unionByName(carried, allowMissingColumns=True) if ticks is not None else None
-        whole = counter_rate(both, counters, keys, ts, seq, elapsed, tick_keys, seen, hot_rows)
+        whole = counter_rate(both, counters, keys, ts, seq, elapsed, tick_keys, seen, hot_rows, reset=reset)
         return whole.where(~F.col("_carried")).drop("_carried")
     if elapsed not in ("key", "tick"):
         raise ValueError("elapsed is 'key' or 'tick'")
+    if reset not in RESETS:
+        raise ValueError(f"reset is one of {RESETS}")
     previous = {f"_previous_{c}": c for c in counters}
     rows, none_hot = df, False
     if elapsed == "tick":
@@ -88,7 +99,7 @@ def counter_rate(
     went_back = [F.coalesce(F.col(c) < F.col(f"_previous_{c}"), F.lit(False)) for c in counters]
     return rows.withColumns(
         {
-            **{f"{c}_rate": rate(F.col(c), F.col(f"_previous_{c}"), seconds) for c in counters},
+            **{f"{c}_rate": rate(F.col(c), F.col(f"_previous_{c}"), seconds, reset) for c in counters},
             "reset": reduce(lambda a, b: a | b, went_back),
         }
     ).drop("_since", *previous)

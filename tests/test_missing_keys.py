@@ -5,6 +5,8 @@ from datetime import datetime, timedelta
 import pytest
 
 from fleetstats.operators.asof import as_of
+from fleetstats.operators.assemble import disk_usage, process_table, with_addrs
+from fleetstats.operators.containers import container_metrics
 from fleetstats.operators.flatten import zero_fill
 from fleetstats.operators.rates import counter_rate
 from fleetstats.operators.series import latest, tail, trend
@@ -73,3 +75,20 @@ def test_zero_form_of_a_snapshot_goes_within(spark):
     one, two = (r.asDict(recursive=True) for r in zero_fill(df).collect())
     assert one == {"system": {"hostname": "", "uptime": 0}, "disks": [{"device": "", "total": 0}] * 2, "gone": None, "flag": None}
     assert two == {"system": {"hostname": "h", "uptime": 0}, "disks": [], "gone": [0, 3], "flag": True}
+
+
+def test_parts_of_a_snapshot_without_a_host_find_each_other(spark):
+    """A missing host is a host in the joins of addresses, usage, attributes and container stats."""
+    tick = "host string, ts timestamp"
+    at_null = spark.createDataFrame([(None, T0, "e0")], f"{tick}, name string")
+    addrs = spark.createDataFrame([(None, T0, "e0", 1, "10.0.0.1")], f"{tick}, name string, seq int, addr string")
+    assert with_addrs(at_null, addrs).first().addrs == "10.0.0.1"
+    parts = spark.createDataFrame([(None, T0, 1, "sda", "/")], f"{tick}, seq int, device string, mountpoint string")
+    usage = spark.createDataFrame([(None, T0, "/", 10)], f"{tick}, mountpoint string, total bigint")
+    assert [(r.device, r.total) for r in disk_usage(parts, usage).collect()] == [("sda", 10)]
+    pids = spark.createDataFrame([(None, None, 7)], f"{tick}, pid int")
+    names = pids.selectExpr("*", "'init' AS name")
+    assert process_table(pids, {"name": names}).first().name == "init"
+    listed = spark.createDataFrame([(None, T0, "c", "running")], f"{tick}, id string, state string")
+    stats = spark.createDataFrame([(None, T0, "c", 1.5, 2, 3)], f"{tick}, id string, cpu_pct double, mem_usage bigint, mem_limit bigint")
+    assert container_metrics(listed, stats).first().mem_usage == 2

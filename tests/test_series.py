@@ -49,6 +49,17 @@ def test_rate_first_growth_reset_and_return(spark):
     }
 
 
+def test_what_a_counter_that_went_back_gives_is_chosen(spark):
+    rows = samples(spark, [("h", "e", 0, 100), ("h", "e", 10, 40), ("h", "e", 20, 60)])
+    for reset, value in (("clamp", 0.0), ("null", None), ("restart", 4.0)):
+        got = rates(counter_rate(rows, ["b"], reset=reset))
+        assert got == {("h", "e", 0): (0.0, False), ("h", "e", 10): (value, True), ("h", "e", 20): (2.0, False)}
+        tail_of = counter_rate(rows.where("b < 100"), ["b"], reset=reset, carried=rows.where("b = 100"))
+        assert rates(tail_of)[("h", "e", 10)] == (value, True)
+    with pytest.raises(ValueError):
+        counter_rate(rows, ["b"], reset="wrap")
+
+
 def test_hot_interfaces_have_the_same_rates(spark):
     rows = [("h", f"e{i % 2}", 10 * (i // 2), i * i % 37) for i in range(60)] + [("g", "e0", 5, 1)]
     df = samples(spark, rows)
