@@ -15,7 +15,7 @@ from fleetstats.streaming.ingest import ingest, record_history, retained_history
 from fleetstats.streaming.rates import stream_counter_rate
 from fleetstats.streaming.sinks import FAILURES, read_table, start, table_sink, write_stream
 from fleetstats.streaming.tables import LandedTable
-from fleetstats.streaming.views import stream_latest, stream_sample, stream_sessions
+from fleetstats.streaming.views import newest_updates, stream_latest, stream_sample, stream_sessions
 
 
 def sample_stream(spark, folder):
@@ -117,6 +117,20 @@ def stream_sample_(spark, folder):
     return landed(stream_sample(sample_stream(spark, folder), "1 hour", ["value", "k"], late="1 hour"))
 
 
+@query("stream_sample_open", f"SELECT * FROM ({TICK_SQL})")
+def stream_sample_open(spark, folder):
+    """All ticks, open ones too, of what update mode landed in three batches."""
+    files = session_folder(spark, "sample-input") + "/rows"
+    rows = table(spark, folder, "events")
+    for i in range(3):
+        rows.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(files)
+    stream = samples_of(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(files))
+    ticks = stream_sample(stream, "1 hour", ["value", "k"], late="60 days")
+    path = session_folder(spark, "sample-open")
+    start(ticks, table_sink(path), mode="update", available_now=True).awaitTermination()
+    return newest_updates(read_table(spark, path, ticks.schema)).withColumn("tick", F.col("tick").cast("timestamp_ntz"))
+
+
 @query(
     "stream_ingest",
     f"""SELECT CASE {ROUTES} WHEN 'snapshot' THEN 'snapshots' WHEN 'docker' THEN 'containers'

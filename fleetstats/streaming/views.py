@@ -71,5 +71,20 @@ def stream_sample(
     seq: Sequence[str] = (),
     late: str = "10 minutes",
 ) -> DataFrame:
-    """``operators.series.sample`` on a stream; ``append`` mode emits a tick once it is closed."""
+    """``operators.series.sample`` on a stream.
+
+    ``append`` mode emits a tick once it is closed; ``update`` mode emits open ticks as well, those that a batch has changed, of which
+    ``newest_updates`` makes the current view.
+    """
     return sample(watermarked(df, ts, late), every, values, keys, ts, seq)
+
+
+def newest_updates(landed: DataFrame, keys: Sequence[str] = ("host", "tick"), batch: str = "batch_id") -> DataFrame:
+    """Of what ``update`` mode landed, the row of the newest batch per key.
+
+    Each batch lands only what it changed, so a view of open ticks costs the stream what has moved and not, as ``complete`` mode does,
+    the whole table in every batch.
+    """
+    rest = [c for c in landed.columns if c not in (*keys, batch)]
+    newest = F.max_by(F.struct(*rest), F.col(batch)).alias("_newest")
+    return landed.groupBy(*keys).agg(newest).select(*keys, "_newest.*")

@@ -15,7 +15,7 @@ from fleetstats.streaming.ingest import ingest, record_history, retained_history
 from fleetstats.streaming.rates import stream_counter_rate
 from fleetstats.streaming.sinks import FanOut, read_table, start, table_sink, write_stream
 from fleetstats.streaming.tables import LandedTable
-from fleetstats.streaming.views import stream_latest, stream_sample, stream_sessions
+from fleetstats.streaming.views import newest_updates, stream_latest, stream_sample, stream_sessions
 
 T0 = datetime(2024, 1, 1)
 SAMPLES = "host string, name string, ts timestamp, b bigint"
@@ -132,6 +132,16 @@ def test_a_silent_key_leaves_the_state_by_its_timer(spark, tmp_path):
     assert alive() == {"g": 300}
 
 
+def test_open_ticks_are_the_newest_of_what_changed(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in", SAMPLES)
+    feed.add(sample("h", "e", 0, 1), sample("h", "e", 70, 3))
+    feed.add(sample("h", "e", 50, 2), sample("g", "e", 10, 9))
+    landed = run(stream_sample(feed.stream(), "1 minute", ["b"], late="1 hour"), tmp_path, "update")
+    assert landed.count() == 4
+    got = {(r.host, (r.tick - T0).seconds): r.b for r in newest_updates(landed).collect()}
+    assert got == {("h", 0): 2, ("h", 60): 3, ("g", 0): 9}
+
+
 def test_a_restarted_stream_goes_on_from_its_state(spark, tmp_path):
     feed = Feed(spark, tmp_path / "in", SAMPLES)
     feed.add(sample("h", "e", 0, 100))
