@@ -15,21 +15,33 @@ from fleetstats.plans.catalog import query, table
 from fleetstats.plans.catalog_joins import CONTAINERS_SQL, container_tables
 from fleetstats.plans.catalog_series import AS_OF_SQL, BACKFILL_DEDUPE_SQL, as_of_sides, backfill_and_live
 from fleetstats.plans.catalog_streams import landed
+from fleetstats.plans.files import names
 from fleetstats.plans.staging import session_folder
 from fleetstats.sources.snapshots import read_containers
 from fleetstats.streaming.joins import stream_as_of, stream_assemble, stream_backfill, stream_containers
 
 CLOSING = -1
 LATER = "TIMESTAMP'2100-01-01'"
+# Rows that one task writes to a file.
+FILE_ROWS = 500_000
 
 
-def in_files(df: DataFrame, *conditions: str) -> DataFrame:
-    """A stream of the rows, a file of those under each condition after the other."""
+def in_files(df: DataFrame, *conditions: str, file_rows: int = FILE_ROWS) -> DataFrame:
+    """A stream of the rows, those under each condition after the other.
+
+    A micro-batch takes as many files as the largest condition needs at ``file_rows`` rows a file; where rows fill fewer,
+    empty files make up the number, so that a condition is a micro-batch.
+    """
     spark = df.sparkSession
     folder = f"{session_folder(spark, 'stream-input')}/rows"
-    for condition in conditions:
-        df.where(condition).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    counts = df.agg(*[F.count_if(F.expr(c)) for c in conditions]).first()
+    each = max(1, -(-max(counts) // file_rows))
+    for i, condition in enumerate(conditions, 1):
+        rows = df.where(condition)
+        (rows.coalesce(1) if each == 1 else rows.repartition(each)).write.mode("append").parquet(folder)
+        for _ in range(len(names(spark, folder)), i * each):
+            df.limit(0).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(folder)
 
 
 def closed(df: DataFrame, host: str = "host", ts: str = "ts") -> DataFrame:

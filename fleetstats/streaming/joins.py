@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from fleetstats.operators.containers import RUNNING, container_stats, named_containers, with_zeros
 from fleetstats.plans.slices import to_micros
@@ -16,6 +16,14 @@ from fleetstats.streaming.state import as_state, clocked, fields, keep_state
 from fleetstats.streaming.views import watermarked
 
 
+# Python has the state of a bucket of keys at a time: a call, a timer and a record batch for every key cost milliseconds each.
+BUCKETS = 4096
+
+
+def bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("_bucket")
+
+
 class _Processor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -25,46 +33,70 @@ class _Processor(StatefulProcessor):
 
 
 class _Parts(_Processor):
-    """The parts of one tick that have come; sent when all are there, or when the timer ends the wait."""
+    """Open ticks of a bucket of keys, with the parts that have come; each is sent when all are there, or when its wait is over."""
 
-    def __init__(self, parts: list[str], held: StructType, output: list[str], wait_ms: int):
-        self.parts, self.held, self.row, self.wait_ms = parts, held, Row(*output), wait_ms
+    def __init__(self, keys: list[str], parts: list[str], held: StructType, output: list[str], wait_ms: int):
+        self.keys, self.parts, self.held, self.row, self.wait_ms = keys, parts, held, Row(*output), wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.came = handle.getValueState("came", self.held)
+        self.open = handle.getListState("open", self.held)
 
-    def _sent(self, key, came: list) -> Row:
+    def _sent(self, tick: list) -> Row:
         # A part stands in a struct of its own, so that one with a missing value is not a missing part.
-        values = [c if c is None else c["value"] for c in came]
-        return self.row(*key, *values, None not in came)
+        _, _, at, *rest = tick
+        key, came = rest[: len(self.keys)], rest[len(self.keys) :]
+        return self.row(*key, at, *[c if c is None else c["value"] for c in came], None not in came)
+
+    def _keep(self, ticks: list[list]) -> None:
+        self.open.put([tuple(map(as_state, t)) for t in ticks]) if ticks else self.open.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        waiting = self.came.exists()
-        came, at = list(self.came.get()) if waiting else [None] * len(self.parts), None
+        closed = timerValues.getCurrentWatermarkInMs()
+        ticks = {t[0]: list(t) for t in self.open.get()}
+        first = 3 + len(self.keys)
+        before, rung, touched = len(ticks), min((t[1] for t in ticks.values()), default=None), {}
         for r in rows:
-            at = r["_at"]
-            came = [c if c is not None else r[p] for c, p in zip(came, self.parts)]
-        if None not in came:
-            if waiting:
-                self.came.clear()
-            yield self._sent(key, came)
-            return
-        self.came.update(tuple(map(as_state, came)))
-        if not waiting:
-            # A tick without a time waits for no clock.
-            ends = 0 if at is None else at // 1000 + self.wait_ms
-            self.handle.registerTimer(max(ends, timerValues.getCurrentWatermarkInMs() + 1))
+            at, named = r["_at"], [r[k] for k in self.keys]
+            id = repr((named, at))
+            tick = ticks.get(id)
+            if tick is None:
+                # A tick without a time waits for no clock.
+                ends = 0 if at is None else at // 1000 + self.wait_ms
+                tick = ticks[id] = [id, max(ends, closed + 1), at, *named, *[None] * len(self.parts)]
+            touched[id] = tick
+            for i, p in enumerate(self.parts, first):
+                if tick[i] is None:
+                    tick[i] = r[p]
+        sent = [i for i, t in touched.items() if None not in t[first:]]
+        known = set(list(ticks)[:before])
+        for id in sent:
+            yield self._sent(ticks.pop(id))
+        if known.isdisjoint(touched):
+            fresh = [tuple(map(as_state, t)) for i, t in touched.items() if i in ticks]
+            if fresh:
+                self.open.appendList(fresh)
+        else:
+            self._keep([*ticks.values()])
+        ends = min((t[1] for t in ticks.values()), default=None)
+        if ends is not None and (rung is None or ends < rung):
+            self.handle.registerTimer(ends)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.came.exists():
-            came = list(self.came.get())
-            self.came.clear()
-            yield self._sent(key, came)
+        over = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        ticks = [list(t) for t in self.open.get()]
+        rest = [t for t in ticks if t[1] > over]
+        for t in ticks:
+            if t[1] <= over:
+                yield self._sent(t)
+        if len(rest) < len(ticks):
+            self._keep(rest)
+        if rest:
+            self.handle.registerTimer(min(t[1] for t in rest))
 
 
 def stream_assemble(
-    parts: Mapping[str, DataFrame], keys: Sequence[str] = ("host",), ts: str = "ts", wait: str = "30 seconds"
+    parts: Mapping[str, DataFrame], keys: Sequence[str] = ("host",), ts: str = "ts", wait: str = "30 seconds", buckets: int = BUCKETS
 ) -> DataFrame:
     """One row per tick (``keys`` and ``ts``) from collectors that arrive as streams of their own.
 
@@ -73,7 +105,8 @@ def stream_assemble(
     past it, with NULL for those that are missing; ``complete`` tells which.  Of a repeated part the first counts.  A part that
     comes when its tick has been sent starts the tick anew and is sent after another wait, so nothing is lost.
 
-    State is held per tick and only while the tick is open.
+    State is held per tick and only while the tick is open.  The open ticks of a bucket of keys are read and written together; a task
+    holds those of one bucket at a time, and ``buckets`` stays as it is for the life of a checkpoint.
     """
     def stacked(name: str, df: DataFrame) -> DataFrame:
         rest = [c for c in df.columns if c not in (*keys, ts)]
@@ -82,15 +115,18 @@ def stream_assemble(
 
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [stacked(n, df) for n, df in parts.items()])
     keep_state(rows.sparkSession)
-    names = list(parts)
-    timed = clocked(rows, ts, "0 seconds", "_at").select(*keys, ts, "_at", *names)
-    held = StructType([StructField(n, timed.schema[n].dataType) for n in names])
+    keys, names = list(keys), list(parts)
+    timed = clocked(rows, ts, "0 seconds", "_at").select(bucket([*keys, "_at"], buckets), *keys, "_at", *names)
+    held = StructType(
+        [StructField("_id", StringType()), StructField("_ends", LongType()), *[timed.schema[n] for n in ("_at", *keys, *names)]]
+    )
     output = StructType(
-        [*[timed.schema[k] for k in (*keys, ts)], *[StructField(n, timed.schema[n].dataType["value"].dataType) for n in names]]
+        [*[timed.schema[n] for n in (*keys, "_at")], *[StructField(n, timed.schema[n].dataType["value"].dataType) for n in names]]
         + [StructField("complete", BooleanType())]
     )
-    tick = _Parts(names, held, output.names, to_micros(wait) // 1000)
-    return timed.groupBy(*keys, ts).transformWithState(tick, output, "append", "EventTime")
+    ticks = _Parts(keys, names, held, output.names, to_micros(wait) // 1000)
+    sent = timed.groupBy("_bucket").transformWithState(ticks, output, "append", "EventTime")
+    return sent.select(*keys, F.timestamp_micros("_at").alias(ts), *names, "complete")
 
 
 class _AsOf(_Processor):

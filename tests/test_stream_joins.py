@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,10 +8,12 @@ from test_streaming import T0, Feed, run
 
 from fleetstats.operators.asof import as_of
 from fleetstats.operators.containers import containers
+from fleetstats.plans.catalog_stream_joins import in_files
+from fleetstats.plans.staging import session_folder
 from fleetstats.schemas import CONTAINER_LIST, CONTAINER_STATS
 from fleetstats.sources.snapshots import read_containers
 from fleetstats.streaming.joins import stream_as_of, stream_assemble, stream_backfill, stream_containers
-from fleetstats.streaming.sinks import start, table_sink
+from fleetstats.streaming.sinks import read_table, start, table_sink
 
 
 def at(seconds):
@@ -124,3 +127,45 @@ def test_missing_hosts_and_times_are_groups_of_their_own(spark, tmp_path):
     others.add({"host": None, "ts": at(0), "y": 3.0}, {"host": "a", "ts": None, "y": 4.0})
     got = run(stream_assemble({"x": rows.stream(), "y": others.stream()}), tmp_path).collect()
     assert sorted((r.host or "", r.x, r.y, r.complete) for r in got) == [("", 1.0, 3.0, True), ("a", 2.0, 4.0, True)]
+
+
+def timers(stream, tmp_path, name):
+    """Timers that a stream set, and the rows it sent."""
+    path = str(tmp_path / name)
+    query = start(stream, table_sink(path), checkpoint=f"{path}-state", available_now=True)
+    query.awaitTermination()
+    found = [o.customMetrics["numRegisteredTimers"] for p in query.recentProgress for o in p.stateOperators]
+    return sum(map(int, found)), read_table(stream.sparkSession, path, stream.schema)
+
+
+def test_ticks_of_a_bucket_share_a_timer(spark, tmp_path):
+    x, y = (Feed(spark, tmp_path / n, f"host string, ts timestamp, {n} bigint") for n in "xy")
+    x.add(*[part(f"h{i}", i % 7, x=i) for i in range(0, 300, 2)], part("h0", 0, x=-1))
+    y.add(*[part(f"h{i}", i % 7, y=i) for i in range(0, 300, 3)])
+    x.add(*[part(f"h{i}", i % 7, x=i) for i in range(1, 300, 2)])
+    y.add(*[part(f"h{i}", i % 7, y=-i) for i in range(1, 300, 3)], part("end", 9000, y=0))
+    x.add(part("end", 9000, x=0))
+    y.add(part("h2", 2, y=2))
+    x.add(part("later", 99000, x=0))
+    y.add(part("h5", 5, y=5))
+    # h2 is still open when its part comes; that of h5 comes when its tick has been sent.
+    want = {(f"h{i}", i, i if i % 3 == 0 else -i if i % 3 == 1 else None, i % 3 < 2) for i in range(300)}
+    for buckets in (1, 5):
+        count, got = timers(stream_assemble({"x": x.stream(), "y": y.stream()}, buckets=buckets), tmp_path, f"b{buckets}")
+        rows = [(r.host, r.x, r.y, r.complete) for r in got.where("host LIKE 'h%'").collect()]
+        assert len(rows) == 301 and set(rows) == (want - {("h2", 2, None, False)}) | {("h2", 2, 2, True), ("h5", None, 5, False)}
+        assert 0 < count <= 12 * buckets
+
+
+def test_a_condition_is_a_micro_batch_of_as_many_files_as_its_rows_need(spark):
+    df = spark.range(0, 95, 1, 4).selectExpr("id AS host", "CAST(NULL AS timestamp) AS ts")
+    stream = in_files(df, "host < 80", "host = 90", "host > 200", "host = 94", file_rows=20)
+    batches = []
+
+    def keep(batch, _):
+        batches.append(sorted((r[0], r[1]) for r in batch.select("host", F.input_file_name()).collect()))
+
+    start(stream, keep, checkpoint=f"{session_folder(spark, 'state')}/x", available_now=True).awaitTermination()
+    assert [h for h, _ in batches[0]] == [*range(80)] and [[h for h, _ in b] for b in batches[1:] if b] == [[90], [94]]
+    sizes = Counter(f for _, f in batches[0])
+    assert len(sizes) == 4 and max(sizes.values()) < 40
