@@ -130,26 +130,29 @@ def stream_assemble(
 
 
 class _AsOf(_Processor):
-    """One key's rows that the watermark has not passed, of both sides, and the newest right row that it has.
+    """A bucket of keys: rows that the watermark has not passed, of both sides, and each key's newest right row that it has.
 
-    Rows are taken in the order of their times once no earlier one can come.
+    A key's rows are taken in the order of their times once no earlier one can come.
     """
 
-    def __init__(self, waiting: StructType, newest: StructType, output: list[str]):
-        self.waiting_type, self.newest_type, self.row = waiting, newest, Row(*output)
+    def __init__(self, keys: list[str], waiting: StructType, newest: StructType, output: list[str]):
+        self.keys, self.waiting_type, self.newest_type, self.row = keys, waiting, newest, Row(*output)
         self.named = Row(*waiting.names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.waiting = handle.getListState("waiting", self.waiting_type)
-        self.newest = handle.getValueState("newest", self.newest_type)
+        self.newest = handle.getListState("newest", self.newest_type)
 
-    def _found(self, key, left, known, late: bool) -> Row:
+    def _found(self, r, known, late: bool) -> Row:
         values = [None] * len(self.newest_type["value"].dataType) if known is None else fields(known[1])
-        return self.row(*key, *fields(left), *values, late)
+        return self.row(*[r[k] for k in self.keys], *fields(r["left"]), *values, late)
 
-    def _entry(self, r: Row) -> tuple:
-        return tuple(as_state(r[n]) for n in self.waiting_type.names)
+    def _key(self, r: Row) -> str:
+        return repr([r[k] for k in self.keys])
+
+    def _entry(self, key: str, r: Row) -> tuple:
+        return key, *[as_state(r[n]) for n in self.waiting_type.names[1:]]
 
     @staticmethod
     def _order(r) -> list:
@@ -162,47 +165,59 @@ class _AsOf(_Processor):
         for r in rows:
             if r["at"] is None:
                 if r["side"]:
-                    yield self._found(key, r["left"], None, False)
+                    yield self._found(r, None, False)
             else:
-                (fresh if r["at"] // 1000 >= closed else behind).append(r)
+                (fresh if r["at"] // 1000 >= closed else behind).append((self._key(r), r))
         if behind:
-            yield from self._closed(key, closed, behind)
+            yield from self._closed(closed, behind)
         if fresh:
-            self.waiting.appendList([self._entry(r) for r in fresh])
-            self.handle.registerTimer(min(r["at"] for r in fresh) // 1000 + 1)
+            self.waiting.appendList([self._entry(*r) for r in fresh])
+            self.handle.registerTimer(min(r["at"] for _, r in fresh) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._closed(key, timerValues.getCurrentWatermarkInMs(), [])
+        yield from self._closed(timerValues.getCurrentWatermarkInMs(), [])
 
-    def _closed(self, key, closed: int, behind: list[Row]) -> Iterator[Row]:
+    def _closed(self, closed: int, behind: list[tuple[str, Row]]) -> Iterator[Row]:
         """Go through what waited for the watermark together with what comes behind it, in the order of times."""
         waiting = [self.named(*r) for r in self.waiting.get()]
-        due = [(self._order(r), False, r) for r in waiting if r["at"] // 1000 < closed]
-        due += [(self._order(r), True, r) for r in behind]
+        due: dict[str, list] = {}
+        for r in waiting:
+            if r["at"] // 1000 < closed:
+                due.setdefault(r["_key"], []).append((self._order(r), False, r))
+        for key, r in behind:
+            due.setdefault(key, []).append((self._order(r), True, r))
         if not due:
             return
-        known = self.newest.get() if self.newest.exists() else None
-        before = known
-        for _, late, r in sorted(due, key=lambda d: d[0]):
-            # What was newest before may be newer than a late row.
-            usable = known is None or known[0] <= r["at"]
-            if r["side"]:
-                yield self._found(key, r["left"], known if usable else None, late)
-            elif usable:
-                known = (r["at"], r["right"])
-        if known is not before:
-            self.newest.update((known[0], as_state(known[1])))
+        newest = {key: (at, value) for key, at, value in self.newest.get()}
+        before = dict(newest)
+        for key, rows in due.items():
+            known = newest.get(key)
+            for _, late, r in sorted(rows, key=lambda d: d[0]):
+                # What was newest before may be newer than a late row.
+                usable = known is None or known[0] <= r["at"]
+                if r["side"]:
+                    yield self._found(r, known if usable else None, late)
+                elif usable:
+                    known = (r["at"], r["right"])
+            if known is not None:
+                newest[key] = known
+        changed = [k for k, known in newest.items() if known is not before.get(k)]
+        if changed:
+            entries = [(k, newest[k][0], as_state(newest[k][1])) for k in (changed if before.keys().isdisjoint(changed) else newest)]
+            (self.newest.appendList if before.keys().isdisjoint(changed) else self.newest.put)(entries)
         rest = [r for r in waiting if r["at"] // 1000 >= closed]
+        if len(rest) == len(waiting):
+            return
         if rest:
-            self.waiting.put([self._entry(r) for r in rest])
+            self.waiting.put([self._entry(r["_key"], r) for r in rest])
             self.handle.registerTimer(min(r["at"] for r in rest) // 1000 + 1)
-        elif waiting:
+        else:
             self.waiting.clear()
 
 
 def stream_as_of(
     left: DataFrame, right: DataFrame, values: Sequence[str], keys: Sequence[str] = ("host",), ts: str = "ts",
-    right_seq: Sequence[str] = (), late: str = "10 minutes",
+    right_seq: Sequence[str] = (), late: str = "10 minutes", buckets: int = BUCKETS,
 ) -> DataFrame:
     """``operators.asof.as_of`` of two streams: each left row with ``values`` of the newest right row of its key not after it.
 
@@ -210,7 +225,8 @@ def stream_as_of(
     order within that.  A left row that comes later still is sent at once with what is known by its time, and ``late`` true;
     a later right row counts from then on.  A left row without a time gets NULLs, a right row without one matches nothing.
 
-    State per key is the newest right row and the rows of the last ``late``.
+    State per key is the newest right row and the rows of the last ``late``.  That of a bucket of keys is read and written together; a
+    task holds one bucket at a time, and ``buckets`` stays as it is for the life of a checkpoint.
     """
     keys, values, right_seq = list(keys), list(values), list(right_seq)
     kept = [c for c in left.columns if c not in keys]
@@ -223,9 +239,10 @@ def stream_as_of(
     )
     both = asked.unionByName(known, allowMissingColumns=True)
     keep_state(both.sparkSession)
-    timed = clocked(both, "_ts", late, "at").select(*keys, "at", "side", "seq", "left", "right")
-    waiting = StructType([timed.schema[n] for n in ("at", "side", "seq", "left", "right")])
-    newest = StructType([StructField("at", LongType()), StructField("value", timed.schema["right"].dataType)])
+    timed = clocked(both, "_ts", late, "at").select(bucket(keys, buckets), *keys, "at", "side", "seq", "left", "right")
+    name = StructField("_key", StringType())
+    waiting = StructType([name, *[timed.schema[n] for n in (*keys, "at", "side", "seq", "left", "right")]])
+    newest = StructType([name, StructField("at", LongType()), StructField("value", timed.schema["right"].dataType)])
     taken = [c for c in values if c in left.columns]
     if taken:
         raise ValueError(f"both sides have {taken}")
@@ -233,7 +250,7 @@ def stream_as_of(
         [*[timed.schema[k] for k in keys], *timed.schema["left"].dataType.fields, *timed.schema["right"].dataType.fields]
         + [StructField("late", BooleanType())]
     )
-    return timed.groupBy(*keys).transformWithState(_AsOf(waiting, newest, output.names), output, "append", "EventTime")
+    return timed.groupBy("_bucket").transformWithState(_AsOf(keys, waiting, newest, output.names), output, "append", "EventTime")
 
 
 def stream_containers(

@@ -169,3 +169,20 @@ def test_a_condition_is_a_micro_batch_of_as_many_files_as_its_rows_need(spark):
     assert [h for h, _ in batches[0]] == [*range(80)] and [[h for h, _ in b] for b in batches[1:] if b] == [[90], [94]]
     sizes = Counter(f for _, f in batches[0])
     assert len(sizes) == 4 and max(sizes.values()) < 40
+
+
+def test_as_of_of_a_bucket_shares_a_timer_and_mixes_no_keys(spark, tmp_path):
+    left = Feed(spark, tmp_path / "left", "host string, ts timestamp, n bigint")
+    right = Feed(spark, tmp_path / "right", "host string, ts timestamp, seq bigint, v bigint")
+    for round in range(3):
+        left.add(*[part(f"h{i}", 1000 * round + 7 * i % 900, n=1000 * round + i) for i in range(0, 200)], part(None, 1000 * round + 50, n=9000 + round))
+        right.add(*[part(f"h{i}", 1000 * round + 11 * i % 900, seq=i, v=1000 * round + i) for i in range(0, 200, 2)], part(None, 1000 * round, seq=0, v=-round))
+    left.add(part("end", 90000, n=-1))
+    right.add(part("end", 90000, seq=0, v=-1))
+    want = as_of(left.table(), right.table(), ["v"], right_seq=["seq"]).where("n >= 0")
+    want = sorted((r.n, r.v if r.v is not None else "none") for r in want.collect())
+    for buckets in (1, 5):
+        stream = stream_as_of(left.stream(), right.stream(), ["v"], right_seq=["seq"], late="10 minutes", buckets=buckets)
+        count, got = timers(stream, tmp_path, f"b{buckets}")
+        assert sorted((r.n, r.v if r.v is not None else "none") for r in got.where("n >= 0 AND NOT late").collect()) == want
+        assert 0 < count <= 12 * buckets
