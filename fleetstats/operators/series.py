@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetstats.functions.times import ts_to_s
-from fleetstats.plans.slices import HOT_ROWS, NO_TIME, PIECES_PER_TASK, SLICE, join_same, slice_start
+from fleetstats.plans.slices import HOT_ROWS, NO_TIME, PIECES_PER_TASK, SLICE, join_same, slice_start, to_micros
 from fleetstats.plans.staging import stage
 
 HISTORY_POINTS = 3600  # points kept per host by default
+TASK_ROWS = 500_000  # rows of many hosts that one task sorts
 
 
 def history_points(
@@ -38,17 +39,22 @@ def tail(
 ) -> DataFrame:
     """The last ``n`` rows per host; ``since`` further leaves out rows before a time.
 
-    A first pass reads only keys and time and counts rows per (host, slice), which combines before
-    the shuffle.  From the counts follow the slices that can hold one of a host's last ``n`` rows.
-    The second pass reads just those slices: their oldest start bounds the scan, the staged slice
-    table filters it, and only the few rows left are sorted.  Should a host have more rows in one
-    slice than a task may sort, they are first cut to ``n`` per part of a random split.
+    A first pass counts rows per host; if no host has more than ``n``, that is all.  Two more read only keys and time: one finds how
+    wide slices have to be for about 16 rows in each, at least ``width``, the other counts
+    rows per (host, slice), which combines before the shuffle.  From the counts follows the oldest slice of each host that can hold
+    one of its last ``n`` rows.  The last pass reads no older ones: the oldest start bounds the scan, the
+    staged table of starts, a row per host, filters it, and only the rows left are sorted, ``TASK_ROWS`` or so a task.
+    Should a host have more rows in one slice than a task may sort, they are first cut to ``n`` per part of a random split.
 
     ``counts`` may give the rows per host and ``_slice`` of this ``width`` as ``_rows``, as ``streaming.tables.LandedTable`` keeps
-    them; then there is no first pass.  ``date`` names a column with the day of ``ts`` by which the table is laid out;
+    them; then there is no pass before the last.  ``date`` names a column with the day of ``ts`` by which the table is laid out;
     folders of days before the oldest slice are then not listed.
     """
     rows = df if since is None else df.where(F.col(ts) >= since)
+    if counts is None:
+        width = _sparse_width(rows, n, keys, ts, width)
+        if width is None:
+            return rows
     sliced = rows.withColumn("_slice", slice_start(ts, width))
     if counts is None:
         counts = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_rows"))
@@ -57,19 +63,24 @@ def tail(
         .orderBy(F.desc("_slice"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    needed = stage(
+    needed = F.when(F.col("_newer") < n, F.col("_rows"))
+    hosts = stage(
         counts.withColumn("_newer", F.coalesce(F.sum("_rows").over(newer), F.lit(0)))
-        .where(F.col("_newer") < n)
-        .select(*keys, "_slice", "_rows"),
+        .groupBy(*keys)
+        .agg(
+            F.min(F.when(F.col("_newer") < n, F.col("_slice"))).alias("_from"),
+            F.max(needed).alias("_largest"),
+            F.sum(needed).alias("_kept"),
+        ),
         "tail-slices",
     )
-    start, largest = needed.agg(F.min("_slice"), F.max("_rows")).first()
+    start, largest, total = hosts.agg(F.min("_from"), F.max("_largest"), F.sum("_kept")).first()
     if start is not None and start != NO_TIME:
         bound = F.timestamp_micros(F.lit(start)).cast(df.schema[ts].dataType)
         sliced = sliced.where(F.col(ts) >= bound)
         if date is not None:
             sliced = sliced.where(F.col(date) >= bound.cast("date"))
-    kept = join_same(sliced, needed, [*keys, "_slice"], "left_semi").drop("_slice")
+    kept = join_same(sliced, hosts.select(*keys, "_from"), keys, "left_semi", F.col("_slice") >= F.col("_from")).drop("_slice")
     newest = [F.desc(ts), *[F.desc(s) for s in seq]]
     if largest is not None and largest > hot_rows:
         parts = -(-largest * PIECES_PER_TASK // hot_rows)
@@ -77,9 +88,23 @@ def tail(
         plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
         part = F.pmod(F.xxhash64(ts, *(seq or plain)), F.lit(parts))
         kept = _first_rows(kept.withColumn("_part", part), n, [*keys, "_part"], newest).drop("_part")
+    if total is not None and total > TASK_ROWS:
+        # Left to AQE, a task may get all rows that fit its size when compressed.
+        kept = kept.repartition(-(-total // TASK_ROWS), *keys)
     return _first_rows(kept, n, keys, newest)
 
 
+def _sparse_width(rows: DataFrame, n: int, keys: Sequence[str], ts: str, width: str) -> str | None:
+    """``width``, widened until there are about 16 times fewer slices than rows; None if no host has more than ``n`` rows."""
+    hosts = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    largest, total = hosts.agg(F.max("_rows"), F.sum("_rows")).first()
+    if largest is None or largest <= n:
+        return None
+    widths = [f"{to_micros(width) * 8**i} microseconds" for i in range(5)]
+    slices = rows.agg(*[F.approx_count_distinct(F.xxhash64(*keys, slice_start(ts, w))) for w in widths]).first()
+    return next((w for w, s in zip(widths, slices) if s * 16 <= total), widths[-1])
+
+
 def _first_rows(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")

@@ -44,15 +44,17 @@ def slice_start(ts: str | Column, width: str = SLICE) -> Column:
     return F.coalesce(at - F.pmod(at, F.lit(to_micros(width))), F.lit(NO_TIME))
 
 
-def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on equal ``keys``, where NULL equals NULL, keeping the left side's keys.
+def join_same(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", also: Column | None = None
+) -> DataFrame:
+    """Join on equal ``keys``, where NULL equals NULL, and on ``also``, keeping the left side's keys.
 
     A key that is missing is a group like any other in windows and aggregates, so it is one here.
     """
     names = {k: f"_same_{k}" for k in keys}
     other = right.withColumnsRenamed(names)
     equal = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[n]) for k, n in names.items()])
-    joined = left.join(other, equal, how)
+    joined = left.join(other, equal if also is None else equal & also, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*names.values())
 
 
